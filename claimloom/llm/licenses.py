@@ -28,7 +28,7 @@ K = 3
 #: Diagonals this far apart belong to one occurrence.
 SLACK = 4
 #: The part of a template's words that an occurrence covers, and how long its span may be in template lengths.
-COVER, STRETCH = 0.6, 1.5
+COVER, STRETCH = 0.75, 1.5
 
 #: Phrases and their labels.
 PHRASES = [
@@ -36,10 +36,15 @@ PHRASES = [
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
-#: Passages of public licenses and notices, and their labels.
+#: Phrases that the scan labels of its own, and passages of public licenses and notices, and their labels.
+MORE_PHRASES = [
+    ("gnu general public license version 3", "gpl-3"),
+    ("gnu general public license version 2", "gpl-2"),
+    ("gnu lesser general public license", "lgpl"),
+    ("mozilla public license", "mpl"),
+    ("creative commons zero", "cc0"),
+]
 TEMPLATES = [
-    ("licensed under the gnu general public license version 3", "gpl-3"),
-    ("licensed under the gnu general public license version 2", "gpl-2"),
     ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
@@ -51,17 +56,17 @@ TEMPLATES = [
 ]
 
 
-def template_positions(spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
+def template_positions(spark: SparkSession, base: list[tuple[str, str]], phrases: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
     """A row for each window of each template: its hash, template, position, and the template's facts."""
     rows = []
-    for t, (text, label) in enumerate([*phrases, *templates]):
+    for t, (text, label) in enumerate([*base, *phrases, *templates]):
         data = np.frombuffer(text.encode(), np.uint8)
         starts, ends, bounds = spans(data, np.array([0, len(data)]), ALNUM)
         if len(starts) < K:
             raise ValueError(f"a template needs {K} words: {text}")
         grams = rolled(word_hashes(data, starts, ends), K).view(np.int64).tolist()
-        rows += [(g, t, q, label, len(starts), t < len(phrases)) for q, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, template int, q int, label string, words int, exact boolean")
+        rows += [(g, t, q, label, len(starts), t < len(base) + len(phrases), t < len(base)) for q, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "gram long, template int, q int, label string, words int, exact boolean, base boolean")
 
 
 def _words(batches, grams: bool):
@@ -90,8 +95,8 @@ def _words(batches, grams: bool):
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row for each document: doc_id, whole, n_words; one row for each verified place: doc_id, whole, label, exact, first_word, last_word, coverage).
+def scan(docs: DataFrame, base=PHRASES, phrases=MORE_PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(one row for each document: doc_id, whole, n_words; one row for each verified place: doc_id, whole, label, base, first_word, last_word, coverage).
 
     whole, a hash of the whole text, tells rows of one id apart.
     """
@@ -103,12 +108,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
 
     grams = rows.mapInArrow(lambda b: _words(b, True), f"doc_id {kind}, rid long, whole long, n_words long, grams array<long>")
     each = grams.select("doc_id", "rid", "whole", F.posexplode("grams").alias("p", "gram"))
-    hits = each.join(F.broadcast(template_positions(spark, phrases, templates)), "gram")
-    facts = ["label", "words", "exact"]
+    hits = each.join(F.broadcast(template_positions(spark, base, phrases, templates)), "gram")
+    facts = ["label", "words", "exact", "base"]
     votes = hits.groupBy("doc_id", "rid", "whole", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         *[F.first(f).alias(f) for f in facts], F.count("*").alias("votes"), F.min("p").alias("first_word"), (F.max("p") + (K - 1)).alias("last_word"), F.collect_list("q").alias("at")
     )
-    places = votes.where(F.col("exact") & (F.col("votes") == F.col("words") - (K - 1))).select("doc_id", "rid", "whole", "label", "exact", "first_word", "last_word", F.lit(1.0).alias("coverage"))
+    places = votes.where(F.col("exact") & (F.col("votes") == F.col("words") - (K - 1))).select("doc_id", "rid", "whole", "label", "base", "first_word", "last_word", F.lit(1.0).alias("coverage"))
 
     one = Window.partitionBy("rid", "doc_id", "whole", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one) > SLACK, F.lit(True))
@@ -125,12 +130,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
 def summary(texts: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    exact = F.col("exact")
+    base = F.col("base")
     by_row = found.groupBy("doc_id", "rid", "whole").agg(
-        F.count_if(exact).alias("n_base"),
-        F.min(F.when(exact, F.col("first_word").cast("long"))).alias("first_word"),
-        F.max(F.when(exact, F.col("first_word").cast("long"))).alias("last_word"),
-        labels(F.when(exact, F.col("label"))).alias("base_labels"),
+        F.count_if(base).alias("n_base"),
+        F.min(F.when(base, F.col("first_word").cast("long"))).alias("first_word"),
+        F.max(F.when(base, F.col("first_word").cast("long"))).alias("last_word"),
+        labels(F.when(base, F.col("label"))).alias("base_labels"),
         labels("label").alias("labels"),
         F.max("coverage").alias("score"),
     )
