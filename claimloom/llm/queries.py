@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import byte_bpe, licenses, mixing, quality, token_files
+from claimloom.llm import byte_bpe, jaccard, licenses, mixing, quality, token_files
 from claimloom.llm.common import documents
 from claimloom.llm.exact_dedup import exact_duplicates
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard.similar(documents(spark, sf_dir), k=3, percent=90)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
