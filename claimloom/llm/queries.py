@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, jaccard, licenses, mixing, quality, token_files
+from claimloom.llm import byte_bpe, jaccard, language_model, licenses, mixing, quality, token_files
 from claimloom.llm.common import documents
 from claimloom.llm.exact_dedup import exact_duplicates
 
@@ -22,6 +23,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def fold(remainder: int) -> Column:
+    """Whether the checksum of the id as text has this remainder modulo 5; a null id has none."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == remainder, F.lit(False))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_model.train(docs.where(~fold(1)))
+    scored = language_model.score(docs, model, [F.col("doc_id"), fold(1).alias("held_out")])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
