@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, jaccard, language_model, licenses, mixing, quality, token_files
+from claimloom.llm import byte_bpe, jaccard, language_model, licenses, mixing, quality, substring_dedup, token_files
 from claimloom.llm.common import documents
 from claimloom.llm.exact_dedup import exact_duplicates
 
@@ -40,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(*licenses.scan(documents(spark, sf_dir)))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
