@@ -7,27 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, jaccard, language_model, licenses, mixing, quality, substring_dedup, token_files
+from claimloom.llm import byte_bpe, jaccard, language_id, language_model, licenses, mixing, quality, substring_dedup, token_files
 from claimloom.llm.common import documents
 from claimloom.llm.exact_dedup import exact_duplicates
 
 
+def fold(remainder: int) -> Column:
+    """Whether the checksum of the id as text has this remainder modulo 5; a null id has none."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == remainder, F.lit(False))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.similar(documents(spark, sf_dir), k=3, percent=90)
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = language_id.train(docs.where(~fold(0)))
+    found = language_id.predict(docs, net, [F.col("doc_id"), fold(0).alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def fold(remainder: int) -> Column:
-    """Whether the checksum of the id as text has this remainder modulo 5; a null id has none."""
-    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == remainder, F.lit(False))
-
-
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_model.train(docs.where(~fold(1)))
@@ -68,6 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
