@@ -18,9 +18,10 @@ the document that fills it. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,9 @@ from claimloom.llm.kernel import slices
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
 MAGIC = b"EFIDS001"
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
+#: A word of letters or digits and a tail of ASCII signs other than the apostrophe.
+PARTS = re.compile(rb"([a-z0-9\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 SCHEMA = "file int, seq int, ids_before long, n_docs int, n_ids long, body binary"
 
 
@@ -125,28 +128,75 @@ class Segment:
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, run once for each distinct word of a worker's texts."""
+    """A tokenizer that drops white space and folds case, run once for each distinct word of a worker's texts.
+
+    White space ends every token and leaves none, so words can be encoded alone, in lower case. A word of letters
+    and a tail of ASCII signs other than apostrophes are two pieces, encoded apart. Words of letters are one piece
+    each, so many go to the library in one text and the word ends among the ids part them again; if the ends don't
+    match the words, and for all other words, the library gets them one by one. Texts that may hold a special token's
+    string go to it whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        size = max(vocab.values()) + 1
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.width = int(self.kind[2])
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
 
-    def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """Each text's ids. White space ends every token and leaves none, so words can be encoded alone."""
-        split = [t.split() for t in texts]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], texts: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            self.words.update(zip(words[at : at + 4096], self._ids(texts[at : at + 4096]), strict=True))
+
+    def _learn_letters(self, words: list[bytes], texts: list[str]) -> None:
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.frombuffer(self._ids([" ".join(texts[at : at + 256])])[0], self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(ends) == len(part) and ends[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                self.words.update((w, raw[a:z]) for w, a, z in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            else:
+                self._learn(part, texts[at : at + 256])
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put the ids of words in lower case into the cache."""
+        parted, alone = [], []
+        letters: dict[bytes, str] = {}
+        for w in new:
+            m = PARTS(w)
+            stem = (m[1] if m else w).decode()
+            if m and stem.lower().isalpha():
+                parted.append((w, m[1], m[2]))
+                letters[m[1]] = stem
+            elif stem.lower().isalpha():
+                letters[w] = stem
+            else:
+                alone.append(w)
+        alone += {t for _, _, t in parted if t not in self.words}
+        for w in [w for w in letters if w in self.words]:
+            del letters[w]
+        self._learn(alone, [w.decode() for w in alone])
+        self._learn_letters(list(letters), list(letters.values()))
+        for w, stem, tail in parted:
+            self.words[w] = self.words[stem] + self.words[tail]
+
+    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Each text's ids."""
+        split = [None if b"<|" in t else t.lower().split() for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.words))
-        kind = "<u2" if self.width == 2 else "<u4"
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, done, strict=True))
+        self.learn(list(set(chain.from_iterable(s for s in split if s)).difference(self.words)))
         get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [self._ids([t.decode()])[0] if s is None else b"".join(map(get, s)) for s, t in zip(split, texts, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
