@@ -255,8 +255,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
     return chosen.mapInArrow(run, chosen.schema.add(bytes_col, "binary"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the hashes of each text's ids and of what they decode to, in one pass without moving ids."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the hashes of each text's ids and of what they decode to, in one pass; with keep_ids also ids."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -264,12 +264,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches):
         bpe = codec(path, pattern)
         for b in batches:
-            n, ids_hash, back_hash = [], [], []
+            n, ids_hash, back_hash, kept = [], [], [], []
             for part in _texts(b.column(1)):
                 for ids in bpe.encode(part):
                     n.append(len(ids) // 4)
+                    if keep_ids:
+                        kept.append(ids)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())
                     back_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), np.frombuffer(b"".join(kept), "<u4").astype(np.int32))] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

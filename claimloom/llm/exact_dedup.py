@@ -56,3 +56,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     found = alone.unionByName(same).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return found.select("doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if hash_all else []))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one for each text: that with the largest id; of rows equal in id and text, one.
+
+    Only rows whose id occurs in a group of copies are shuffled.
+    """
+    same = exact_duplicates(docs, id_col, text_col).where("group_size > 1")
+    key = F.xxhash64(F.col("i").cast("string"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256).alias("h"))
+    flagged = in_bitmap(rows, key, bitmap_of(same, F.xxhash64(F.col("doc_id").cast("string"))), "copy")
+    ids = same.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    copies = flagged.where("copy").join(ids, F.col("i").eqNullSafe(F.col("doc_id")), "left").where("coalesce(kept, true)")
+    return flagged.where("not copy").select("row.*").unionByName(copies.dropDuplicates(["i", "h"]).select("row.*"))

@@ -164,18 +164,16 @@ def plan(sized: DataFrame, weights: list[float], share: float, most: float) -> t
     return sources, table
 
 
-def mix(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target and draws, an array of (copy, shard, place).
+def placed(rows: DataFrame, sources: pd.DataFrame, table: pd.DataFrame) -> DataFrame:
+    """rows (doc_id, source, has_words and others) with source_size, target and draws, an array of (copy, shard, place).
 
-    A draw is one copy of the document in one output shard; a shard's copies stand in the order of place. Each document
-    finds the draws of its blocks by their paths, so only the tables of sources and draws are broadcast, and those only
-    where they are small.
+    Each document finds the draws of its blocks by their paths, so only the tables of sources and draws meet the rows,
+    and are broadcast only where they are small.
     """
-    spark = docs.sparkSession
-    sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
-    sources, table = plan(sized, weights, share, most)
+    spark = rows.sparkSession
+    names = rows.columns
     known = spark.createDataFrame([(r.source, int(r.source_number), int(r.source_size), float(r.target)) for r in sources.itertuples()], "k_source string, number int, source_size long, target double")
-    rows = sized.join(bounded(known, len(sources)), F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source")
+    rows = rows.join(bounded(known, len(sources)), F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source")
     deep = int(table["level"].max()) + 1 if len(table) else 1
     drawn: dict[tuple[int, str, int], list[tuple[int, int]]] = {}
     for r in table.itertuples():
@@ -183,12 +181,30 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: float, id_col
     for level in range(deep):
         here = [(int(k), p, int(b), d) for (k, p, b), d in drawn.items() if p.count("/") + bool(p) == level]
         blocks = spark.createDataFrame(here, f"b_number int, b_path string, b_block int, d{level} array<struct<copy:int,shard:int>>")
-        on = (F.col("number") == F.col("b_number")) & (_path(level) == F.col("b_path")) & (_digit(level) == F.col("b_block")) & (F.col("size") > 0)
+        on = (F.col("number") == F.col("b_number")) & (_path(level) == F.col("b_path")) & (_digit(level) == F.col("b_block")) & F.col("has_words")
         rows = rows.join(bounded(blocks, len(here)), on, "left").drop("b_number", "b_path", "b_block")
     none = F.expr("cast(array() as array<struct<copy:int,shard:int>>)")
     draws = F.concat(*[F.coalesce(F.col(f"d{level}"), none) for level in range(deep)])
-    placed = F.transform(draws, lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.xxhash64(F.lit(SEED), d["shard"], d["copy"], F.col("doc_id").cast("string")).alias("place")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", placed.alias("draws"))
+    place = F.transform(draws, lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.xxhash64(F.lit(SEED), d["shard"], d["copy"], F.col("doc_id").cast("string")).alias("place")))
+    return rows.select(*names, "source_size", "target", place.alias("draws"))
+
+
+def mix(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target and draws, an array of (copy, shard, place).
+
+    A draw is one copy of the document in one output shard; a shard's copies stand in the order of place.
+    """
+    sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
+    return placed(sized.withColumn("has_words", F.col("size") > 0), *plan(sized, weights, share, most)).drop("has_words")
+
+
+def sharded(docs: DataFrame, weights: list[float], share: float, most: float, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, all columns, that the mix takes, each copy once: one partition a shard, shuffled within it."""
+    sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
+    word = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word.alias("has_words"))
+    copies = placed(rows, *plan(sized, weights, share, most)).select("row", F.explode("draws").alias("d"))
+    return copies.repartitionById(SHARDS, F.col("d.shard")).sortWithinPartitions("d.place").select("row.*")
 
 
 def taken(mixed: DataFrame) -> DataFrame:

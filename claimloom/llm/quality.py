@@ -138,13 +138,19 @@ def thresholds(rates: DataFrame) -> DataFrame:
     return limits.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row for each document: doc_id, lang, source, COUNTS, the rates, base_failed, kept and failed (the rates beyond their limits)."""
-    keep = [F.col(id_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
-    rows = measured(docs, text_col, keep).withColumnsRenamed({"k0": "doc_id", "k1": "lang", "k2": "source"})
-    rates = rows.withColumns({r: F.expr(f"coalesce(cast(floor(try_divide({a}, {b})) as bigint), 0L)") for r, (a, b, _, _) in RATES.items()})
-    rates = written(rates, "rates")
-    limits = thresholds(rates).withColumnsRenamed({"lang": "l_lang", "source": "l_source"})
+def with_rates(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({r: F.expr(f"coalesce(cast(floor(try_divide({a}, {b})) as bigint), 0L)") for r, (a, b, _, _) in RATES.items()})
+
+
+def limits_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(a table of every document's id, lang, source, COUNTS and rates; a table of each group's limits)."""
+    rows = measured(docs, text_col, [F.col(id_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string")])
+    rates = written(with_rates(rows.withColumnsRenamed({"k0": "doc_id", "k1": "lang", "k2": "source"})), "rates")
+    return rates, written(thresholds(rates).withColumnsRenamed({"lang": "l_lang", "source": "l_source"}), "limits")
+
+
+def verdict(rates: DataFrame, limits: DataFrame) -> DataFrame:
+    """rates with base_failed, kept and failed (the rates beyond their limits)."""
     joined = rates.join(limits, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
     beyond = []
     for r, (_, _, _, below) in RATES.items():
@@ -152,4 +158,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         beyond.append(F.when(over if below is None else over | (F.col(r) < F.col(f"{r}_least")), F.lit(r)))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     failed = F.array_compact(F.array(*beyond))
-    return joined.select("doc_id", "lang", "source", *COUNTS, *RATES, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
+    return joined.select(*rates.columns, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row for each document: doc_id, lang, source, COUNTS, the rates, base_failed, kept and failed (the rates beyond their limits)."""
+    return verdict(*limits_of(docs, text_col, lang_col, source_col, id_col))
+
+
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs, all columns, that the rules keep. Rates are measured again beside the rows, so texts are not shuffled."""
+    _, limits = limits_of(docs, text_col, lang_col, source_col, id_col)
+    rows = measured(docs, text_col, [F.struct("*"), F.col(lang_col).cast("string"), F.col(source_col).cast("string")])
+    return verdict(with_rates(rows.withColumnsRenamed({"k1": "lang", "k2": "source"})), limits).where("kept").select("k0.*")
