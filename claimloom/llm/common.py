@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,23 @@ def in_bitmap(df: DataFrame, key_hash: Column, bitmap: DataFrame, flag: str) ->
         F.broadcast(bitmap.withColumnRenamed("bm_word", "bm_at")), F.expr("shiftright(bm_bit, 6) = bm_at"), "left"
     )
     return got.select(*names, F.expr("coalesce((shiftright(bm_bits, cast(bm_bit & 63 as int)) & 1) = 1, false)").alias(flag))
+
+
+#: Bits of a bitmap that workers receive: four megabytes, whatever the input's size.
+WORKER_BITS = 1 << 25
+
+
+def worker_bitmap(hashes: DataFrame, column: str):
+    """A broadcast array with one bit set for each 64-bit hash in a column."""
+    bit = F.col(column).bitwiseAND(F.lit(WORKER_BITS - 1))
+    words = hashes.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word"))
+    got = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(WORKER_BITS // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set: true for every hash that was put in, and by chance for a few others."""
+    bit = hashes & np.uint64(WORKER_BITS - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import ARROW_ROWS, small_batches, written
+from claimloom.llm.common import ARROW_ROWS, may_hold, small_batches, worker_bitmap, written
 from claimloom.llm.kernel import mix, prefix_sums, slices, span_hashes
 from claimloom.llm.language_model import _dealt, _pack, _unpack, range_of
 
@@ -40,8 +40,6 @@ SPAN = 200
 K = 64
 #: Blocks that a task holds before it deals them out.
 HELD = 400_000
-#: Bits of the bitmaps of texts and blocks: four megabytes each.
-BITS = 1 << 25
 
 BLOCKS = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint8, np.uint8]  # anchor, bytes, text, start, anchor's distance, windows - 1
 
@@ -82,7 +80,8 @@ def blocks(data: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) ->
     s1, s2 = np.flatnonzero(first), np.flatnonzero(last)
     p = anchor[s1]
     whole = mix(span_hashes(sums, s1, s2 + span) + (p - s1).astype(np.uint64))
-    return s1, s2, p, grams[p], whole, np.searchsorted(offs, s1, "right") - 1
+    # An anchor has the least hash of many, so its hash is mixed again to spread over all ranges.
+    return s1, s2, p, mix(grams[p]), whole, np.searchsorted(offs, s1, "right") - 1
 
 
 def text_keys(ids: list, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -95,20 +94,6 @@ def place_hash(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(key ^ (start.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
 
 
-def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & U(BITS - 1)
-    return (bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1
-
-
-def _set(bitmap_rows: DataFrame) -> np.ndarray:
-    """The bitmap of the hashes in column h."""
-    bit = F.col("h").bitwiseAND(F.lit(BITS - 1))
-    got = bitmap_rows.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def _rows(part: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
@@ -195,14 +180,14 @@ def _send_bytes(parts: int, texts, places):
         for b in batches:
             for lo, hi, data, offs in slices(b.column(1)):
                 keys = text_keys(b.column(0).slice(lo, hi - lo).to_pylist(), data, offs)
-                asked = np.flatnonzero(_has(texts.value, keys))
+                asked = np.flatnonzero(may_hold(texts.value, keys))
                 if not len(asked):
                     continue
                 own = np.concatenate([[0], np.cumsum(np.diff(offs)[asked])])
                 part = np.concatenate([data[offs[i] : offs[i + 1]] for i in asked])
                 s1, s2, p, a, _, doc = blocks(part, own)
                 key, start = keys[asked][doc], (s1 - own[doc]).astype(np.uint32)
-                send = np.flatnonzero(_has(places.value, place_hash(key, start)))
+                send = np.flatnonzero(may_hold(places.value, place_hash(key, start)))
                 if len(send):
                     raw = part.tobytes()
                     held.append((a[send], key[send], start[send], (p - s1)[send].astype(np.uint8), (s2 - s1)[send].astype(np.uint8), [raw[x:y] for x, y in zip(s1[send].tolist(), (s2[send] + SPAN).tolist(), strict=True)]))
@@ -268,7 +253,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         met = written(dealt.mapInArrow(_meet_blocks, FOUND), "intervals")
         asked = met.where(f"kind = {REQUESTS}")
         places = asked.mapInArrow(_place_hashes, "h long")
-        texts_bits, places_bits = (spark.sparkContext.broadcast(_set(x)) for x in (asked.select(F.col("key").alias("h")), places))
+        texts_bits, places_bits = worker_bitmap(asked, "key"), worker_bitmap(places, "h")
         sent = docs.mapInArrow(_send_bytes(parts, texts_bits, places_bits), "part int, blob binary").repartitionById(parts, F.col("part"))
         compared = written(sent.mapInArrow(_compare_windows, FOUND), "intervals")
     finally:
@@ -291,7 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(repeated_intervals(docs), "intervals")
-    marked = spark.sparkContext.broadcast(_set(found.select(F.col("key").alias("h"))))
+    marked = worker_bitmap(found, "key")
     grouped = found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     def keyed(batches):
@@ -299,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for lo, hi, data, offs in slices(b.column(1)):
                 ids = b.column(0).slice(lo, hi - lo)
                 keys = text_keys(ids.to_pylist(), data, offs)
-                raw, has = data.tobytes(), _has(marked.value, keys).tolist()
+                raw, has = data.tobytes(), may_hold(marked.value, keys).tolist()
                 texts = [raw[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()), pa.array(has)], names=["doc_id", "own", "raw", "has"])
 
