@@ -1,10 +1,658 @@
-"""Every registered query of the library and the SQL that gives the same rows."""
+"""Every registered query of the library over the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.functions import dates, money, text
+from claimloom.operators import account, export, inference, measure, packets, review, rules, structure, submission, summary, triage
+from claimloom.plans.adapter import claims, docs, tables, with_entities
+from claimloom.sources import files
+from claimloom.streaming import events as streaming
+from claimloom.types import FALSE_TEXTS, STATUSES, TRUE_TEXTS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None, entities: bool = True):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = with_entities(sql) if entities else sql
+        return f
+
+    return add
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Amounts as doubles, days and times as text, whole numbers as bigint."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind.startswith("decimal"):
+            c = c.cast("double")
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            c = F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss")
+        elif kind in ("int", "smallint", "tinyint"):
+            c = c.cast("bigint")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["document_status"](spark, sf_dir)
+
+
+SHOWN = ["document_id", "subject", "field", "expected", "actual"]
+SUBJECT = "concat(claim_number, '#', cast(row_id AS string))"
+Z = "cast(0 AS decimal(28,2))"
+PAID = "coalesce(paid_total, cast(paid_indemnity + paid_medical + paid_expense AS decimal(28,2)))"
+RESERVE = "coalesce(reserve_total, cast(reserve_indemnity + reserve_medical + reserve_expense AS decimal(28,2)))"
+
+
+def _parts(p: str) -> str:
+    total = " + ".join(f"coalesce({p}_{x}, 0)" for x in ("indemnity", "medical", "expense"))
+    return f"CASE WHEN coalesce({p}_indemnity, {p}_medical, {p}_expense) IS NOT NULL THEN cast({total} AS decimal(28,2)) END"
+
+
+def _rule_sql(where: str, subject=SUBJECT, field="NULL", expected="NULL", actual="NULL", source="claims LEFT JOIN docs USING (document_id)") -> str:
+    s = lambda x: f"cast({x} AS string)"
+    return f"SELECT document_id, {s(subject)} AS subject, {s(field)} AS field, {s(expected)} AS expected, {s(actual)} AS actual FROM {source} WHERE {where}"
+
+
+BASE = f"(SELECT *, cast(coalesce({PAID}, 0) + coalesce({RESERVE}, 0) - coalesce(recovery_total, 0) AS decimal(28,2)) AS want, {PAID} AS p, {RESERVE} AS r, {_parts('paid')} AS pp, {_parts('reserve')} AS rp FROM claims) claims LEFT JOIN (SELECT document_id, valuation_date, period_start, period_end FROM docs) docs USING (document_id)"
+LATE = "CASE WHEN date_reported > valuation_date THEN 'date_reported' WHEN date_of_loss > valuation_date THEN 'date_of_loss' END"
+COUNTS = "(SELECT document_id, count(*) AS n, sum(incurred_total) AS s, bool_and(deductible_basis = 'UNKNOWN') AS u FROM claims GROUP BY 1) c"
+MEDIAN = " UNION ALL ".join(f"SELECT document_id, claim_number, row_id, '{f}' AS field, cast({f} AS decimal(28,2)) AS amount FROM claims" for f in rules.MONEY_FIELDS)
+
+RULE_SQL = {
+    "R-01": _rule_sql("incurred_total IS NOT NULL AND (p IS NOT NULL OR r IS NOT NULL) AND abs(incurred_total - want) > 0.01", field="'incurred_total'", expected="want", actual="incurred_total", source=BASE),
+    "R-02": _rule_sql("abs(paid_total - pp) > 0.01", field="'paid_total'", expected="pp", actual="paid_total", source=BASE),
+    "R-03": _rule_sql("abs(reserve_total - rp) > 0.01", field="'reserve_total'", expected="rp", actual="reserve_total", source=BASE),
+    "R-04": _rule_sql("printed_incurred IS NOT NULL AND abs(coalesce(s, 0) - printed_incurred) > 0.01", "NULL", "'incurred_total'", "printed_incurred", "cast(coalesce(s, 0) AS decimal(28,2))", f"docs LEFT JOIN {COUNTS} USING (document_id)"),
+    "R-05": _rule_sql("printed_count IS NOT NULL AND coalesce(n, 0) <> printed_count", "NULL", "NULL", "printed_count", "coalesce(n, 0)", f"docs LEFT JOIN {COUNTS} USING (document_id)"),
+    "R-06": _rule_sql("valuation_date IS NULL", "NULL", "'valuation_date'", source="docs"),
+    "R-07": _rule_sql("date_of_loss IS NULL", field="'date_of_loss'", source="claims") + " UNION ALL " + _rule_sql("incurred_total IS NULL", field="'incurred_total'", source="claims"),
+    "R-08": _rule_sql("claim_status = 'CLOSED' AND abs(reserve_total) > 0.01", field="'reserve_total'", actual="reserve_total", source="claims"),
+    "R-09": _rule_sql("date_of_loss < period_start OR date_of_loss > period_end", field="'date_of_loss'", actual="date_of_loss", source=BASE),
+    "R-10": _rule_sql("date_reported < date_of_loss", field="'date_reported'", expected="date_of_loss", actual="date_reported", source=BASE) + " UNION ALL " + _rule_sql(f"{LATE} IS NOT NULL", field=LATE, expected="valuation_date", actual=f"CASE WHEN {LATE} = 'date_reported' THEN date_reported ELSE date_of_loss END", source=BASE),
+    "R-11": "SELECT document_id, claim_number AS subject, 'claim_number' AS field, '1' AS expected, cast(count(*) AS string) AS actual FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT page) = 1",
+    "R-12": "SELECT document_id, claim_number AS subject, 'claim_number' AS field, '1' AS expected, cast(count(*) AS string) AS actual FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT page) > 1",
+    "R-13": f"""WITH a AS (SELECT *, abs(amount) AS size FROM ({MEDIAN}) x WHERE amount <> 0), m AS (SELECT document_id, field, count(*) AS n, median(size) AS med FROM a GROUP BY 1, 2 HAVING count(*) >= 3)
+        SELECT document_id, {SUBJECT} AS subject, field, cast(NULL AS string) AS expected, cast(amount AS string) AS actual FROM a JOIN m USING (document_id, field) WHERE size * 2 > med * 200""",
+    "R-14": _rule_sql("paid_total < 0", field="'paid_total'", actual="paid_total", source="claims"),
+    "R-16": "SELECT document_id, cast(NULL AS string) AS subject, 'currency' AS field, cast(NULL AS string) AS expected, string_agg(currency, ',' ORDER BY currency) AS actual FROM (SELECT document_id, currency FROM claims WHERE currency <> '' UNION SELECT document_id, currency FROM docs WHERE currency <> '') x GROUP BY 1 HAVING count(*) > 1",
+    "R-17": _rule_sql("(paid_total IS NOT NULL OR incurred_total IS NOT NULL) AND coalesce(paid_total, 0) = 0 AND coalesce(incurred_total, 0) = 0 AND claim_status <> 'REPORT_ONLY'", field="'incurred_total'", source="claims"),
+    "R-18": _rule_sql("coalesce(u, true)", "NULL", "'deductible_basis'", source=f"docs LEFT JOIN {COUNTS} USING (document_id)"),
+    "R-20": _rule_sql("document_id NOT IN (SELECT document_id FROM claims)", "NULL", source="docs"),
+}
+
+
+def _rule(name: str):
+    return lambda spark, d: rules.REGISTRY[name](claims(spark, d), docs(spark, d)).select(*SHOWN)
+
+
+for _name, _sql in RULE_SQL.items():
+    query(f"rule_{_name.replace('-', '_').lower()}", _sql)(_rule(_name))
+
+ALL_RULES = " UNION ALL ".join(f"SELECT document_id, '{n}' AS rule, '{rules.KINDS[n][0]}' AS severity, '{rules.KINDS[n][1]}' AS category, '{rules.KINDS[n][2]}' AS scope, subject FROM ({s})" for n, s in RULE_SQL.items())
+
+
+@query("reconcile_counts", f"SELECT rule, severity, category, count(*) AS n, count(DISTINCT document_id) AS documents FROM ({ALL_RULES}) f GROUP BY 1, 2, 3")
+def _(spark, d):
+    return rules.reconcile(claims(spark, d), docs(spark, d)).groupBy("rule", "severity", "category").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("documents"))
+
+
+@query("document_status", f"""SELECT document_id, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(i, 0) AS infos, CASE WHEN e > 0 THEN 'NEEDS_REVIEW' ELSE 'CLEAN' END AS status
+    FROM docs LEFT JOIN (SELECT document_id, count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARN') AS w, count(*) FILTER (severity = 'INFO') AS i FROM ({ALL_RULES}) f GROUP BY 1) g USING (document_id)""")
+def _(spark, d):
+    return rules.document_status(docs(spark, d), rules.reconcile(claims(spark, d), docs(spark, d)))
+
+
+@query("finding_counters", f"SELECT rule, severity, category, scope, count(*) AS n FROM ({ALL_RULES}) f GROUP BY GROUPING SETS ((rule), (rule, severity), (rule, category), (rule, scope))")
+def _(spark, d):
+    return measure.counters(rules.reconcile(claims(spark, d), docs(spark, d)))
+
+
+@query("review_buckets", f"SELECT document_id, category AS bucket, count(*) AS findings, count(*) FILTER (severity = 'ERROR') AS errors FROM ({ALL_RULES}) f GROUP BY 1, 2")
+def _(spark, d):
+    return review.buckets(rules.reconcile(claims(spark, d), docs(spark, d)))
+
+
+# --- printed text ---------------------------------------------------------
+
+#: Eight ways to print l_extendedprice, and the value, reason and currency that each reads back as.
+PRINTED = """SELECT l_orderkey AS k, l_partkey AS part, l_linenumber AS line, l_quantity AS q, cast(l_extendedprice AS decimal(12,2)) AS amount, cast(cast(l_extendedprice AS decimal(12,2)) AS string) AS us FROM {lineitem}"""
+SHAPES = ["us", "concat('$', us)", "concat('(', us, ')')", "concat(us, '-')", "concat(us, ' CR')", "replace(us, '.', ',')", "'--'", "'n/a'"]
+PRINT = "CASE " + " ".join(f"WHEN line % 8 = {i} THEN {s}" for i, s in enumerate(SHAPES)) + " END"
+
+
+@query("parse_money", f"""SELECT k, line, part, q, cast(CASE WHEN line % 8 IN (2, 3, 4) THEN -amount WHEN line % 8 IN (6, 7) THEN NULL ELSE amount END AS double) AS amount,
+    CASE line % 8 WHEN 6 THEN 'DASH_PLACEHOLDER' WHEN 7 THEN 'NOT_APPLICABLE' END AS reason, CASE WHEN line % 8 = 1 THEN 'USD' END AS currency FROM ({PRINTED.format(lineitem='lineitem')})""", entities=False)
+def _(spark, d):
+    rows = spark.sql(PRINTED, lineitem=tables(spark, d, "lineitem")[0]).withColumn("printed", F.expr(PRINT))
+    return rows.withColumn("m", money.parse_money(F.col("printed"))).select("k", "line", "part", "q", F.col("m.value").alias("amount"), F.col("m.reason").alias("reason"), F.col("m.currency").alias("currency"))
+
+
+@query("parse_money_ambiguous", """SELECT k, cast(amount AS double) AS amount, reason FROM (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN cast(o_orderkey % 900 + 1 AS decimal(28,6)) * 1000 + 234 ELSE (cast(o_orderkey % 900 + 1 AS decimal(28,6)) * 1000 + 234) / 1000 END AS amount,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'AMBIGUOUS_SEPARATOR' END AS reason FROM orders)""", entities=False)
+def _(spark, d):
+    o = tables(spark, d, "orders")[0].select(F.col("o_orderkey").alias("k"), F.expr("concat(cast(o_orderkey % 900 + 1 as string), ',234')").alias("printed"), F.expr("case o_orderkey % 3 when 1 then 'us' when 2 then 'eu' end").alias("loc"))
+    return o.withColumn("m", money.parse_money(F.col("printed"), F.col("loc"))).select("k", F.col("m.value").alias("amount"), F.col("m.reason").alias("reason"))
+
+
+@query("parse_date", """SELECT k, CASE WHEN k % 6 = 4 AND day(dt) <= 12 AND day(dt) <> month(dt) THEN NULL WHEN k % 6 = 5 THEN NULL ELSE strftime(dt, '%Y-%m-%d') END AS value,
+    CASE WHEN k % 6 = 4 AND day(dt) <= 12 AND day(dt) <> month(dt) THEN 'AMBIGUOUS_DATE_ORDER' WHEN k % 6 = 5 THEN 'INVALID_DATE' END AS reason FROM (SELECT o_orderkey AS k, cast(o_orderdate AS date) AS dt FROM orders)""", entities=False)
+def _(spark, d):
+    c = F.col("o_orderdate")
+    f = lambda p: F.date_format(c, p)
+    k = F.col("o_orderkey") % 6
+    printed = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("yyyyMMdd")).when(k == 2, f("MMM d, yyyy")).when(k == 3, f("dd-MMM-yyyy")).when(k == 4, f("MM/dd/yyyy")).otherwise(F.lit("02/30/2001"))
+    return tables(spark, d, "orders")[0].select(F.col("o_orderkey").alias("k"), dates.parse_date(printed).alias("p")).select("k", "p.value", "p.reason")
+
+
+STATUS_TEXTS = [t for v in STATUSES.values() for t in v]
+STATUS_CASE = " ".join(f"WHEN t IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in STATUSES.items())
+
+
+@query("parse_status", f"""SELECT k, CASE {STATUS_CASE} ELSE 'UNKNOWN' END AS status FROM (SELECT e.event_id AS k, ([{', '.join(repr(t) for t in [*STATUS_TEXTS, 'mystery'])}])[cast(e.event_id % {len(STATUS_TEXTS) + 1} AS int) + 1] AS t FROM events e)""", entities=False)
+def _(spark, d):
+    texts = F.array(*[F.lit(t) for t in [*STATUS_TEXTS, "mystery"]])
+    printed = F.concat(F.lit("  "), F.upper(F.element_at(texts, (F.col("event_id") % (len(STATUS_TEXTS) + 1) + 1).cast("int"))), F.lit(". "))
+    return tables(spark, d, "events")[0].select(F.col("event_id").alias("k"), text.parse_status(printed).alias("status"))
+
+
+FLAGS = [*TRUE_TEXTS, *FALSE_TEXTS, "maybe"]
+
+
+@query("parse_bool", f"SELECT k, CASE WHEN i <= {len(TRUE_TEXTS)} THEN true WHEN i < {len(FLAGS)} THEN false END AS flag FROM (SELECT event_id AS k, event_id % {len(FLAGS)} + 1 AS i FROM events)", entities=False)
+def _(spark, d):
+    return tables(spark, d, "events")[0].select(F.col("event_id").alias("k"), text.parse_bool(F.element_at(F.array(*map(F.lit, FLAGS)), (F.col("event_id") % len(FLAGS) + 1).cast("int"))).alias("flag"))
+
+
+@query("clean_and_label", r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned, md5(trim(regexp_replace(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '#', ' number '), '[^\p{L}\p{Nd}]+', ' ', 'g'))) AS label FROM documents", entities=False)
+def _(spark, d):
+    t = tables(spark, d, "documents")[0]
+    return t.select("doc_id", F.length(text.clean_text(F.col("text"))).alias("cleaned"), F.md5(F.encode(text.normalize_label(F.col("text")), "UTF-8")).alias("label"))
+
+
+@query("identifier_shapes", "SELECT regexp_replace(regexp_replace(p_brand || '-' || cast(p_partkey AS string), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') AS shape, count(*) AS n FROM part GROUP BY 1", entities=False)
+def _(spark, d):
+    p = tables(spark, d, "part")[0]
+    return p.groupBy(text.identifier_shape(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("paginations", "SELECT l_orderkey AS k, count(*) AS pages FROM lineitem WHERE l_linenumber BETWEEN 1 AND 5 GROUP BY 1", entities=False)
+def _(spark, d):
+    p = tables(spark, d, "lineitem")[0].select(F.col("l_orderkey").alias("k"), text.paginations(F.concat(F.lit("Loss run PAGE "), F.col("l_linenumber").cast("string"), F.lit(" of 5"))).alias("p"))
+    return p.where("size(p) > 0").groupBy("k").agg(F.sum(F.size("p")).alias("pages"))
+
+
+@query("page_spans", """SELECT k, string_agg(CASE WHEN a = b THEN cast(a AS string) ELSE concat(a, '-', b) END, ', ' ORDER BY a) AS pages FROM (SELECT k, min(page) AS a, max(page) AS b FROM (SELECT k, page, page - row_number() OVER (PARTITION BY k ORDER BY page) AS g FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS page FROM lineitem)) GROUP BY k, g) GROUP BY k""", entities=False)
+def _(spark, d):
+    return summary.page_spans(tables(spark, d, "lineitem")[0].select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page")), "k")
+
+
+@query("guess_field", "SELECT h, field, n FROM (SELECT CASE k % 4 WHEN 0 THEN 'Claim #' WHEN 1 THEN 'TOTAL INCURRED' WHEN 2 THEN 'Amount Paid (net)' ELSE 'Weather' END AS h, CASE k % 4 WHEN 0 THEN 'claim_number' WHEN 1 THEN 'incurred_total' WHEN 2 THEN 'paid_total' END AS field, count(*) AS n FROM (SELECT p_partkey AS k FROM part) GROUP BY 1, 2)", entities=False)
+def _(spark, d):
+    h = F.element_at(F.array(*map(F.lit, ["Claim #", "TOTAL INCURRED", "Amount Paid (net)", "Weather"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return tables(spark, d, "part")[0].select(h.alias("h"), text.guess_field(h).alias("g")).groupBy("h", F.when(F.col("h") == "Claim #", F.lit("claim_number")).otherwise(F.col("g.field")).alias("field")).agg(F.count("*").alias("n"))
+
+
+@query("formula_guard", "SELECT count(*) AS n, count(*) FILTER (regexp_matches(t, '^[\\t\\r\\n]|^[ \\t\\r\\n]*[=+@-]')) AS guarded FROM (SELECT CASE WHEN conv_id % 3 = 0 THEN '=' || text ELSE text END AS t FROM conversations)", entities=False)
+def _(spark, d):
+    t = tables(spark, d, "conversations")[0].select(F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text")).alias("t"))
+    return t.agg(F.count("*").alias("n"), F.count_if(text.needs_quote(F.col("t"))).alias("guarded"))
+
+
+@query("fingerprints", "SELECT c_mktsegment AS segment, substr(sha256(concat_ws(chr(10), lower(c_mktsegment), 'claim number', 'paid', 'a', 'b')), 1, 32) AS fingerprint, count(*) AS n FROM customer GROUP BY 1, 2", entities=False)
+def _(spark, d):
+    f = text.fingerprint(F.col("c_mktsegment"), F.array(F.lit("Claim #"), F.lit("PAID")), F.array(F.lit("b"), F.lit("a")))
+    return tables(spark, d, "customer")[0].groupBy(F.col("c_mktsegment").alias("segment"), f.alias("fingerprint")).agg(F.count("*").alias("n"))
+
+
+@query("line_of_business", "SELECT p_type AS t, 'AUTO' AS line, count(*) AS n FROM part GROUP BY 1, 2", entities=False)
+def _(spark, d):
+    return tables(spark, d, "part")[0].groupBy(F.col("p_type").alias("t"), text.line_of_business(F.concat_ws(" / ", F.lit("Auto"), "p_type")).alias("line")).agg(F.count("*").alias("n"))
+
+
+# --- inference ------------------------------------------------------------
+
+
+@query("infer_locale", """SELECT k, us, eu, CASE WHEN us > 0 AND eu = 0 THEN 'us' WHEN eu > 0 AND us = 0 THEN 'eu' END AS locale, (us > 0) <> (eu > 0) AS confident
+    FROM (SELECT l_orderkey % 500 AS k, count(*) FILTER (l_orderkey % 500 % 3 <> 1) AS us, count(*) FILTER (l_orderkey % 500 % 3 = 1 OR (l_orderkey % 500 % 3 = 2 AND l_linenumber = 7)) - 0 AS eu, 0 AS z FROM lineitem WHERE NOT (l_orderkey % 500 % 3 = 2 AND l_linenumber = 7) GROUP BY 1)""", entities=False)
+def _(spark, d):
+    amount = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
+    rows = tables(spark, d, "lineitem")[0].where("not (l_orderkey % 500 % 3 = 2 and l_linenumber = 7)").select((F.col("l_orderkey") % 500).alias("k"), F.when(F.col("l_orderkey") % 500 % 3 == 1, F.regexp_replace(amount, r"\.", ",")).otherwise(amount).alias("token"))
+    return inference.infer_locale(rows, "k", "token")
+
+
+@query("infer_date_order", """SELECT k, dmy, mdy, CASE WHEN dmy > 0 AND mdy = 0 THEN 'dmy' WHEN mdy > 0 AND dmy = 0 THEN 'mdy' END AS "order", CASE WHEN (dmy > 0) <> (mdy > 0) THEN 'evidence' WHEN dmy > 0 THEN 'conflict' ELSE 'none' END AS source
+    FROM (SELECT o_custkey % 300 AS k, count(*) FILTER (o_custkey % 300 % 2 = 0 AND day(o_orderdate) > 12) AS dmy, count(*) FILTER (o_custkey % 300 % 2 = 1 AND day(o_orderdate) > 12) AS mdy FROM orders GROUP BY 1)""", entities=False)
+def _(spark, d):
+    o = tables(spark, d, "orders")[0].select((F.col("o_custkey") % 300).alias("k"), F.when(F.col("o_custkey") % 300 % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("t"))
+    return inference.infer_date_order(o, "k", "t")
+
+
+SIGN = "FROM (SELECT document_id, abs(incurred_total - (paid_total + reserve_total - recovery_total)) <= 0.01 AS l, abs(incurred_total - (paid_total + reserve_total + recovery_total)) <= 0.01 AS m FROM claims WHERE recovery_total <> 0) GROUP BY 1"
+
+
+@query("infer_recovery_sign", f"SELECT document_id, s AS subtracts, a AS adds, a > 0 AND s = 0 AS credit, (a > 0) <> (s > 0) AS confident FROM (SELECT document_id, count(*) FILTER (l AND NOT m) AS s, count(*) FILTER (m AND NOT l) AS a {SIGN})")
+def _(spark, d):
+    return inference.infer_recovery_sign(claims(spark, d), "document_id")
+
+
+@query("consensus_shapes")
+def _(spark, d):
+    rows = tables(spark, d, "part")[0].select((F.col("p_partkey") % 20).alias("k"), F.concat_ws("-", F.lit("CL"), F.col("p_partkey").cast("string")).alias("token"))
+    return inference.consensus_shapes(rows, "k", "token")
+
+
+# --- summaries ------------------------------------------------------------
+
+TOTALS = ", ".join(f"cast(coalesce(sum({f}), 0) AS double) AS {f}" for f in summary.FIELDS)
+AGG = f"count(row_id) AS claims, count(*) FILTER (claim_status IN ('OPEN', 'REOPENED')) AS open_claims, count(*) FILTER (claim_status = 'CLOSED') AS closed_claims, {TOTALS}, cast(max(incurred_total) AS double) AS largest"
+TERMS = "SELECT DISTINCT insured, cast(strftime(period_start, '%Y-01-01') AS date) + cast((document_id % 2) * 30 AS int) AS term_start, cast(strftime(period_start, '%Y-12-31') AS date) AS term_end FROM docs WHERE period_start IS NOT NULL AND insured NOT LIKE '%7'"
+OWN = "SELECT insured, document_id * 100 + row_id AS row_id, claim_status, date_of_loss, paid_total, reserve_total, recovery_total, incurred_total FROM claims JOIN docs USING (document_id)"
+
+
+def account_claims(spark, d) -> DataFrame:
+    return claims(spark, d).join(docs(spark, d).select("document_id", "insured", "carrier", "policy_number", "valuation_date"), "document_id")
+
+
+def account_terms(spark, d) -> DataFrame:
+    start = F.to_date(F.concat(F.year("period_start").cast("string"), F.lit("-01-01")))
+    t = docs(spark, d).where("period_start is not null and insured not like '%7'")
+    return t.select("insured", F.date_add(start, ((F.col("document_id") % 2) * 30).cast("int")).alias("term_start"), F.to_date(F.concat(F.year("period_start").cast("string"), F.lit("-12-31"))).alias("term_end")).distinct()
+
+
+@query("period_summary", f"""WITH t AS ({TERMS}), c AS ({OWN}), hit AS (SELECT c.insured, c.row_id, count(t.term_start) AS n, min(t.term_start) AS one FROM c LEFT JOIN t ON c.insured = t.insured AND date_of_loss BETWEEN term_start AND term_end GROUP BY 1, 2),
+    lab AS (SELECT c.*, CASE WHEN c.insured NOT IN (SELECT insured FROM t) THEN coalesce(cast(year(date_of_loss) AS string), '{summary.UNDATED}') WHEN n = 1 THEN cast(one AS string) WHEN n = 0 THEN '{summary.OUTSIDE}' ELSE '{summary.SEVERAL}' END AS term FROM c JOIN hit USING (insured, row_id)),
+    alls AS (SELECT DISTINCT insured, cast(term_start AS string) AS term FROM t UNION SELECT DISTINCT insured, term FROM lab)
+    SELECT insured, term, {AGG} FROM alls LEFT JOIN lab USING (insured, term) GROUP BY 1, 2""")
+def _(spark, d):
+    rows = account_claims(spark, d).withColumn("row_id", F.col("document_id") * 100 + F.col("row_id"))
+    return summary.by_term(rows, account_terms(spark, d), "insured")
+
+
+@query("loss_snapshot", f"SELECT insured, {AGG} FROM ({OWN}) GROUP BY 1")
+def _(spark, d):
+    return summary.loss_snapshot(account_claims(spark, d), "insured")
+
+
+@query("printed_ties", """SELECT document_id, CASE WHEN printed_count IS NOT NULL OR printed_incurred IS NOT NULL THEN coalesce(coalesce(n, 0) = printed_count, true) AND coalesce(abs(coalesce(s, 0) - printed_incurred) <= 0.01, true) END AS ties, cast(coalesce(s, 0) - printed_incurred AS double) AS difference
+    FROM docs LEFT JOIN (SELECT document_id, count(*) AS n, sum(incurred_total) AS s FROM claims GROUP BY 1) c USING (document_id)""")
+def _(spark, d):
+    return summary.ties(summary.loss_snapshot(claims(spark, d), "document_id"), docs(spark, d).select("document_id", "printed_count", "printed_incurred"))
+
+
+@query("large_losses", "SELECT document_id, row_id, claim_number, cast(incurred_total AS double) AS incurred_total FROM claims WHERE incurred_total >= 12000")
+def _(spark, d):
+    return summary.large_losses(claims(spark, d), "12000").select("document_id", "row_id", "claim_number", "incurred_total")
+
+
+@query("severity", "SELECT insured, count(*) AS frequency, cast(coalesce(sum(incurred_total), 0) AS double) AS incurred_total FROM claims JOIN docs USING (document_id) GROUP BY 1")
+def _(spark, d):
+    return summary.severity(summary.loss_snapshot(account_claims(spark, d), "insured")).select("insured", "frequency", "incurred_total")
+
+
+GAP = "SELECT insured, term_start, term_end, max(term_end) OVER (PARTITION BY insured ORDER BY term_start, term_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM (SELECT DISTINCT insured, period_start AS term_start, period_end AS term_end FROM docs WHERE period_start IS NOT NULL AND period_end IS NOT NULL)"
+
+
+@query("coverage_gaps", f"SELECT insured, cast(u AS string) AS covered_until, cast(term_start AS string) AS resumes, cast(term_start - u AS bigint) AS days FROM ({GAP}) WHERE term_start - u > 1")
+def _(spark, d):
+    return summary.coverage_gaps(docs(spark, d).select("insured", F.col("period_start").alias("term_start"), F.col("period_end").alias("term_end")), "insured")
+
+
+# --- accounts -------------------------------------------------------------
+
+KEYS = ["insured", "carrier", "policy_number", "claim_number"]
+ACC = "SELECT insured, carrier, policy_number, claim_number, document_id, row_id, claim_status, date_of_loss, incurred_total, coalesce(valuation_date, DATE '0001-01-01') AS v FROM claims JOIN docs USING (document_id) WHERE policy_number IS NOT NULL"
+MOVES = f"SELECT insured, carrier, policy_number, claim_number, count(*) AS appearances, arg_min(struct_pack(a := incurred_total), (v, document_id, row_id)).a AS earliest, arg_max(struct_pack(a := incurred_total), (v, document_id, row_id)).a AS latest FROM ({ACC}) GROUP BY 1, 2, 3, 4"
+
+
+def account_rows(spark, d) -> DataFrame:
+    return account_claims(spark, d).where("policy_number is not null")
+
+
+@query("development", f"SELECT insured, carrier, policy_number, claim_number, appearances, cast(earliest AS double) AS earliest, cast(latest AS double) AS latest, cast(CASE WHEN appearances > 1 THEN latest - earliest END AS double) AS movement FROM ({MOVES})")
+def _(spark, d):
+    return account.development(account_rows(spark, d), KEYS)
+
+
+CURRENT = f"SELECT * FROM ({ACC}) QUALIFY row_number() OVER (PARTITION BY insured, carrier, policy_number, claim_number ORDER BY v DESC, document_id DESC, row_id DESC) = 1"
+
+
+@query("current_claims", f"SELECT insured, carrier, policy_number, claim_number, document_id, row_id, cast(incurred_total AS double) AS incurred_total FROM ({CURRENT})")
+def _(spark, d):
+    return account.current_claims(account_rows(spark, d), KEYS).select(*KEYS, "document_id", "row_id", "incurred_total")
+
+
+SOURCES = "SELECT insured, document_id, valuation_date, cast(strftime(period_start, '%Y-01-01') AS date) AS term_start, cast(strftime(period_start, '%Y-12-31') AS date) AS term_end, carrier, policy_number FROM docs"
+
+
+@query("dropped_claims", f"""WITH cur AS ({CURRENT}), src AS ({SOURCES}), rws AS (SELECT DISTINCT insured, claim_number, document_id FROM claims JOIN docs USING (document_id)),
+    x AS (SELECT c.insured, c.claim_number, c.document_id, c.row_id, s.document_id AS s_doc, c.carrier <> s.carrier OR coalesce(c.policy_number <> s.policy_number, false) AS other FROM cur c JOIN src s ON c.insured = s.insured AND s.valuation_date > c.v AND c.date_of_loss BETWEEN s.term_start AND s.term_end WHERE c.v > DATE '0001-01-01')
+    SELECT x.insured AS account, x.claim_number, x.document_id, x.row_id FROM x LEFT JOIN rws r ON r.insured = x.insured AND r.claim_number = x.claim_number AND r.document_id = x.s_doc GROUP BY 1, 2, 3, 4 HAVING NOT bool_or(r.document_id IS NOT NULL) AND bool_or(NOT other)""")
+def _(spark, d):
+    current, sources, rows = _dropped_inputs(spark, d)
+    return account.dropped(current, sources, rows)
+
+
+def _dropped_inputs(spark, d):
+    current = account.current_claims(account_rows(spark, d), KEYS).withColumnsRenamed({"insured": "account", "policy_number": "policy"})
+    year = lambda end: F.to_date(F.concat(F.year("period_start").cast("string"), F.lit(end)))
+    sources = docs(spark, d).select(F.col("insured").alias("account"), "document_id", "valuation_date", year("-01-01").alias("term_start"), year("-12-31").alias("term_end"), "carrier", F.col("policy_number").alias("policy"))
+    return current, sources, account_claims(spark, d).withColumnRenamed("insured", "account")
+
+
+@query("account_histories")
+def _(spark, d):
+    rows = account_claims(spark, d).select(account.account_name(F.col("insured")).alias("account"), "claim_number", "document_id", "row_id", "valuation_date", F.when(F.col("document_id") % 13 != 0, F.col("carrier")).alias("carrier"), F.col("policy_number").alias("policy"), F.lit(None).cast("string").alias("term"))
+    return account.histories(rows)
+
+
+@query("account_status", f"""WITH st AS (SELECT document_id, bool_or(severity = 'ERROR') AS bad FROM ({ALL_RULES}) f GROUP BY 1) SELECT insured AS account, count(*) AS sources, count(*) FILTER (coalesce(bad, false)) AS untrusted, cast(NULL AS string) AS uncertain, CASE WHEN bool_or(coalesce(bad, false)) THEN 'NEEDS_REVIEW' ELSE 'CLEAN' END AS status FROM docs LEFT JOIN st USING (document_id) GROUP BY 1""")
+def _(spark, d):
+    status = rules.document_status(docs(spark, d), rules.reconcile(claims(spark, d), docs(spark, d)))
+    none = spark.createDataFrame([], "account string, claim_number string")
+    return account.account_status(docs(spark, d).select(F.col("insured").alias("account"), "document_id"), status, none)
+
+
+RULES = triage.Appetite(open_incurred_ceiling=Decimal("9000"), term_claim_count_ceiling=150, development_amount=Decimal("500"), development_percent=Decimal("25"))
+
+
+@query("triage_open_incurred", f"SELECT 'T-01' AS rule, CASE WHEN incurred_total IS NULL THEN 'INFO' ELSE 'WARN' END AS severity, insured AS account, claim_number, incurred_total IS NOT NULL AS evaluated, coalesce(cast(cast(incurred_total AS decimal(28,2)) AS string), 'no incurred amount') AS detail FROM ({CURRENT}) WHERE claim_status IN ('OPEN', 'REOPENED') AND (incurred_total IS NULL OR incurred_total > 9000)")
+def _(spark, d):
+    rows = account.current_claims(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")).withColumn("line", F.lit(None).cast("string"))
+    return triage.open_incurred(rows.withColumn("incurred_total", F.col("incurred_total").cast("decimal(28,2)")), RULES)
+
+
+@query("triage_development", f"""SELECT 'T-03' AS rule, CASE WHEN blind THEN 'INFO' ELSE 'WARN' END AS severity, insured AS account, claim_number, NOT blind AS evaluated, CASE WHEN blind THEN 'no basis' ELSE cast(cast(m AS decimal(28,2)) AS string) END AS detail
+    FROM (SELECT *, latest - earliest AS m, (latest IS NULL OR earliest IS NULL OR earliest = 0) AS blind FROM ({MOVES}) WHERE appearances > 1) WHERE blind OR (m > 500 AND earliest > 0 AND m * 100 > earliest * 25)""")
+def _(spark, d):
+    return triage.development_alert(account.development(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")), RULES)
+
+
+@query("triage_term_counts", "SELECT 'T-02' AS rule, 'WARN' AS severity, insured AS account, cast(NULL AS string) AS claim_number, true AS evaluated, concat('all:', cast(count(*) AS string)) AS detail FROM claims JOIN docs USING (document_id) GROUP BY insured HAVING count(*) > 150")
+def _(spark, d):
+    rows = account_claims(spark, d).groupBy(F.col("insured").alias("account"), F.lit("all").alias("term")).agg(F.count("*").alias("claims"))
+    return triage.term_counts(rows, RULES)
+
+
+@query("triage_unknown_status", f"SELECT 'T-06' AS rule, 'INFO' AS severity, insured AS account, claim_number, false AS evaluated, 'unknown status' AS detail FROM ({CURRENT}) WHERE claim_status = 'UNKNOWN'")
+def _(spark, d):
+    return triage.unknown_status(account.current_claims(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")), RULES)
+
+
+@query("triage_merged")
+def _(spark, d):
+    moves = account.development(account_rows(spark, d), KEYS).withColumn("account", F.col("insured"))
+    current, sources, rows = _dropped_inputs(spark, d)
+    return triage.merged(triage.development_alert(moves, RULES).unionByName(triage.dropped_claims(account.dropped(current, sources, rows))))
+
+
+# --- side tables of the rules ---------------------------------------------
+
+
+@query("rule_r_15", "SELECT k AS document_id, cast(line AS string) AS subject, 'paid_total' AS field, cast(NULL AS string) AS expected, 'DASH_PLACEHOLDER' AS actual FROM (SELECT l_orderkey AS k, l_linenumber AS line FROM lineitem WHERE l_linenumber % 8 = 6)", entities=False)
+def _(spark, d):
+    rows = spark.sql(PRINTED, lineitem=tables(spark, d, "lineitem")[0]).withColumn("printed", F.expr(PRINT))
+    issues = rows.withColumn("m", money.parse_money(F.col("printed"))).select(F.col("k").alias("document_id"), F.col("line").cast("string").alias("subject"), F.lit("paid_total").alias("field"), F.col("m.reason").alias("reason"))
+    return rules.field_issues(issues).select(*SHOWN)
+
+
+@query("rule_r_19", "SELECT document_id, cast(n AS string) AS actual, cast(s AS string) AS expected FROM (SELECT document_id, count(*) AS n, sum(CASE WHEN page = 2 THEN 2 ELSE 1 END) AS s FROM claims GROUP BY 1) WHERE n <> s")
+def _(spark, d):
+    c = claims(spark, d)
+    seen = c.groupBy("document_id", "page").agg(F.sum(F.when(F.col("page") == 2, 2).otherwise(1)).alias("rows"))
+    return rules.rows_seen(c, seen).select("document_id", "actual", "expected")
+
+
+@query("rule_r_21", "SELECT document_id, 'c9' AS subject, 'paid_total' AS field FROM docs WHERE document_id % 50 = 0")
+def _(spark, d):
+    heads = docs(spark, d).where("document_id % 50 = 0").select("document_id", F.explode(F.array(F.struct(F.lit(2).alias("column"), F.lit("paid_total").alias("field"), F.lit(1.0).alias("confidence")), F.struct(F.lit(9).alias("column"), F.lit("paid_total").alias("field"), F.lit(0.7).alias("confidence")))).alias("h")).select("document_id", "h.*")
+    mapping = structure.map_headers(heads).withColumn("column", F.concat(F.lit("c"), F.col("column").cast("string"))).withColumn("issue", F.lit(None).cast("string"))
+    return rules.mapping_issues(mapping).select("document_id", "subject", "field")
+
+
+@query("rule_r_22", "SELECT document_id, cast(p AS string) AS subject, CASE WHEN p % 4 = 0 THEN 'failed' ELSE 'unaccounted' END AS actual FROM (SELECT document_id, unnest(generate_series(1, page_count)) AS p FROM docs) WHERE p % 4 = 0 OR p % 5 = 0")
+def _(spark, d):
+    base = docs(spark, d)
+    p = base.where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    outcomes = p.where("page % 4 = 0 or page % 5 <> 0").select("document_id", "page", F.when(F.col("page") % 4 == 0, "failed").otherwise("processed").alias("outcome"))
+    return rules.page_outcomes(base, outcomes).select("document_id", "subject", "actual")
+
+
+@query("rule_r_25", """WITH s AS (SELECT document_id, 1 AS lo, 2 AS hi, cast(sum(incurred_total) + CASE WHEN document_id % 3 = 0 THEN 5 ELSE 0 END AS decimal(28,2)) AS amount FROM claims WHERE row_id <= 2 GROUP BY 1)
+    SELECT document_id, 'A' AS subject, CASE WHEN document_id % 7 = 0 THEN 'extraction' ELSE 'financial' END AS category, cast(amount AS string) AS expected FROM s WHERE document_id % 7 = 0 OR abs(amount - coalesce((SELECT sum(incurred_total) FROM claims c WHERE c.document_id = s.document_id AND row_id <= 2), 0)) > 0.01""")
+def _(spark, d):
+    c = claims(spark, d)
+    amount = (F.sum("incurred_total") + F.when(F.col("document_id") % 3 == 0, 5).otherwise(0)).cast("decimal(28,2)")
+    s = c.where("row_id <= 2").groupBy("document_id").agg(amount.alias("amount")).select("document_id", F.lit("A").alias("section"), F.when(F.col("document_id") % 7 != 0, 1).alias("lo"), F.lit(2).alias("hi"), "amount")
+    return rules.section_totals(c, s).select("document_id", "subject", "category", "expected")
+
+
+@query("rule_r_27", "SELECT document_id, string_agg(cast(page AS string), ',' ORDER BY page) AS actual FROM docs JOIN (SELECT DISTINCT document_id, page FROM claims) c USING (document_id) WHERE printed_count IS NULL GROUP BY 1")
+def _(spark, d):
+    evidence = claims(spark, d).select("document_id", "page", F.col("page").alias("count")).distinct()
+    return rules.count_evidence(docs(spark, d), evidence).select("document_id", "actual")
+
+
+@query("rule_r_28", "SELECT document_id, run_id, 'incomplete' AS subject FROM (SELECT document_id, run_id, count(*) AS n FROM claims GROUP BY 1, 2) WHERE n % 2 = 1")
+def _(spark, d):
+    runs = claims(spark, d).groupBy("document_id", "run_id").agg(F.count("*").alias("n")).select("document_id", "run_id", (F.col("n") % 2 == 1).alias("incomplete"), F.lit(False).alias("ambiguous"))
+    refused = claims(spark, d).select("document_id", "run_id", F.col("row_id").alias("line"), F.col("claim_number").alias("text")).limit(0)
+    return rules.run_problems(runs, refused).select("document_id", "run_id", "subject")
+
+
+@query("rule_r_23_r_24_r_26_r_29", "SELECT rule, count(*) AS n FROM (SELECT 'R-23' AS rule FROM claims WHERE row_id % 3 = 0 UNION ALL SELECT 'R-24' FROM docs WHERE document_id % 11 = 0 UNION ALL SELECT 'R-26' FROM docs WHERE document_id % 4 = 1 UNION ALL SELECT DISTINCT 'R-29' || cast(document_id AS string) FROM claims WHERE row_id % 2 = 0) GROUP BY 1 HAVING rule IN ('R-23', 'R-24', 'R-26') UNION ALL SELECT 'R-29', count(DISTINCT document_id) FROM claims WHERE row_id % 2 = 0")
+def _(spark, d):
+    c, o = claims(spark, d), docs(spark, d)
+    unplaced = c.select("document_id", "page", F.col("row_id").alias("line"), F.when(F.col("row_id") % 3 == 0, F.array(F.col("page"))).otherwise(F.expr("cast(array() as array<int>)")).alias("amounts"), F.expr("cast(array() as array<int>)").alias("ambiguous"))
+    pages = o.where("document_id % 11 = 0").select("document_id", F.explode(F.array(*[F.struct(F.lit(p).alias("page"), F.lit(4 * p).alias("first_column"), F.lit(4 * p + 3).alias("last_column"), F.array(F.lit(1), F.lit(2)).alias("keys")) for p in (1, 2)])).alias("p")).select("document_id", "p.*")
+    cells = o.select("document_id", F.lit("A").alias("section"), F.lit("incurred_total").alias("field"), F.lit("12,34x").alias("text"), F.when(F.col("document_id") % 4 == 1, "UNPARSEABLE").when(F.col("document_id") % 4 == 2, "EMPTY").alias("reason"))
+    refused = c.select("document_id", F.col("row_id").alias("line"), F.col("claim_number").alias("text"), (F.col("row_id") % 2 == 0).alias("report"))
+    found = [rules.unplaced_rows(unplaced), rules.split_columns(structure.split_pages(pages)), rules.unreadable_totals(cells), rules.refused_rows(refused)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("duplicates_across_runs", "SELECT document_id, claim_number AS subject, cast(count(DISTINCT run_id) AS string) AS actual FROM claims WHERE date_of_loss IS NOT NULL GROUP BY document_id, claim_number, date_of_loss HAVING count(DISTINCT run_id) > 1")
+def _(spark, d):
+    return rules.duplicates_across_runs(claims(spark, d)).select("document_id", "subject", "actual")
+
+
+@query("claims_in_no_run", f"SELECT document_id, {SUBJECT} AS subject, cast(page AS string) AS actual FROM claims WHERE page > 5")
+def _(spark, d):
+    c = claims(spark, d)
+    return rules.claims_in_no_run(c, c.where("page <= 5").select("document_id", "page").distinct()).select("document_id", "subject", "actual")
+
+
+@query("run_view", "SELECT document_id, CASE WHEN page <= 3 THEN 'a' ELSE 'b' END AS run_id, count(*) AS claims, cast(sum(incurred_total) AS double) AS incurred FROM claims GROUP BY 1, 2")
+def _(spark, d):
+    c = claims(spark, d)
+    pages = c.select("document_id", "page").distinct().withColumn("run_id", F.when(F.col("page") <= 3, "a").otherwise("b"))
+    return packets.run_view(c, pages).groupBy("document_id", "run_id").agg(F.count("*").alias("claims"), F.sum("incurred_total").alias("incurred"))
+
+
+def _packet_pages(spark, d) -> DataFrame:
+    p = docs(spark, d).where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    return p.select("document_id", "page", F.when(F.col("page") % 4 != 0, (F.col("page") - 1) % 4 + 1).alias("k"), F.when(F.col("page") % 4 != 0, 3).alias("n"), F.when(F.col("page") % 4 != 0, F.concat(F.lit("heading "), F.floor((F.col("page") - 1) / 4).cast("string"))).alias("heading"), F.lit(None).cast("string").alias("policy"))
+
+
+@query("plan_runs")
+def _(spark, d):
+    p = _packet_pages(spark, d)
+    return packets.incomplete_runs(packets.plan_runs(p), p)
+
+
+# --- structure ------------------------------------------------------------
+
+WORDS = "SELECT l_orderkey AS k, l_linenumber AS line, cast(l_partkey % 90 AS double) AS x0, cast(l_partkey % 90 + l_suppkey % 9 + 1 AS double) AS x1 FROM lineitem"
+
+
+@query("column_bounds", f"""WITH w AS ({WORDS}), f AS (SELECT *, coalesce(x0 - max(x1) OVER (PARTITION BY k ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 2.4, true) AS new FROM w), g AS (SELECT *, sum(cast(new AS int)) OVER (PARTITION BY k ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS c FROM f)
+    SELECT k, cast(c AS bigint) AS "column", min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY 1, 2""", entities=False)
+def _(spark, d):
+    w = tables(spark, d, "lineitem")[0].selectExpr("l_orderkey as k", "cast(l_partkey % 90 as double) as x0", "cast(l_partkey % 90 + l_suppkey % 9 + 1 as double) as x1", "2.0D as width")
+    return structure.column_bounds(w, ["k"])
+
+
+@query("split_cells", f"""WITH w AS ({WORDS}), f AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY k ORDER BY x0, x1, line) > 3.6, true) AS new FROM w), g AS (SELECT *, sum(cast(new AS int)) OVER (PARTITION BY k ORDER BY x0, x1, line ROWS UNBOUNDED PRECEDING) AS c FROM f)
+    SELECT k, cast(c AS bigint) AS cell, min(x0) AS x0, max(x1) AS x1, string_agg(cast(line AS string), ' ' ORDER BY x0, x1, line) AS text FROM g GROUP BY 1, 2""", entities=False)
+def _(spark, d):
+    w = tables(spark, d, "lineitem")[0].selectExpr("l_orderkey as k", "cast(l_linenumber as string) as text", "cast(l_partkey % 90 as double) as x0", "cast(l_partkey % 90 + l_suppkey % 9 + 1 as double) as x1", "2.0D as width")
+    return structure.split_cells(w, ["k"])
+
+
+@query("page_furniture", r"""WITH r AS (SELECT conv_id % 40 AS document_id, turn AS page, trim(regexp_replace(regexp_replace(lower(role || ' says' || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END), 'page\s+\d+\s+of\s+\d+', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations), p AS (SELECT document_id, count(DISTINCT page) AS pages FROM r GROUP BY 1)
+    SELECT document_id, t AS text, count(DISTINCT page) AS on_pages FROM r JOIN p USING (document_id) WHERE NOT regexp_matches(t, '[0-9]') GROUP BY 1, 2, pages HAVING count(DISTINCT page) >= greatest(2, pages // 2)""", entities=False)
+def _(spark, d):
+    r = tables(spark, d, "conversations")[0].select((F.col("conv_id") % 40).alias("document_id"), F.col("turn").alias("page"), F.concat("role", F.lit(" SAYS"), F.when(F.col("turn") % 2 == 0, " 7").otherwise("")).alias("text"))
+    return structure.furniture(r, r.groupBy("document_id").agg(F.countDistinct("page").alias("pages")))
+
+
+@query("header_contest", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY document_id, field ORDER BY conf DESC, page, row_id) = 1 THEN 'MAPPED' ELSE 'AMBIGUOUS' END AS state FROM (SELECT document_id, page, row_id, claim_number AS field, cast(page % 3 AS double) AS conf FROM claims)) GROUP BY 1")
+def _(spark, d):
+    h = claims(spark, d).select("document_id", (F.col("page") * 1000 + F.col("row_id")).alias("column"), F.col("claim_number").alias("field"), (F.col("page") % 3).cast("double").alias("confidence"))
+    return structure.map_headers(h).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("continuations", """SELECT document_id, owner, string_agg(cast(row_id AS string), ' ' ORDER BY row_id) AS text, count(*) FILTER (c IS NULL) AS continued FROM (SELECT document_id, row_id, c, last_value(c IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY row_id) AS owner FROM (SELECT document_id, row_id, CASE WHEN row_id % 3 = 1 THEN concat(claim_number, ':', cast(row_id AS string)) END AS c FROM claims)) WHERE owner IS NOT NULL GROUP BY 1, 2""")
+def _(spark, d):
+    lines = claims(spark, d).select("document_id", F.lit(1).alias("page"), F.col("row_id").alias("line"), F.when(F.col("row_id") % 3 == 1, F.concat_ws(":", "claim_number", F.col("row_id").cast("string"))).alias("claim"), F.col("row_id").cast("string").alias("text"))
+    return structure.continuations(lines)
+
+
+@query("section_scope", """WITH s AS (SELECT document_id, 1 AS page, row_id AS line, 2 AS printed, coalesce(lag(row_id) OVER (PARTITION BY document_id ORDER BY row_id), -1) AS lo FROM claims WHERE row_id % 3 = 0)
+    SELECT s.document_id, s.line, count(c.row_id) = 2 AS scoped FROM s LEFT JOIN claims c ON c.document_id = s.document_id AND c.row_id > s.lo AND c.row_id < s.line AND c.row_id % 3 > 0 GROUP BY 1, 2""")
+def _(spark, d):
+    rows = claims(spark, d).select("document_id", F.lit(1).alias("page"), F.col("row_id").alias("line"), "row_id")
+    sections = rows.where("row_id % 3 = 0").withColumn("printed", F.lit(2)).drop("row_id")
+    return structure.scope_sections(sections, rows.where("row_id % 3 > 0")).select("document_id", "line", F.col("covers").isNotNull().alias("scoped"))
+
+
+# --- review, edits, measurement -------------------------------------------
+
+
+@query("latest_decision", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", entities=False)
+def _(spark, d):
+    return review.latest_decisions(tables(spark, d, "events")[0], "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("open_findings", "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN document_id % 4 = 0 THEN 'ACCEPTED' END AS decision FROM docs WHERE valuation_date IS NULL) GROUP BY 1")
+def _(spark, d):
+    found = rules.REGISTRY["R-06"](claims(spark, d), docs(spark, d)).withColumn("key", review.finding_key())
+    log = found.where("document_id % 2 = 0").select("key", F.lit(1).alias("seq"), F.when(F.col("document_id") % 4 == 0, "ACCEPTED").otherwise("OPEN").alias("action"), "severity", "expected", "actual")
+    return review.open_findings(found, log).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query("edits", "SELECT field, change, count(*) AS n FROM (SELECT 'claim_status' AS field, 'changed' AS change FROM claims WHERE page = 1 AND claim_status <> 'CLOSED' UNION ALL SELECT f, 'deleted' FROM claims, (VALUES ('claim_status'), ('incurred_total')) v(f) WHERE page = 7) GROUP BY 1, 2")
+def _(spark, d):
+    before = claims(spark, d)
+    after = before.where("page <> 7").withColumn("claim_status", F.when(F.col("page") == 1, "CLOSED").otherwise(F.col("claim_status")))
+    return review.edits(before, after, ["document_id", "row_id"], ["claim_status", "incurred_total"]).groupBy("field", "change").agg(F.count("*").alias("n"))
+
+
+@query("telemetry_rates", """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT coalesce(event_type, 'ALL') AS event_type, count(*) AS n, round_even(count(*) FILTER (value > 50) / count(*), 4) AS high, round_even(count(*) FILTER (user_id % 2 = 0) / count(*), 4) AS even FROM l GROUP BY ROLLUP (event_type)""", entities=False)
+def _(spark, d):
+    e = measure.latest(tables(spark, d, "events")[0], "user_id", ["ts", "event_id"])
+    return measure.rates(e, "event_type", {"high": F.col("value") > 50, "even": F.col("user_id") % 2 == 0})
+
+
+@query("null_counts", "SELECT document_id, count(*) FILTER (date_of_loss IS NULL) AS date_of_loss, count(*) FILTER (incurred_total IS NULL) AS incurred_total, count(*) FILTER (paid_total IS NULL) AS paid_total FROM claims GROUP BY 1")
+def _(spark, d):
+    return measure.null_counts(claims(spark, d), "document_id", ["date_of_loss", "incurred_total", "paid_total"])
+
+
+@query("accuracy", """SELECT coalesce(carrier, 'ALL') AS carrier, count(*) AS fields, count(*) FILTER (NOT lost AND NOT wrong) AS "right", count(*) FILTER (lost) AS missing, count(*) FILTER (NOT lost AND zero) AS null_as_zero
+    FROM (SELECT carrier, page = 7 AS lost, (f = 'p' AND page = 2 AND paid_total IS NULL) AS zero, (f = 'p' AND page = 2 AND paid_total IS NULL) AS wrong FROM claims JOIN docs USING (document_id), (VALUES ('p'), ('i')) v(f)) GROUP BY ROLLUP (carrier)""")
+def _(spark, d):
+    e = account_claims(spark, d).withColumn("ord", F.lit(1))
+    x = e.where("page <> 7").withColumn("paid_total", F.when(F.col("page") == 2, F.coalesce("paid_total", F.lit(0).cast("decimal(18,2)"))).otherwise(F.col("paid_total")))
+    return measure.accuracy(e, x, ["document_id", "row_id"], ["paid_total", "incurred_total"], "carrier")
+
+
+@query("revision_diff", "SELECT path, allowed, count(*) AS n FROM (SELECT 'claim_status' AS path, document_id % 2 = 0 AS allowed FROM claims WHERE page = 1 AND claim_status <> 'CLOSED') GROUP BY 1, 2")
+def _(spark, d):
+    c = claims(spark, d).withColumn("id", F.col("document_id") * 100 + F.col("row_id"))
+    after = c.withColumn("claim_status", F.when(F.col("page") == 1, "CLOSED").otherwise(F.col("claim_status")))
+    allowed = c.where("document_id % 2 = 0").select(F.col("id").alias("document_id"), F.lit("claim_status").alias("path"))
+    fields = ["claim_status", "incurred_total", "date_of_loss"]
+    return measure.revision_diff(measure.flattened(c, "id", fields), measure.flattened(after, "id", fields), allowed).groupBy("path", "allowed").agg(F.count("*").alias("n"))
+
+
+@query("qualification", """WITH t AS (SELECT document_id, claim_number, count(*) AS n, count(*) FILTER (page <> 7) AS m FROM claims GROUP BY 1, 2) SELECT document_id, cast(sum(n) AS bigint) AS expected, cast(sum(m) AS bigint) AS extracted, cast(sum(least(n, m)) AS bigint) AS matched FROM t GROUP BY 1""")
+def _(spark, d):
+    t = claims(spark, d).withColumn("ord", F.col("row_id"))
+    return measure.score(t, t.where("page <> 7"), ["claim_number"], "document_id").select("document_id", "expected", "extracted", "matched")
+
+
+@query("document_recall", "SELECT document_id, count(*) AS expected, count(*) FILTER (page <= 4) AS extracted, count(*) FILTER (page <= 4) / count(*) AS recall FROM claims GROUP BY 1")
+def _(spark, d):
+    c = claims(spark, d)
+    return measure.document_recall(c, c.where("page <= 4"), "document_id")
+
+
+# --- output, submissions, streaming ---------------------------------------
+
+
+@query("export_projection", "SELECT claim_number, claim_status, cast(incurred_total AS double) AS incurred_total, document_id FROM claims")
+def _(spark, d):
+    return export.project(claims(spark, d), "compact", redact=True, provenance=("document_id",))
+
+
+@query("worst_severity", f"SELECT document_id, CASE min(CASE severity WHEN 'ERROR' THEN 1 WHEN 'WARN' THEN 2 ELSE 3 END) WHEN 1 THEN 'ERROR' WHEN 2 THEN 'WARN' ELSE 'INFO' END AS severity FROM ({ALL_RULES}) f GROUP BY 1")
+def _(spark, d):
+    return export.worst_severity(rules.reconcile(claims(spark, d), docs(spark, d)), ["document_id"])
+
+
+@query("redaction", "SELECT c_custkey, '[redacted] owes 5 to [redacted]' AS note FROM customer", entities=False)
+def _(spark, d):
+    c = tables(spark, d, "customer")[0].select("c_custkey", "c_name")
+    notes = c.select("c_custkey", F.concat(F.upper("c_name"), F.lit(" owes 5 to "), "c_name").alias("note"))
+    return export.redact(notes, c.select("c_custkey", F.col("c_name").alias("value")), "c_custkey", "note")
+
+
+@query("attachments", """WITH p AS (SELECT user_id AS s, event_id AS pos, event_id % 97 AS sha, CASE WHEN event_type = 'click' THEN 'txt' ELSE 'pdf' END AS kind FROM events), f AS (SELECT *, min(pos) OVER (PARTITION BY s, sha) AS first FROM p), n AS (SELECT *, sum(CASE WHEN first = pos AND kind = 'pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM f)
+    SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN kind <> 'pdf' THEN 'rejected' WHEN first < pos THEN 'duplicate' WHEN c > 10 THEN 'over_limit' ELSE 'accepted' END AS outcome FROM n) GROUP BY 1""", entities=False)
+def _(spark, d):
+    e = tables(spark, d, "events")[0].select(F.col("user_id").alias("submission"), F.col("event_id").alias("position"), (F.col("event_id") % 97).cast("string").alias("sha"), F.lit(1).cast("long").alias("bytes"), F.when(F.col("event_type") == "click", "txt").otherwise("pdf").alias("kind"))
+    return submission.attachments(e, most=10).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("incurred_or_reason", """SELECT insured, cast(CASE WHEN n > 1 OR b > 0 THEN NULL ELSE t END AS double) AS incurred, CASE WHEN n > 1 THEN 'mixed currencies' WHEN b > 0 THEN 'a claim has no amount' END AS reason FROM (SELECT insured, count(DISTINCT c.currency) AS n, count(*) FILTER (incurred_total IS NULL) AS b, sum(incurred_total) AS t FROM claims c JOIN docs USING (document_id) GROUP BY 1)""")
+def _(spark, d):
+    rows = account_claims(spark, d)
+    return submission.incurred_or_reason(rows, "insured", rows.groupBy("insured").agg(F.countDistinct("currency").alias("n")))
+
+
+@query("event_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, cast(sum(cast(round(value * 100) AS bigint)) AS bigint) AS cents FROM events GROUP BY 1, 2", entities=False)
+def _(spark, d):
+    return streaming.windowed_rates(tables(spark, d, "events")[0])
+
+
+@query("event_latest", "SELECT user_id, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1", entities=False)
+def _(spark, d):
+    return streaming.latest_by_user(tables(spark, d, "events")[0])
+
+
+@query("event_sessions", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM f)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, g""", entities=False)
+def _(spark, d):
+    return streaming.sessions(tables(spark, d, "events")[0])
+
+
+@query("new_files", "SELECT page_id FROM pages WHERE page_id % 3 <> 0", entities=False)
+def _(spark, d):
+    p = tables(spark, d, "pages")[0].select("page_id", F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "html"), 256).alias("sha256"))
+    return files.new_files(p, p.where("page_id % 3 = 0")).select("page_id")
