@@ -42,7 +42,8 @@ def parse_date(c: Column, order: Column | None = None) -> Column:
     def typed(t, x):
         name = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(x["a"], 1, 3)).cast("int")
         a = F.when(x["a"].rlike("^[a-z]"), name).otherwise(x["a"].try_cast("int"))
-        return let(F.struct(expand_year(x["y"].try_cast("int")).alias("y"), a.alias("a"), x["b"].try_cast("int").alias("b"), x["either"].alias("either")), lambda v: settled(t, v))
+        year = F.when(F.length(x["y"]) <= 2, expand_year(x["y"].try_cast("int"))).otherwise(x["y"].try_cast("int"))
+        return let(F.struct(year.alias("y"), a.alias("a"), x["b"].try_cast("int").alias("b"), x["either"].alias("either")), lambda v: settled(t, v))
 
     def settled(t, v):
         a, b = v["a"], v["b"]
