@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm.common import small_batches
 from claimloom.llm.kernel import slices
@@ -237,7 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offs, flat)], names=[*keep, ids_col])
 
     chosen = docs.select(*keep)
-    return chosen.mapInArrow(run, chosen.schema.add(ids_col, "array<int>"))
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -252,7 +253,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*keep, bytes_col])
 
     chosen = encoded.select(*keep)
-    return chosen.mapInArrow(run, chosen.schema.add(bytes_col, "binary"))
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
