@@ -6,9 +6,11 @@ anchors at equal distances. Consecutive windows with one anchor form a block. On
 blocks that share an anchor can hold a repeated window.
 
 Blocks. Blocks meet by ranges of the anchor's hash. A block whose bytes occur twice is repeated as
-a whole. Blocks that share an anchor and differ are compared window by window: one
-occurrence of each sends its bytes, and windows of equal distance and equal
-hash are repeated. Strings are equal where the 64-bit hashes of block or window and anchor both are.
+a whole. Of blocks that share an anchor and differ, one occurrence of each sends its bytes. Their
+suffixes are sorted in shards, and the shards' Burrows-Wheeler transforms are merged by
+iterative interleave refinement (bwt_merge), which gives the common prefixes of neighbours;
+windows that start in an interval of common prefixes of SPAN bytes are repeated. Strings
+are equal where their 64-bit hashes are, for blocks with that of the anchor.
 
 Marks. The repeated intervals of a text meet its bytes once, and only texts that have any are shuffled.
 
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.bwt_merge import repeated
 from claimloom.llm.common import ARROW_ROWS, may_hold, small_batches, worker_bitmap, written
 from claimloom.llm.kernel import mix, prefix_sums, slices, span_hashes
 from claimloom.llm.language_model import _dealt, _pack, _unpack, range_of
@@ -38,6 +41,10 @@ from claimloom.llm.language_model import _dealt, _pack, _unpack, range_of
 U = np.uint64
 SPAN = 200
 K = 64
+#: Bytes of a symbol of the transforms; SPAN is a whole number of symbols.
+STEP = 20
+#: Bytes whose transforms are merged at once, but for a larger group of blocks that share an anchor.
+MERGED = 1 << 20
 #: Blocks that a task holds before it deals them out.
 HELD = 400_000
 
@@ -202,7 +209,7 @@ def _send_bytes(parts: int, texts, places):
 
 
 def _compare_windows(batches):
-    """Intervals of windows that stand in two of the blocks that share an anchor."""
+    """Intervals of windows that stand in two of the blocks that share an anchor, from the merged transforms of shards of blocks."""
     found = [_unpack(x, [np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]) for b in batches for x in b.column(1).to_pylist()]
     if not found:
         return
@@ -212,31 +219,26 @@ def _compare_windows(batches):
     base = np.concatenate([[0], np.cumsum(windows + SPAN - 1)])[:-1]
     order = np.argsort(a, kind="stable")
     cut = np.append(np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])), len(a))
-    sums = prefix_sums(raw)
-    held: list[np.ndarray] = []
-
-    def settle(blocks_: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = windows[blocks_]
-        block = np.repeat(blocks_, n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = base[block] + step
-        h = mix(span_hashes(sums, at, at + SPAN) ^ mix(a[block] + (ahead[block].astype(np.int64) - step).astype(np.uint64)))
-        by = np.argsort(h, kind="stable")
-        same = h[by][1:] == h[by][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[by[1:]] |= same
-        twice[by[:-1]] |= same
-        edge = np.append(True, block[1:] != block[:-1])
-        first = np.flatnonzero(twice & (edge | ~np.append(False, twice[:-1])))
-        last = np.flatnonzero(twice & (np.append(edge[1:], True) | ~np.append(twice[1:], False)))
+
+    def settle(chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = windows[chosen] + SPAN - 1
+        offs = np.concatenate([[0], np.cumsum(size)])
+        block = np.repeat(chosen, size)
+        step = np.arange(offs[-1]) - np.repeat(offs[:-1], size)
+        data = raw[base[block] + step]
+        sums = prefix_sums(data)
+        twice = repeated(lambda x, y: span_hashes(sums, x, y), len(data), np.repeat(offs[:-1], size), np.repeat(offs[1:], size), step < windows[block], STEP, SPAN // STEP)
+        # A block's last bytes begin no window, so runs of repeated windows never join over blocks.
+        first = np.flatnonzero(twice & ~np.append(False, twice[:-1]))
+        last = np.flatnonzero(twice & ~np.append(twice[1:], False))
         s = start[block].astype(np.int64) + step
         yield from _found(INTERVALS, key[block[first]], s[first], s[last] + SPAN)
 
-    size = 0
-    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # whole groups, about a million windows at once
+    held, size = [], 0
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):  # whole groups, about MERGED bytes at once
         held.append(order[x:y])
-        size += int(windows[order[x:y]].sum())
-        if size > 1 << 20:
+        size += int((windows[order[x:y]] + SPAN - 1).sum())
+        if size > MERGED:
             yield from settle(np.concatenate(held))
             held, size = [], 0
     if held:
