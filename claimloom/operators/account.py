@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.folds import by_group
+
 AMOUNT = "decimal(28,2)"
 UNNAMED = "Insured not named"
 FIRST_DAY = "0001-01-01"
@@ -70,14 +71,13 @@ def histories(appearances: DataFrame) -> DataFrame:
     Claims of different numbers are never one, so each (account, claim number) folds alone, in order of valuation.
     """
 
-    def fold(key, group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(v=group["valuation_date"].fillna(FIRST_DAY)).sort_values(["v", "document_id", "row_id"], kind="stable")
-        rows = [{k: (None if pd.isna(r[k]) else r[k]) for k in ("carrier", "policy", "term")} for r in g[["carrier", "policy", "term"]].to_dict("records")]
+    def fold(rows: list[dict]) -> list[tuple]:
         placed = fold_histories(rows)
-        return pd.DataFrame({"account": key[0], "claim_number": key[1], "history": [p for p, _ in placed], "uncertain": [u for _, u in placed], "document_id": g["document_id"], "row_id": g["row_id"], "seq": range(len(g))})
+        return [(r["account"], r["claim_number"], p, unsure, r["document_id"], r["row_id"], i) for i, (r, (p, unsure)) in enumerate(zip(rows, placed, strict=True))]
 
-    text = appearances.withColumn("valuation_date", F.col("valuation_date").cast("string")).withColumn("carrier", compare_key(F.col("carrier"))).withColumn("policy", compare_key(F.col("policy"))).withColumn("term", F.col("term").cast("string"))
-    return text.select("account", "claim_number", "document_id", "row_id", "valuation_date", "carrier", "policy", "term").groupBy("account", "claim_number").applyInPandas(fold, HISTORY)
+    first = F.coalesce(F.col("valuation_date").cast("string"), F.lit(FIRST_DAY)).alias("valued")
+    rows = appearances.select("account", "claim_number", F.col("document_id").cast("long"), F.col("row_id").cast("long"), first, compare_key(F.col("carrier")).alias("carrier"), compare_key(F.col("policy")).alias("policy"), F.col("term").cast("string").alias("term"))
+    return by_group(rows, ["account", "claim_number"], ["valued", "document_id", "row_id"], fold, HISTORY)
 
 
 def development(rows: DataFrame, keys: list[str]) -> DataFrame:

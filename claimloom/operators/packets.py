@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.folds import by_group
+
 RUN = "document_id long, page int, run int, evidence string, ambiguous boolean"
 
 
@@ -17,10 +18,9 @@ def plan_runs(pages: DataFrame) -> DataFrame:
     at all stays too, and marks its run as ambiguous. The walk depends on the page before, so each document folds alone.
     """
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[tuple]:
         run, last, out, unsure = 0, None, [], set()
-        for p in g.sort_values("page").to_dict("records"):
-            p = {k: (None if pd.isna(v) else v) for k, v in p.items()}
+        for p in rows:
             why = "first"
             if last is not None:
                 if p["k"] is not None and last["k"] is not None and p["n"] == last["n"] and p["k"] == last["k"] + 1:
@@ -39,9 +39,9 @@ def plan_runs(pages: DataFrame) -> DataFrame:
             kept = {x: p[x] if p[x] is not None or why in ("first", "exhausted") or (last is None) else last[x] for x in ("heading", "policy")}
             last = {**p, **kept}
             out.append((p["document_id"], p["page"], run, why))
-        return pd.DataFrame([(d, pg, r, w, r in unsure) for d, pg, r, w in out], columns=["document_id", "page", "run", "evidence", "ambiguous"])
+        return [(d, pg, r, w, r in unsure) for d, pg, r, w in out]
 
-    return pages.select("document_id", "page", "k", "n", "heading", "policy").groupBy("document_id").applyInPandas(walk, RUN)
+    return by_group(pages.select("document_id", "page", "k", "n", "heading", "policy"), ["document_id"], ["page"], walk, RUN)
 
 
 def incomplete_runs(planned: DataFrame, pages: DataFrame) -> DataFrame:
