@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 
 from claimloom.llm import byte_bpe, exact_dedup, jaccard, language_id, language_model, licenses, mixing, quality, queries, substring_dedup, token_files
-from claimloom.llm.components import components
+from claimloom.llm.components import components, joined_by
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -128,6 +128,9 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
+    more = spark.createDataFrame([(2, 4), (4, 9), (7, 8)], "a long, b long")
+    assert {r["node"]: r["component"] for r in joined_by(found, more).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 7: 7, 8: 7}
 
 
 def test_language_id(spark, docs, rows, empty):
@@ -384,3 +387,38 @@ def test_pipeline(spark, docs, rows):
 def test_query_runs_and_has_its_columns(spark, name, tmp_path):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df.columns[0] == "doc_id" and df.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_bwt_merge(monkeypatch):
+    """Merged orders sort the suffixes of all shards, and common prefixes are those of neighbours."""
+    from claimloom.llm import bwt_merge
+    from claimloom.llm.kernel import prefix_sums, span_hashes
+
+    monkeypatch.setattr(bwt_merge, "SHARD", 300)
+    rng = np.random.default_rng(1)
+    base, step, size = rng.integers(97, 100, 120).astype(np.uint8), 5, 4
+    for _ in range(5):
+        strings = []
+        for _ in range(25):
+            x = base.copy()
+            x[rng.integers(0, 120, rng.integers(0, 4))] = 100
+            at = rng.integers(0, 40)
+            strings.append(x[at : at + rng.integers(20, 80)])
+        data, offs = np.concatenate(strings), np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+        start, end = np.repeat(offs[:-1], np.diff(offs)), np.repeat(offs[1:], np.diff(offs))
+        sums = prefix_sums(data)
+        spans = lambda a, b: span_hashes(sums, a, b)  # noqa: B023, E731
+        counted = (np.arange(len(data)) + 20 <= end) & (rng.random(len(data)) < 0.8)
+        often = collections.Counter(data[i : i + 20].tobytes() for i in np.flatnonzero(counted))
+        got = bwt_merge.repeated(spans, len(data), start, end, counted, step, size)
+        assert got.tolist() == [bool(counted[i]) and often[data[i : i + 20].tobytes()] > 1 for i in range(len(data))]
+        symbol = bwt_merge.symbols(spans(np.arange(len(data)), np.minimum(np.arange(len(data)) + step, end)))
+        half = int(offs[12])
+        orders = [bwt_merge.shard_order(symbol[:half], end[:half], step, size), bwt_merge.shard_order(symbol[half:], end[half:] - half, step, size) + half]
+        order, common = bwt_merge.merged(orders, symbol, start, end, step, size)
+        key = lambda p: tuple(int(symbol[q]) for q in range(p, int(end[p]), step))[:size]  # noqa: B023, E731
+        keys = [key(p) for p in order.tolist()]
+        assert keys == sorted(keys)
+        for a, b, n in zip(keys, keys[1:], common[1:].tolist(), strict=False):
+            if len(a) == len(b) == size:
+                assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), size)
