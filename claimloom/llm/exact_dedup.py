@@ -21,6 +21,8 @@ from claimloom.llm.common import bitmap_of, in_bitmap
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 256
+#: Parts of a group of copies, when its rows meet its result.
+SALTS = 16
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
@@ -45,7 +47,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
-    same = survivors.join(groups, ["n", "h"], "left").select(
+    # A huge group's rows meet its one result row in SALTS tasks.
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = survivors.withColumn("salt", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(SALTS)).cast("int"))
+    same = dealt.join(salted, ["n", "h", "salt"], "left").select(
         F.col("i").alias("doc_id"),
         F.when(F.col("group_size").isNull(), F.col("i")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
