@@ -4,14 +4,19 @@ Fixed rules (base_failed) reject very short and very repetitive texts. On top, f
 rates of every text are counted into mergeable quantile sketches, one for each
 (lang, source, rate): histograms whose bins are exact below EXACT and then
 grow by a part of 1 / STEPS, so any two sketches add up to the sketch of
-both, in any order, and a quantile is within that part of the true one. A text fails
-where a rate lies beyond the median of its group by REACH times the spread between
-the median and the upper (or lower) quantile, and beyond a least distance that keeps
-ordinary texts of a very uniform group. The thresholds are joined to the rates by
+both, in any order, and a quantile is within that part of the true one. Texts that fail
+the fixed rules are not counted. A text fails where a rate lies beyond the median of its
+group by REACH times the spread between the median and the upper (or lower) quantile, and
+beyond a least distance, which only a very uniform group comes to. The sketches of a
+language's groups add up to its own, and all of them to the corpus's: the same rule with a
+wider least distance gives limits of these, and no group's limit lies beyond them, so a
+dirty or tiny group does not set its own. Words of other languages differ in length, so
+that rate is bounded by the language alone. The thresholds are joined to the rates by
 (lang, source).
 
 Cases: a null text has no words, which fails. Null lang and source are groups of
-their own. A group of one text sets its own median and never fails by it. Texts of
+their own. Of a language with one source only the corpus bounds the limits. A single
+repeated line or stretch is chance, however short its text (CHANCE). Texts of
 any length are read whole. Rows are independent but for the sketches, so repeated
 rows count repeatedly. An empty table gives an empty result.
 """
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import small_batches, written
@@ -34,13 +39,19 @@ SYMBOLS = b"#*$%&|<>"
 EXACT, STEPS = 64, 32
 REACH = 8
 MEDIAN, UPPER, LOWER = 0.5, 0.75, 0.25
-#: Rates in whole numbers, and how far beyond the median a text of any group may lie.
+#: Rates in whole numbers, and how far beyond the median of its language or the corpus a text of any group may lie.
 RATES = {
     "symbol_rate": ("1000 * n_symbols", "n_words", 150, None),
     "dup_line_rate": ("1000 * n_dup_lines", "n_lines", 400, None),
     "repeat_rate": ("1000 * n_repeat_words", "n_words", 290, None),
     "word_length": ("100 * word_chars", "n_words", 500, 250),
 }
+#: How far beyond the median of its own group a text may lie, if the group is uniform.
+NEAR = {"symbol_rate": 50, "dup_line_rate": 250, "repeat_rate": 100, "word_length": 100}
+#: Fewer than these are one event: a line that comes twice, a stretch of REPEAT_WINDOW or more words that comes twice.
+CHANCE = {"dup_line_rate": ("n_dup_lines", 2), "repeat_rate": ("n_repeat_words", 4 * REPEAT_WINDOW)}
+#: Rates that the whole corpus bounds too.
+OF_ALL = ("symbol_rate", "dup_line_rate", "repeat_rate")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -120,22 +131,43 @@ def bin_start(b: str) -> str:
     return f"case when {b} < {EXACT} then cast({b} as bigint) else shiftleft(cast({b} - {e} * {STEPS} as bigint), {e}) end"
 
 
-def thresholds(rates: DataFrame) -> DataFrame:
-    """For each (lang, source), the limits of its rates, from sketches that add up over tasks."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).alias("value")) for r in RATES]))
-    bins = rates.select("lang", "source", each.alias("x")).select("lang", "source", "x.rate", "x.value").withColumn("bin", F.expr(bin_of("value")))
-    sketch = bins.groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n"))
-    one = Window.partitionBy("lang", "source", "rate")
-    ranked = sketch.withColumn("below", F.sum("n").over(one.orderBy("bin"))).withColumn("total", F.sum("n").over(one)).withColumn("start", F.expr(bin_start("bin")))
+def base_failed() -> Column:
+    """The fixed rules."""
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
+
+def _limits(sketch: DataFrame, keys: list[str], ends: dict[str, tuple[int, int | None]], mark: str) -> DataFrame:
+    """For each of keys, {rate}_most and {rate}_least (each with mark) from the sums of the sketches that share the keys; ends: the least distances of each rate."""
+    summed = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
+    one = Window.partitionBy(*keys, "rate")
+    ranked = summed.withColumn("below", F.sum("n").over(one.orderBy("bin"))).withColumn("total", F.sum("n").over(one)).withColumn("start", F.expr(bin_start("bin")))
     at = lambda q: F.min(F.when(F.col("below") >= F.col("total") * q, F.col("start")))
-    limits = ranked.groupBy("lang", "source", "rate").agg(at(MEDIAN).alias("median"), at(UPPER).alias("upper"), at(LOWER).alias("lower"))
+    limits = ranked.groupBy(*keys, "rate").agg(at(MEDIAN).alias("median"), at(UPPER).alias("upper"), at(LOWER).alias("lower"))
     out = []
-    for r, (_, _, above, below) in RATES.items():
+    for r, (above, below) in ends.items():
         pick = lambda x, r=r: F.max(F.when(F.col("rate") == r, x))
-        out.append(pick(F.col("median") + F.greatest((F.col("upper") - F.col("median")) * REACH, F.lit(above))).alias(f"{r}_most"))
+        out.append(pick(F.col("median") + F.greatest((F.col("upper") - F.col("median")) * REACH, F.lit(above))).alias(f"{r}_most{mark}"))
+        if below is not None:
+            out.append(pick(F.col("median") - F.greatest((F.col("median") - F.col("lower")) * REACH, F.lit(below))).alias(f"{r}_least{mark}"))
+    return limits.groupBy(*keys).agg(*out)
+
+
+def thresholds(rates: DataFrame) -> DataFrame:
+    """For each (lang, source), the limits of its rates, from sketches that add up over tasks, groups and languages."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).alias("value")) for r in RATES]))
+    bins = rates.where(~base_failed()).select("lang", "source", each.alias("x")).select("lang", "source", "x.rate", "x.value").withColumn("bin", F.expr(bin_of("value")))
+    sketch = written(bins.groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n")), "sketch")
+    wide = {r: (above, below) for r, (_, _, above, below) in RATES.items()}
+    group = _limits(sketch, ["lang", "source"], {r: (NEAR[r], None if below is None else NEAR[r]) for r, (_, below) in wide.items()}, "")
+    language = _limits(sketch, ["lang"], wide, "_l").withColumnRenamed("lang", "b_lang")
+    corpus = _limits(sketch, [], {r: wide[r] for r in OF_ALL}, "_c")
+    joined = group.join(language, F.col("lang").eqNullSafe(F.col("b_lang"))).crossJoin(corpus)
+    out = []
+    for r, (_, below) in wide.items():
+        out.append(F.least(f"{r}_most", f"{r}_most_l", *([f"{r}_most_c"] if r in OF_ALL else [])).alias(f"{r}_most"))
         if below is not None:
-            out.append(pick(F.col("median") - F.greatest((F.col("median") - F.col("lower")) * REACH, F.lit(below))).alias(f"{r}_least"))
-    return limits.groupBy("lang", "source").agg(*out)
+            out.append(F.greatest(f"{r}_least", f"{r}_least_l").alias(f"{r}_least"))
+    return joined.select("lang", "source", *out)
 
 
 def with_rates(rows: DataFrame) -> DataFrame:
@@ -155,8 +187,10 @@ def verdict(rates: DataFrame, limits: DataFrame) -> DataFrame:
     beyond = []
     for r, (_, _, _, below) in RATES.items():
         over = F.col(r) > F.col(f"{r}_most")
+        if r in CHANCE:
+            over &= F.col(CHANCE[r][0]) >= CHANCE[r][1]
         beyond.append(F.when(over if below is None else over | (F.col(r) < F.col(f"{r}_least")), F.lit(r)))
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    base = base_failed()
     failed = F.array_compact(F.array(*beyond))
     return joined.select(*rates.columns, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
 

@@ -264,6 +264,23 @@ def test_quality_rules(docs, rows, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if got[r[0]]["kept"])
 
 
+def test_quality_limits_tighten_and_are_bounded(spark):
+    """A group with 40% junk, or of one text, does not lift its own limit; a uniform group's limit lies below the wide distances."""
+    rng = random.Random(5)
+    say = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    rows = [(i, say(60, 5), "en", f"s{i % 4}", 0, 1, "r") for i in range(200)]
+    junk = " ".join(f"{w} ##$" for w in say(60, 5).split())
+    rows += [(1000 + i, junk + f" {i}", "en", "dirty", 0, 1, "r") for i in range(40)] + [(2000 + i, say(60, 5), "en", "dirty", 0, 1, "r") for i in range(60)]
+    rows += [(3000, junk, "en", "alone", 0, 1, "r"), (3001, say(60, 8), "en", "s1", 0, 1, "r")]
+    twice, once = [say(9, 5) for _ in range(3)], say(9, 5)
+    rows.append((3002, " ".join([*twice, say(146, 5), *twice]), "en", "s2", 0, 1, "r"))  # 54 of 200 words
+    rows.append((3003, f"{once} {say(62, 5)} {once}", "en", "s2", 0, 1, "r"))  # one stretch that comes twice
+    got = by_id(quality.judge(spark.createDataFrame(rows, SCHEMA)))
+    failed = {i: r["failed"] for i, r in got.items() if not r["kept"]}
+    assert not any(r["base_failed"] for r in got.values())
+    assert failed == {**{1000 + i: ["symbol_rate"] for i in range(40)}, 3000: ["symbol_rate"], 3001: ["word_length"], 3002: ["repeat_rate"]}
+
+
 def test_sketch_quantiles(spark):
     """A bin's start lies within its part of the value, and sketches of parts add up to that of the whole."""
     df = spark.range(0, 5000).selectExpr("id", f"{quality.bin_of('id')} as b").selectExpr("id", f"{quality.bin_start('b')} as s").collect()
