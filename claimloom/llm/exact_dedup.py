@@ -30,6 +30,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of equal texts the row with the largest id stays.
     """
+    return _marked(docs, id_col, text_col, hash_all).select("doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if hash_all else []))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, hash_all: bool) -> DataFrame:
+    """exact_duplicates with the text's length n and its text_sha256; without hash_all the latter only where the prefix has a like."""
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("n", F.octet_length("t"))
 
     lengths = rows.groupBy("n").count().where("count > 1")
@@ -54,24 +59,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("i").alias("doc_id"),
         F.when(F.col("group_size").isNull(), F.col("i")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        "n",
         F.col("h").alias("text_sha256"),
     )
     alone = by_prefix.where("not same_prefix").select(
-        F.col("i").alias("doc_id"), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), (full if hash_all else F.lit(None).cast("string")).alias("text_sha256")
+        F.col("i").alias("doc_id"), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "n", (full if hash_all else F.lit(None).cast("string")).alias("text_sha256")
     )
-    found = alone.unionByName(same).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return found.select("doc_id", "keep_id", "group_size", "kept", *(["text_sha256"] if hash_all else []))
+    return alone.unionByName(same).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, one for each text: that with the largest id; of rows equal in id and text, one.
 
-    Only rows whose id occurs in a group of copies are shuffled.
+    A row is known by its id and its text, so null and repeated ids have a verdict for each text. Only rows whose id and
+    length occur in a group of copies are shuffled, and rows equal in id and text meet their verdict as one.
     """
-    same = exact_duplicates(docs, id_col, text_col).where("group_size > 1")
-    key = F.xxhash64(F.col("i").cast("string"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256).alias("h"))
-    flagged = in_bitmap(rows, key, bitmap_of(same, F.xxhash64(F.col("doc_id").cast("string"))), "copy")
-    ids = same.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    copies = flagged.where("copy").join(ids, F.col("i").eqNullSafe(F.col("doc_id")), "left").where("coalesce(kept, true)")
-    return flagged.where("not copy").select("row.*").unionByName(copies.dropDuplicates(["i", "h"]).select("row.*"))
+    same = _marked(docs, id_col, text_col, False).where("group_size > 1").select("doc_id", F.col("n").alias("m"), F.col("text_sha256").alias("g"), "kept").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.octet_length(text).alias("n"), F.sha2(F.encode(text, "UTF-8"), 256).alias("h"))
+    flagged = in_bitmap(rows, F.xxhash64(F.col("i").cast("string"), "n"), bitmap_of(same, F.xxhash64(F.col("doc_id").cast("string"), "m")), "copy")
+    single = flagged.where("copy").dropDuplicates(["i", "n", "h"])
+    copies = single.join(same, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("m")) & (F.col("h") == F.col("g")), "left").where("coalesce(kept, true)")
+    return flagged.where("not copy").select("row.*").unionByName(copies.select("row.*"))

@@ -79,6 +79,13 @@ def test_exact_dedup(spark, docs, rows):
     assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in exact_dedup.exact_duplicates(nulls).collect()) == [(0, 0, 1), (0, 1, 3), (0, 1, 3), (1, 1, 3)]
 
 
+def test_exact_dedup_by_row(spark):
+    """Null and repeated ids have a verdict for each of their texts."""
+    rows = [(None, "a"), (1, "a"), (None, "b"), (None, "b"), (None, "e"), (2, "c"), (2, "d"), (3, "d"), (4, "f"), (4, "f"), (4, "g"), (0, "g")]
+    kept = exact_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept) == [("a", 1), ("b", None), ("c", 2), ("d", 3), ("e", None), ("f", 4), ("g", 4)]
+
+
 def classes(rows, k, percent):
     sets = {}
     for r in rows:
