@@ -131,6 +131,17 @@ def test_ngram_jaccard_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
 
 
+def test_near_copies_by_row(spark):
+    """Null and repeated ids have a verdict for each of their texts, and one row of each component stays."""
+    text = lambda name, edit=None: " ".join(f"{name}{edit if i == 50 and edit else i}" for i in range(100))
+    rows = [(1, text("a")), (None, text("a", "x")), (None, text("b")), (7, text("c")), (7, text("a", "y"))]
+    rows += [(None, text("d")), (None, text("d", "x")), (9, text("e")), (9, text("e", "x")), (None, text("f")), (None, text("f")), (5, text("g")), (6, text("g").upper())]
+    rows += [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["text"], r["doc_id"]) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(((t or "-")[0], i or 0) for t, i in kept) == [("-", 0), ("-", 0), ("a", 1), ("b", 0), ("c", 7), ("d", 0), ("e", 9), ("f", 0), ("g", 5)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
