@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import small_batches
+from claimloom.llm.common import Remembered, kept, small_batches, worker
 from claimloom.llm.kernel import slices
 
-CACHE_WORDS = 350_000
+#: Bytes that the remembered pieces, and words, of a worker may take.
+CACHE_BYTES = 40 << 20
+#: Longer texts between spaces are not remembered.
+LONGEST = 256
 NONE = np.iinfo(np.int32).max
 WIDEST = 64
 
@@ -70,8 +73,7 @@ class ByteBPE:
         self.bytes = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.unsafe = regex.compile(r"\s ").search
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Remembered(CACHE_BYTES), Remembered(CACHE_BYTES)
         pairs = {}
         for t, r in self.ranks.items():
             for i in range(1, len(t)):
@@ -155,32 +157,35 @@ class ByteBPE:
         ends = np.cumsum(mask.sum(1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def learn_pieces(self, new: Iterable[str]) -> None:
-        """Put the ids of pieces into the cache."""
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
+    def learn_pieces(self, new: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces; short ones are put into the cache, the others returned."""
+        long: dict[str, bytes] = {}
+        known: list[tuple[str, bytes]] = []
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for s in new:
             b = s.encode()
             if (r := self.ranks.get(b)) is not None:
-                self.pieces[s] = r.to_bytes(4, "little")
+                known.append((s, r.to_bytes(4, "little")))
+            elif len(b) > LONGEST:
+                long[s] = np.array(self.one(b), "<u4").tobytes()
             elif len(b) > WIDEST:
-                self.pieces[s] = np.array(self.one(b), "<u4").tobytes()
+                known.append((s, np.array(self.one(b), "<u4").tobytes()))
             else:
                 by_width.setdefault(max(4, 1 << (len(b) - 1).bit_length()), []).append((s, b))
+        self.pieces.learn(known)
         for width, todo in by_width.items():
             for at in range(0, len(todo), 20_000):
                 part = todo[at : at + 20_000]
-                self.pieces.update(zip((s for s, _ in part), self.together([b for _, b in part], width), strict=True))
+                self.pieces.learn(zip((s for s, _ in part), self.together([b for _, b in part], width), strict=True))
+        return long
 
     def split(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, split as a whole."""
         found = [self.find(t) for t in texts]
-        need = set(chain.from_iterable(found))
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        self.learn_pieces(need.difference(self.pieces))
-        return [b"".join(map(self.pieces.__getitem__, f)) for f in found]
+        self.pieces.shed()
+        long = self.learn_pieces(set(chain.from_iterable(found)).difference(self.pieces))
+        get = self.pieces.__getitem__ if not long else lambda s: self.pieces[s] if s in self.pieces else long[s]
+        return [b"".join(map(get, f)) for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -195,11 +200,12 @@ class ByteBPE:
             a, *more = texts[i].split(" ")
             firsts.append(a)
             rest.append(more)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        self.words.shed()
         new = list(set(chain.from_iterable(rest)).difference(self.words))
-        self.words.update(zip(new, self.split([" " + w for w in new]), strict=True))
-        get = self.words.__getitem__
+        ids = self.split([" " + w for w in new])
+        long = {w: b for w, b in zip(new, ids, strict=True) if len(w) > LONGEST}
+        self.words.learn((w, b) for w, b in zip(new, ids, strict=True) if len(w) <= LONGEST)
+        get = self.words.__getitem__ if not long else lambda w: self.words[w] if w in self.words else long[w]
         for i, a, more in zip(plain, self.split(firsts), rest, strict=True):
             out[i] = a + b"".join(map(get, more))
         return out
@@ -208,14 +214,9 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-
-
 def codec(path: str, pattern: str) -> ByteBPE:
-    """The codec of a worker process: one for each file."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE(path, pattern)
-    return _loaded[path, pattern]
+    """The codec of a worker process: one, until another operator runs there."""
+    return kept("byte_bpe", (path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def _texts(col: pa.Array) -> Iterator[list[str]]:
@@ -238,7 +239,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offs, flat)], names=[*keep, ids_col])
 
     chosen = docs.select(*keep)
-    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return chosen.mapInArrow(worker(run, "byte_bpe"), T.StructType([*chosen.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -253,7 +254,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*keep, bytes_col])
 
     chosen = encoded.select(*keep)
-    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
+    return chosen.mapInArrow(worker(run, "byte_bpe"), T.StructType([*chosen.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -276,4 +277,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             more = [pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), np.frombuffer(b"".join(kept), "<u4").astype(np.int32))] if keep_ids else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(worker(run, "byte_bpe"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -19,7 +19,7 @@ def fold(remainder: int) -> Column:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.similar(documents(spark, sf_dir), k=3, percent=90)
-    return rows.select("doc_id", "n_shingles", "component_id")
+    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
