@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import byte_bpe, exact_dedup, jaccard, mixing, quality
-from claimloom.llm.common import documents, written
+from claimloom.llm.common import discard, documents, written
 from claimloom.llm.queries import MOST, SHARE, WEIGHTS
 
 
@@ -55,6 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(docs)  # the stage before's table: nothing reads it any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
