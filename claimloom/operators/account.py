@@ -38,46 +38,158 @@ def fold_histories(rows: list[dict]) -> list[tuple[int, bool]]:
     """The history of each appearance, in order, and whether that history is uncertain.
 
     An appearance joins a history only if it is the one SAME and no history is UNKNOWN; else it begins one, and all
-    histories that it might belong to become uncertain with it.
+    histories that it might belong to become uncertain with it. A history is the different (carrier, policy, term) of its appearances.
     """
     histories: list[list[dict]] = []
     unsure: set[int] = set()
     place: list[int] = []
     for row in rows:
+        says = {k: row[k] for k in ("carrier", "policy", "term")}
         same, unknown = [], []
         for i, h in enumerate(histories):
-            states = {same_claim(x, row) for x in h}
+            states = {same_claim(x, says) for x in h}
             if states == {"SAME"}:
                 same.append(i)
             elif states != {"DISTINCT"}:
                 unknown.append(i)
         if len(same) == 1 and not unknown:
-            histories[same[0]].append(row)
+            if says not in histories[same[0]]:
+                histories[same[0]].append(says)
             place.append(same[0])
         else:
-            histories.append([row])
+            histories.append([says])
             place.append(len(histories) - 1)
             if same or unknown:
                 unsure.update([*same, *unknown, len(histories) - 1])
     return [(i, i in unsure) for i in place]
 
 
-HISTORY = "account string, claim_number string, history int, uncertain boolean, document_id long, row_id long, seq int"
+HISTORY = "account string, claim_number string, seq int, row_id long, history int, uncertain boolean"
 
 
 def histories(appearances: DataFrame) -> DataFrame:
-    """Each appearance with its history. appearances: account, claim_number, document_id, row_id, valuation_date, carrier, policy, term.
+    """The history of each appearance: account, claim_number, seq, row_id, history, uncertain. appearances: account, claim_number, seq (of the source), row_id, carrier, policy_number, term.
 
-    Claims of different numbers are never one, so each (account, claim number) folds alone, in order of valuation.
+    Claims of different numbers are never one, so each (account, claim number) folds alone, in order of the sources.
     """
 
     def fold(rows: list[dict]) -> list[tuple]:
-        placed = fold_histories(rows)
-        return [(r["account"], r["claim_number"], p, unsure, r["document_id"], r["row_id"], i) for i, (r, (p, unsure)) in enumerate(zip(rows, placed, strict=True))]
+        return [(r["account"], r["claim_number"], r["seq"], r["row_id"], p, unsure) for r, (p, unsure) in zip(rows, fold_histories(rows), strict=True)]
 
-    first = F.coalesce(F.col("valuation_date").cast("string"), F.lit(FIRST_DAY)).alias("valued")
-    rows = appearances.select("account", "claim_number", F.col("document_id").cast("long"), F.col("row_id").cast("long"), first, compare_key(F.col("carrier")).alias("carrier"), compare_key(F.col("policy")).alias("policy"), F.col("term").cast("string").alias("term"))
-    return by_group(rows, ["account", "claim_number"], ["valued", "document_id", "row_id"], fold, HISTORY)
+    rows = appearances.select("account", "claim_number", F.col("seq").cast("int"), F.col("row_id").cast("long"), compare_key(F.col("carrier")).alias("carrier"), compare_key(F.col("policy_number")).alias("policy"), F.col("term").cast("string").alias("term"))
+    return by_group(rows, ["account", "claim_number"], ["seq", "row_id"], fold, HISTORY)
+
+
+SOURCE = ["account", "document_id", "run_id", "filename", "carrier", "insured", "policy_number", "valuation_date", "terms"]
+TERM = "struct<start:date,end:date>"
+
+
+def covers(term: Column, day: Column) -> Column:
+    return F.coalesce(day.between(term["start"], term["end"]), F.lit(False))
+
+
+def term_of(day: Column, terms: Column) -> Column:
+    """The one term that covers a day; null where none does, or several do."""
+    inside = F.filter(terms, lambda t: covers(t, day))
+    return F.when(F.size(inside) == 1, F.get(inside, F.lit(0)))
+
+
+def sources_of(docs: DataFrame, terms: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The logical runs of each document, with its account and their own facts: a document, or each run of a packet.
+
+    docs: document_id, filename, insured, carrier, policy_number, valuation_date; terms: document_id, term_start, term_end; runs: those of
+    packets, document_id, run_id, carrier, insured, policy_number, valuation_date, period_start, period_end.
+    """
+    term = lambda a, z: F.struct(F.col(a).alias("start"), F.col(z).alias("end")).cast(TERM)
+    own = terms.where("term_start is not null and term_end is not null").groupBy("document_id").agg(F.array_sort(F.collect_set(term("term_start", "term_end"))).alias("terms"))
+    none = F.array().cast(f"array<{TERM}>")
+    named = docs.withColumn("account", account_name(F.col("insured")))
+    whole = named.join(own, "document_id", "left").withColumns({"terms": F.coalesce("terms", none), "run_id": F.lit("")})
+    if runs is None:
+        return whole.select(*SOURCE)
+    alone = whole.join(runs.select("document_id").distinct(), "document_id", "left_anti").select(*SOURCE)
+    one = F.when(F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), F.array(term("period_start", "period_end"))).otherwise(none)
+    return alone.unionByName(runs.withColumn("terms", one).join(named.select("document_id", "account", "filename"), "document_id").select(*SOURCE))
+
+
+def in_order(sources: DataFrame) -> DataFrame:
+    """Sources with seq, their place in the account: by valuation, undated ones first, then file name and run, as texts."""
+    order = Window.partitionBy("account").orderBy(F.coalesce("valuation_date", F.lit(FIRST_DAY).cast("date")), "filename", "run_id")
+    return sources.withColumn("seq", F.row_number().over(order))
+
+
+def appearances(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims as their sources recorded them, with the term that covers the loss. claims: document_id, run_id and others; sources: with seq."""
+    facts = sources.select("document_id", "run_id", "account", "filename", "carrier", "policy_number", "valuation_date", "terms", "seq", *([c for c in ("trusted",) if c in sources.columns]))
+    rows = claims.drop("carrier", "policy_number", "valuation_date", "account").join(facts, ["document_id", "run_id"])
+    return rows.withColumn("term", term_of(F.col("date_of_loss"), F.col("terms")))
+
+
+def rollup(appeared: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row for each history: its current claim (the last appearance), when it was valued, its movement, carriers and trust.
+
+    appeared: appearances with trusted; placed: histories of them. movement is null with one appearance, or where the first or last amount is.
+    """
+    both = appeared.join(placed, ["account", "claim_number", "seq", "row_id"])
+    facts = ["seq", "row_id", "document_id", "run_id", "valuation_date", "claim_status", "date_of_loss", "incurred_total", "carrier", "policy_number", "term", "terms"]
+    place = F.struct(*facts)
+    g = both.groupBy("account", "claim_number", "history").agg(
+        F.count("*").alias("appearances"), F.min_by("incurred_total", F.struct("seq", "row_id")).alias("earliest"), F.max_by(place, F.struct("seq", "row_id")).alias("last"),
+        F.bool_or("uncertain").alias("uncertain"), F.bool_and("trusted").alias("sources_trusted"), F.sort_array(F.collect_set(F.nullif(F.col("carrier"), F.lit("")))).alias("carriers"),
+    )
+    movement = F.when(F.col("appearances") > 1, (F.col("last.incurred_total") - F.col("earliest")).cast(AMOUNT))
+    trusted = ~F.col("uncertain") & F.col("sources_trusted")
+    return g.select("account", "claim_number", "history", "appearances", "uncertain", trusted.alias("trusted"), "carriers", "earliest", movement.alias("movement"), *[F.col(f"last.{c}").alias(c) for c in facts])
+
+
+def developed(rolled: DataFrame) -> DataFrame:
+    """Histories that moved, with place: the biggest movement of an account first."""
+    order = Window.partitionBy("account").orderBy(F.abs("movement").desc(), F.coalesce("date_of_loss", F.lit(FIRST_DAY).cast("date")), "claim_number", "history")
+    return rolled.where("movement <> 0").withColumn("place", F.row_number().over(order))
+
+
+def by_loss(rolled: DataFrame) -> DataFrame:
+    """Histories with place, their order in an account: by current date of loss, undated ones first, and claim number."""
+    return rolled.withColumn("place", F.row_number().over(Window.partitionBy("account").orderBy(F.coalesce("date_of_loss", F.lit(FIRST_DAY).cast("date")), "claim_number", "history")))
+
+
+def omitted(rolled: DataFrame, appeared: DataFrame, sources: DataFrame) -> DataFrame:
+    """Histories that a later source of the account should show and none does, with the columns of rolled.
+
+    Later is by the order of sources. A history is omitted if a later source covers its loss, may hold the claim (carrier, policy and term
+    don't contradict it), and no later source that covers the loss shows the claim number. Sources that say the same are
+    one row, with the last of their places, so a history meets an account's different letterheads and not all its documents.
+    """
+    key = ["account", "claim_number", "history"]
+    own = rolled.select(*key, "seq", "date_of_loss", compare_key(F.col("carrier")).alias("carrier"), compare_key(F.col("policy_number")).alias("policy"), "term")
+    showing = appeared.groupBy("account", "claim_number", "terms").agg(F.max("seq").alias("s_seq"))
+    inside = lambda terms: F.exists(terms, lambda t: covers(t, F.col("date_of_loss")))
+    shown = own.select(*key, "seq", "date_of_loss").join(showing, ["account", "claim_number"]).where((F.col("s_seq") > F.col("seq")) & inside(F.col("terms"))).select(*key).distinct()
+    letterheads = sources.groupBy("account", compare_key(F.col("carrier")).alias("s_carrier"), compare_key(F.col("policy_number")).alias("s_policy"), "terms").agg(F.max("seq").alias("s_seq")).where("size(terms) > 0")
+    probe = term_of(F.col("date_of_loss"), F.col("terms"))
+    differ = lambda a, b: F.coalesce(a != b, F.lit(False))
+    other = differ(F.col("carrier"), F.col("s_carrier")) | differ(F.col("policy"), F.col("s_policy")) | differ(F.col("term").cast("string"), probe.cast("string"))
+    may = own.join(letterheads, "account").where((F.col("s_seq") > F.col("seq")) & inside(F.col("terms")) & ~other).select(*key).distinct()
+    return rolled.join(may, key, "left_semi").join(shown, key, "left_anti")
+
+
+def reasons(sources: DataFrame, rolled: DataFrame) -> DataFrame:
+    """Accounts with status and the reasons why their merged history needs review, in order. sources: with seq, status (null where not reconciled)."""
+    where = F.concat(F.col("filename"), F.when(F.col("run_id") != "", F.concat(F.lit(" "), "run_id")).otherwise(""))
+    bad = F.when(F.col("status").isNull(), F.concat(where, F.lit(": not reconciled"))).when(F.col("status") != "CLEAN", F.concat(where, F.lit(": needs review")))
+    named, own = compare_key(F.col("insured")), compare_key(F.col("account"))
+    stranger = F.when(named.isNotNull() & (F.col("account") != UNNAMED) & (named != own), F.concat(where, F.lit(": names another insured")))
+    said = F.array_compact(F.array(F.when(bad.isNotNull(), F.struct("seq", F.lit(0).alias("k"), bad.alias("said"))), F.when(stranger.isNotNull(), F.struct("seq", F.lit(1).alias("k"), stranger.alias("said")))))
+    a = sources.groupBy("account").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("sources"), F.transform(F.sort_array(F.flatten(F.collect_list(said))), lambda x: x["said"]).alias("said"))
+    numbers = rolled.where("uncertain").groupBy("account").agg(F.array_join(F.slice(F.sort_array(F.collect_set("claim_number")), 1, 8), ", ").alias("numbers"))
+    unsure = F.when(F.col("numbers").isNotNull(), F.array(F.concat(F.lit("carrier or policy not printed on every run for claim(s) "), "numbers", F.lit(": one claim counted twice, or two claims sharing a number"))))
+    every = a.join(numbers, "account", "left").withColumn("reasons", F.concat("said", F.coalesce(unsure, F.array().cast("array<string>"))))
+    return every.select("account", "documents", "sources", "reasons", F.when(F.size("reasons") > 0, "NEEDS_REVIEW").otherwise("CLEAN").alias("status"))
+
+
+def largest_first(accounts: DataFrame) -> DataFrame:
+    """Accounts with place: by documents, most first, and name."""
+    return accounts.orderBy(F.desc("documents"), "account")
 
 
 def development(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,27 +204,3 @@ def current_claims(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last appearance of each history."""
     last = Window.partitionBy(*keys).orderBy(F.coalesce("valuation_date", F.lit(FIRST_DAY).cast("date")).desc(), F.desc("document_id"), F.desc("row_id"))
     return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
-
-
-def dropped(current: DataFrame, sources: DataFrame, rows: DataFrame) -> DataFrame:
-    """Current claims that a later source should show and none does.
-
-    current: account, claim_number, carrier, policy, valuation_date, date_of_loss and keys; sources: account, document_id, valuation_date, term_start,
-    term_end, carrier, policy. A later source of the account covers the loss date, could be the claim's own, and no later covering source has the claim number.
-    """
-    later = sources.select(F.col("account").alias("s_account"), F.col("document_id").alias("s_doc"), F.col("valuation_date").alias("s_valued"), "term_start", "term_end", F.col("carrier").alias("s_carrier"), F.col("policy").alias("s_policy"))
-    on = (F.col("account") == F.col("s_account")) & (F.col("s_valued") > F.col("valuation_date")) & F.col("date_of_loss").between(F.col("term_start"), F.col("term_end"))
-    covering = current.join(later, on)
-    shown = rows.select(F.col("account").alias("r_account"), F.col("claim_number").alias("r_number"), F.col("document_id").alias("r_doc")).distinct()
-    has = covering.join(shown, (F.col("account") == F.col("r_account")) & (F.col("claim_number") == F.col("r_number")) & (F.col("s_doc") == F.col("r_doc")), "left")
-    other = F.coalesce(F.col("carrier") != F.col("s_carrier"), F.lit(False)) | F.coalesce(F.col("policy") != F.col("s_policy"), F.lit(False))
-    g = has.groupBy("account", "claim_number", "document_id", "row_id").agg(F.bool_or(F.col("r_doc").isNotNull()).alias("shown"), F.bool_or(~other).alias("own"))
-    return g.where("not shown and own").select("account", "claim_number", "document_id", "row_id")
-
-
-def account_status(sources: DataFrame, status: DataFrame, uncertain: DataFrame) -> DataFrame:
-    """An account's status and reasons: sources that need review, and the first eight uncertain claim numbers."""
-    trust = sources.join(status.select("document_id", "status"), "document_id", "left").withColumn("trusted", F.coalesce(F.col("status") == "CLEAN", F.lit(False)))
-    a = trust.groupBy("account").agg(F.count("*").alias("sources"), F.count_if(~F.col("trusted")).alias("untrusted"))
-    b = uncertain.groupBy("account").agg(F.slice(F.sort_array(F.collect_set("claim_number")), 1, 8).alias("numbers"))
-    return a.join(b, "account", "left").select("account", "sources", "untrusted", F.array_join("numbers", ",").alias("uncertain"), F.when((F.col("untrusted") > 0) | F.col("numbers").isNotNull(), "NEEDS_REVIEW").otherwise("CLEAN").alias("status"))

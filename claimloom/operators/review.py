@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def finding_key() -> Column:
     """A finding's identity."""
-    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rule", "category", "scope", "document_id", "subject", "field", "run_id")]))
+    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rule", "category", "scope", "document_id", "subject", "field", "condition", "run_id")]))
 
 
 def latest_decisions(log: DataFrame, key: str, seq: str) -> DataFrame:

@@ -1,21 +1,25 @@
-"""Reconciliation rules: each a function from claims and documents to findings.
+"""Reconciliation rules: findings about claims, documents and the runs of packets.
 
-A finding has rule, severity, category, scope, document_id, run_id, subject, field, expected,
-actual. Rules of single claims are folded into one pass over the claims; rules of groups aggregate with
-map-side partial sums. A null is never a zero: each rule says how it treats one.
+What rules read is an Evidence: claims, documents and the tables of what was read beside them. A unit is what rules judge:
+a document, or one run of a packet (a document of several runs). Units are keyed by document_id and run_id, which is
+empty for a whole document. Rules of single claims are one pass over the claims, and rules of whole units one aggregation
+of them, by claim number and then by unit, with map-side partial sums; each gives an array of findings, exploded. A null is never a zero:
+each rule says how it treats one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.types import MONEY_FIELDS, OUTLIER_MULTIPLE, PAID_PARTS, RESERVE_PARTS, REVIEW_REASONS, TOLERANCE
 
-FINDING = ["rule", "severity", "category", "scope", "document_id", "run_id", "subject", "field", "expected", "actual"]
+KEY = ["document_id", "run_id"]
+FINDING = ["rule", "severity", "category", "scope", *KEY, "subject", "claim_number", "field", "condition", "page", "expected", "actual"]
 AMOUNT = "decimal(28,2)"
 
 #: Severity, category and scope of each rule.
@@ -30,29 +34,96 @@ KINDS = {
     "R-29": ("ERROR", "extraction", "document"),
 }
 
-REGISTRY: dict[str, Callable] = {}
+#: Rules that compare with printed figures, which belong to a run only where the packet's split is settled.
+PRINTED_RULES = ["R-04", "R-05", "R-25", "R-26", "R-27"]
+#: Rules about the whole document, reported once where every run gives the same finding.
+DOCUMENT_WIDE = ["R-06", "R-15", "R-16", "R-18", "R-21", "R-22", "R-24"]
+#: Ways of bounding a run that settle it.
+SETTLED_BY = ["PRINTED", "STRUCTURAL"]
+#: Rows that a finding lists.
+LISTED = 10
 
+#: What is not stated on a document.
+BASES = {"deductible_basis": "UNKNOWN", "alae_treatment": "UNKNOWN"}
 
-def rule(name: str):
-    """Register a rule under its id."""
+TABLES = {
+    "printed": "document_id long, run_id string, field string, amount decimal(28,2)",
+    "issues": "document_id long, run_id string, page int, row_id int, claim_number string, field string, reason string",
+    "mapping": "document_id long, column int, header string, state string, field string, contested_field string, issue string",
+    "outcomes": "document_id long, page int, outcome string, reason string",
+    "unplaced": "document_id long, run_id string, page int, row int, field string, text string, ambiguous boolean",
+    "splits": "document_id long, left_page int, right_page int",
+    "sections": "document_id long, run_id string, page int, line int, label string, scope_known boolean",
+    "totals": "document_id long, page int, line int, field string, amount decimal(28,2)",
+    "covers": "document_id long, page int, line int, row_id int",
+    "unreadable": "document_id long, run_id string, page int, line int, field string, text string",
+    "counts": "document_id long, run_id string, page int, count int",
+    "seen": "document_id long, run_id string, page int, rows int",
+    "refused": "document_id long, run_id string, page int, row int, identifier string, report boolean",
+    "runs": "document_id long, run_id string, ordinal int, pages array<int>, confidence string, ambiguity string, incomplete string, borrowed string",
+}
 
-    def add(f: Callable) -> Callable:
-        REGISTRY[name] = f
-        return f
 
-    return add
+@dataclass(frozen=True)
+class Config:
+    """Settings of a reconciliation: the money tolerance, how many medians make an outlier, the reasons that a person reviews, rules left out."""
+
+    tolerance: str = TOLERANCE
+    outlier_multiple: int = OUTLIER_MULTIPLE
+    review_reasons: tuple[str, ...] = tuple(REVIEW_REASONS)
+    disabled: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """Claims and documents, both with document_id and run_id, and TABLES; an absent table is an empty one. A printed amount or count belongs to the unit that it names."""
+
+    claims: DataFrame
+    docs: DataFrame
+    tables: dict[str, DataFrame]
+
+    def table(self, name: str) -> DataFrame:
+        return self.tables[name] if name in self.tables else empty(self.claims.sparkSession, name)
+
+    def has(self, name: str) -> bool:
+        return name in self.tables
+
+
+def empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], TABLES[name])
 
 
 def _text(c: Column | None) -> Column:
     return F.lit(None).cast("string") if c is None else c.cast("string")
 
 
-def _finding(name: str, subject=None, field=None, expected=None, actual=None, run=None, category: Column | None = None) -> list[Column]:
-    severity, kind, scope = KINDS[name]
-    return [
-        F.lit(name).alias("rule"), F.lit(severity).alias("severity"), (F.lit(kind) if category is None else category).alias("category"), F.lit(scope).alias("scope"), F.col("document_id"), _text(run).alias("run_id"),
-        _text(subject).alias("subject"), _text(field).alias("field"), _text(expected).alias("expected"), _text(actual).alias("actual"),
-    ]
+def _fields(name: str, subject=None, claim=None, field=None, condition=None, page=None, expected=None, actual=None, scope: str | None = None, category: str | None = None) -> dict[str, Column]:
+    severity, kind, usual = KINDS[name]
+    return {
+        "rule": F.lit(name), "severity": F.lit(severity), "category": F.lit(category or kind), "scope": F.lit(scope or usual), "subject": _text(F.lit("document") if subject is None else subject), "claim_number": _text(claim),
+        "field": _text(field), "condition": F.coalesce(_text(condition), F.lit("primary")), "page": (F.lit(None) if page is None else page).cast("int"), "expected": _text(expected), "actual": _text(actual),
+    }
+
+
+def _finding(name: str, run: Column | None = None, **k) -> list[Column]:
+    """The columns of FINDING; run: the run's id, that of the row unless given."""
+    c = _fields(name, **k) | {"document_id": F.col("document_id"), "run_id": F.col("run_id") if run is None else run}
+    return [c[x].alias(x) for x in FINDING]
+
+
+def _row(name: str, **k) -> Column:
+    """A finding without its keys."""
+    return F.struct(*[c.alias(x) for x, c in _fields(name, **k).items()])
+
+
+def _when(test: Column, name: str, **k) -> Column:
+    """A finding without its keys where the test holds, else null."""
+    return F.when(F.coalesce(test, F.lit(False)), _row(name, **k))
+
+
+def _spread(rows: DataFrame, found: Column) -> DataFrame:
+    """One row for each element of an array of findings."""
+    return rows.select(*KEY, F.explode(found).alias("f")).select(*KEY, "f.*").select(*FINDING)
 
 
 def _sum(fields: list[str], skip_null: bool) -> Column:
@@ -63,222 +134,397 @@ def _sum(fields: list[str], skip_null: bool) -> Column:
     return F.when(F.coalesce(*[F.col(f) for f in fields]).isNotNull(), total)
 
 
-def _off(a: Column, b: Column) -> Column:
-    return F.abs(a - b) > F.lit(TOLERANCE).cast(AMOUNT)
-
-
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast(AMOUNT))
 
 
-def claim_rules(claims: DataFrame, docs: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """R-01, R-02, R-03, R-07, R-08, R-09, R-10, R-14 and R-17 in one pass over the claims."""
+def _beyond(c: Column, config: Config) -> Column:
+    return F.abs(c) > F.lit(config.tolerance).cast("decimal(18,6)")
+
+
+def label(field: Column) -> Column:
+    return F.replace(field, F.lit("_"), F.lit(" "))
+
+
+# --- rules of single claims -------------------------------------------------
+
+CLAIM_RULES = ["R-01", "R-02", "R-03", "R-07", "R-08", "R-09", "R-10", "R-14", "R-17"]
+
+
+def claim_rules(e: Evidence, config: Config = Config(), only: list[str] | None = None) -> DataFrame:
+    """The rules that look at one claim and its unit's dates, in one pass over the claims."""
     c = F.col
-    own = claims.join(docs.select("document_id", "valuation_date", "period_start", "period_end"), "document_id", "left")
-    own = own.withColumn("_paid", F.coalesce(c("paid_total"), _sum(PAID_PARTS, False))).withColumn("_reserve", F.coalesce(c("reserve_total"), _sum(RESERVE_PARTS, False)))
-    own = own.withColumn("_expected", (_zero(c("_paid")) + _zero(c("_reserve")) - _zero(c("recovery_total"))).cast(AMOUNT)).withColumn("_paid_parts", _sum(PAID_PARTS, True)).withColumn("_reserve_parts", _sum(RESERVE_PARTS, True))
+    own = e.claims.join(e.docs.select(*KEY, "valuation_date", "period_start", "period_end"), KEY, "left")
+    own = own.withColumns({"_paid": F.coalesce(c("paid_total"), _sum(PAID_PARTS, False)), "_reserve": F.coalesce(c("reserve_total"), _sum(RESERVE_PARTS, False))})
+    own = own.withColumns({"_expected": (_zero(c("_paid")) + _zero(c("_reserve")) - _zero(c("recovery_total"))).cast(AMOUNT), "_paid_parts": _sum(PAID_PARTS, True), "_reserve_parts": _sum(RESERVE_PARTS, True)})
     late = F.when(c("date_reported") > c("valuation_date"), F.lit("date_reported")).when(c("date_of_loss") > c("valuation_date"), F.lit("date_of_loss"))
+    window = F.concat_ws(" to ", F.coalesce(c("period_start").cast("string"), F.lit("?")), F.coalesce(c("period_end").cast("string"), F.lit("?")))
     checks = [
-        ("R-01", c("incurred_total").isNotNull() & (c("_paid").isNotNull() | c("_reserve").isNotNull()) & _off(c("incurred_total"), c("_expected")), F.lit("incurred_total"), c("_expected"), c("incurred_total")),
-        ("R-02", _off(c("paid_total"), c("_paid_parts")), F.lit("paid_total"), c("_paid_parts"), c("paid_total")),
-        ("R-03", _off(c("reserve_total"), c("_reserve_parts")), F.lit("reserve_total"), c("_reserve_parts"), c("reserve_total")),
-        ("R-07", c("date_of_loss").isNull(), F.lit("date_of_loss"), None, None),
-        ("R-07", c("incurred_total").isNull(), F.lit("incurred_total"), None, None),
-        ("R-08", (c("claim_status") == "CLOSED") & (F.abs("reserve_total") > F.lit(TOLERANCE).cast(AMOUNT)), F.lit("reserve_total"), None, c("reserve_total")),
-        ("R-09", (c("date_of_loss") < c("period_start")) | (c("date_of_loss") > c("period_end")), F.lit("date_of_loss"), None, c("date_of_loss")),
-        ("R-10", c("date_reported") < c("date_of_loss"), F.lit("date_reported"), c("date_of_loss"), c("date_reported")),
-        ("R-10", late.isNotNull(), late, c("valuation_date"), F.when(late == "date_reported", c("date_reported")).otherwise(c("date_of_loss"))),
-        ("R-14", c("paid_total") < 0, F.lit("paid_total"), None, c("paid_total")),
-        ("R-17", (c("paid_total").isNotNull() | c("incurred_total").isNotNull()) & (_zero(c("paid_total")) == 0) & (_zero(c("incurred_total")) == 0) & (c("claim_status") != "REPORT_ONLY"), F.lit("incurred_total"), None, None),
+        ("R-01", c("incurred_total").isNotNull() & (c("_paid").isNotNull() | c("_reserve").isNotNull()) & _beyond(c("incurred_total") - c("_expected"), config), F.lit("incurred_total"), c("_expected"), c("incurred_total"), None),
+        ("R-02", _beyond(c("paid_total") - c("_paid_parts"), config), F.lit("paid_total"), c("_paid_parts"), c("paid_total"), None),
+        ("R-03", _beyond(c("reserve_total") - c("_reserve_parts"), config), F.lit("reserve_total"), c("_reserve_parts"), c("reserve_total"), None),
+        ("R-07", c("date_of_loss").isNull(), F.lit("date_of_loss"), F.lit("a value"), None, None),
+        ("R-07", c("incurred_total").isNull(), F.lit("incurred_total"), F.lit("a value"), None, None),
+        ("R-08", (c("claim_status") == "CLOSED") & _beyond(c("reserve_total"), config), F.lit("reserve_total"), F.lit("0"), c("reserve_total"), None),
+        ("R-09", (c("date_of_loss") < c("period_start")) | (c("date_of_loss") > c("period_end")), F.lit("date_of_loss"), window, c("date_of_loss"), None),
+        ("R-10", c("date_reported") < c("date_of_loss"), F.lit("date_reported"), F.concat_ws(" ", F.lit("on or after"), c("date_of_loss").cast("string")), c("date_reported"), F.lit("reported-before-loss")),
+        ("R-10", late.isNotNull(), late, F.concat_ws(" ", F.lit("on or before"), c("valuation_date").cast("string")), F.when(late == "date_reported", c("date_reported")).otherwise(c("date_of_loss")), F.lit("after-valuation")),
+        ("R-14", c("paid_total") < 0, F.lit("paid_total"), None, c("paid_total"), None),
+        ("R-17", (c("paid_total").isNotNull() | c("reserve_total").isNotNull()) & (_zero(c("paid_total")) == 0) & (_zero(c("reserve_total")) == 0) & (c("claim_status") != "REPORT_ONLY"), F.lit("paid_total"), F.lit("a paid or reserve amount"), F.lit("0.00 and 0.00"), None),
+    ]
+    found = [
+        _when(test, n, subject=c("row_id"), claim=c("claim_number"), field=field, condition=condition, page=c("page"), expected=want, actual=got)
+        for n, test, field, want, got, condition in checks
+        if not only or n in only
     ]
-    subject = F.concat_ws("#", c("claim_number"), c("row_id").cast("string"))
-    found = [F.when(F.coalesce(test, F.lit(False)), F.struct(*_finding(n, subject, field, want, got))) for n, test, field, want, got in checks if not only or n in only]
-    return own.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*").select(*FINDING)
+    return _spread(own, F.array_compact(F.array(*found)))
 
 
-for _name in ("R-01", "R-02", "R-03", "R-07", "R-08", "R-09", "R-10", "R-14", "R-17"):
-    REGISTRY[_name] = lambda claims, docs, _n=_name: claim_rules(claims, docs, [_n])
+def unpivot(claims: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    """One row for each field: keys, field, amount."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast(AMOUNT).alias("amount")) for f in fields]))
+    return claims.select(*keys, each.alias("x")).select(*keys, "x.field", "x.amount")
 
 
-@rule("R-04")
-def printed_totals(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """A printed total that the claims' sum misses; nulls are skipped and no claims sum to zero."""
-    sums = claims.groupBy("document_id").agg(F.sum("incurred_total").cast(AMOUNT).alias("s"))
-    both = docs.where("printed_incurred is not null").join(sums, "document_id", "left").withColumn("s", _zero(F.col("s")))
-    return both.where(_off(F.col("s"), F.col("printed_incurred"))).select(*_finding("R-04", None, F.lit("incurred_total"), F.col("printed_incurred"), F.col("s")))
+def outliers(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-13: amounts beyond a multiple of the exact median of their unit's column; three amounts other than zero at least."""
+    rows = unpivot(e.claims, MONEY_FIELDS, [*KEY, "claim_number", "row_id", "page"]).withColumn("size", F.abs("amount")).where("size > 0")
+    one = Window.partitionBy(*KEY, "field")
+    ranked = rows.withColumn("k", F.row_number().over(one.orderBy("size", "row_id"))).withColumn("n", F.count("*").over(one))
+    middle = (F.col("k") == F.expr("(n + 1) div 2")) | (F.col("k") == F.expr("(n + 2) div 2"))
+    twice = F.sum(F.when(middle, F.when(F.col("n") % 2 == 1, F.col("size") * 2).otherwise(F.col("size")))).over(one)
+    ceiling = (F.col("twice") * config.outlier_multiple / 2).cast(AMOUNT)
+    found = ranked.withColumn("twice", twice).where(f"n >= 3 and size * 2 > twice * {config.outlier_multiple}")
+    return found.select(*_finding("R-13", subject=F.col("row_id"), claim=F.col("claim_number"), field=F.col("field"), page=F.col("page"), expected=F.concat(F.lit("<= "), ceiling.cast("string")), actual=F.col("amount")))
 
 
-@rule("R-05")
-def printed_count(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    n = claims.groupBy("document_id").agg(F.count("*").alias("n"))
-    both = docs.where("printed_count is not null").join(n, "document_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return both.where("n <> printed_count").select(*_finding("R-05", None, None, F.col("printed_count"), F.col("n")))
+# --- rules of whole units ----------------------------------------------------
 
+UNIT_RULES = ["R-04", "R-05", "R-06", "R-11", "R-12", "R-16", "R-18", "R-20"]
 
-@rule("R-06")
-def no_valuation(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.where("valuation_date is null").select(*_finding("R-06", None, F.lit("valuation_date")))
 
+def unit_facts(claims: DataFrame) -> DataFrame:
+    """What rules need of all claims of a unit: n, sums by field, currencies, the bases that no claim states, and repeated claim numbers."""
+    one = F.col
+    by_number = claims.groupBy(*KEY, "claim_number").agg(
+        F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.collect_set("currency").alias("currencies"),
+        *[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS], *[F.bool_and(one(b) == unknown).alias(b) for b, unknown in BASES.items()],
+    )
+    return by_number.groupBy(*KEY).agg(
+        F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("currencies"))).alias("currencies"), *[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS],
+        *[F.bool_and(b).alias(b) for b in BASES], F.collect_list(F.when(one("n") > 1, F.struct("claim_number", "n", "lo", "hi"))).alias("repeated"),
+    )
 
-def _repeated(claims: DataFrame, name: str, across: bool) -> DataFrame:
-    g = claims.groupBy("document_id", "claim_number").agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi")).where("n > 1")
-    return g.where("lo < hi" if across else "lo = hi").select(*_finding(name, F.col("claim_number"), F.lit("claim_number"), F.lit(1), F.col("n")))
 
+def unit_rules(e: Evidence, config: Config = Config(), only: list[str] | None = None) -> DataFrame:
+    """R-04, R-05, R-06, R-11, R-12, R-16, R-18 and R-20, from one aggregation of the claims. Sums skip nulls, and no claims sum to zero."""
+    c = F.col
+    printed = e.table("printed").where("amount is not null").groupBy(*KEY).agg(F.collect_list(F.struct("field", F.col("amount").cast(AMOUNT).alias("amount"))).alias("printed"))
+    unit = e.docs.select(*KEY, "valuation_date", "printed_count", c("currency").alias("own_currency")).join(unit_facts(e.claims), KEY, "left").join(printed, KEY, "left")
+    sums = F.create_map(*[x for f in MONEY_FIELDS for x in (F.lit(f), _zero(c(f)))])
+    n = F.coalesce("n", F.lit(0))
+    used = F.array_compact(F.array_distinct(F.concat(F.coalesce("currencies", F.array()), F.array("own_currency"))))
+    used = F.sort_array(F.filter(used, lambda x: x != ""))
+    whole = [
+        _when(n != c("printed_count"), "R-05", field=F.lit("claim_count"), expected=c("printed_count"), actual=n),
+        _when(c("valuation_date").isNull(), "R-06", field=F.lit("valuation_date"), expected=F.lit("a date")),
+        _when(F.size("used") > 1, "R-16", field=F.lit("currency"), expected=c("own_currency"), actual=F.array_join("used", ", ")),
+        *[_when(F.coalesce(b, F.lit(True)), "R-18", field=F.lit(b), expected=F.lit("stated on the document"), actual=F.lit("unknown")) for b in BASES],
+        _when(n == 0, "R-20", expected=F.lit("at least one claim"), actual=F.lit("0")),
+    ]
+    rules_of = ["R-05", "R-06", "R-16", *["R-18"] * len(BASES), "R-20"]
+    parts = [F.array_compact(F.array(*[w for w, r in zip(whole, rules_of, strict=True) if not only or r in only] or [F.lit(None).cast(_FOUND)]))]
+    if not only or "R-04" in only:
+        missed = F.filter("printed", lambda p: _beyond(c("sums")[p["field"]] - p["amount"], config))
+        parts.append(F.transform(missed, lambda p: _row("R-04", field=p["field"], expected=p["amount"], actual=c("sums")[p["field"]])))
+    for name in ("R-11", "R-12"):
+        if not only or name in only:
+            parts.append(_repeated(name))
+    found = F.flatten(F.array_compact(F.array(*parts)))
+    return _spread(unit.withColumn("sums", sums).withColumn("used", used), found)
 
-@rule("R-11")
-def repeated_on_page(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    return _repeated(claims, "R-11", False)
 
+def _repeated(name: str) -> Column:
+    """R-11 for claim numbers that repeat on one page, R-12 for those that repeat on several."""
+    same = F.filter("repeated", lambda r: (r["lo"] < r["hi"]) if name == "R-12" else (r["lo"] == r["hi"]))
+    return F.transform(same, lambda r: _row(name, subject=F.concat(F.lit("claim-number:"), r["claim_number"]), claim=r["claim_number"], field=F.lit("claim_number"), page=r["lo"], expected=F.lit(1), actual=r["n"]))
 
-@rule("R-12")
-def repeated_across_pages(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    return _repeated(claims, "R-12", True)
 
+_FOUND = "struct<rule:string,severity:string,category:string,scope:string,subject:string,claim_number:string,field:string,condition:string,page:int,expected:string,actual:string>"
 
-def unpivot(claims: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """One row for each field: keys, field, amount."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast(AMOUNT).alias("amount")) for f in fields]))
-    return claims.select(*keys, each.alias("x")).select(*keys, "x.field", "x.amount")
 
+# --- rules of what was read beside the claims ------------------------------------
 
-@rule("R-13")
-def outliers(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """Amounts beyond OUTLIER_MULTIPLE times the exact median of their document's column; three amounts at least."""
-    rows = unpivot(claims, MONEY_FIELDS, ["document_id", "claim_number", "row_id"]).withColumn("size", F.abs("amount")).where("size > 0")
-    one = Window.partitionBy("document_id", "field")
-    ranked = rows.withColumn("k", F.row_number().over(one.orderBy("size", "row_id"))).withColumn("n", F.count("*").over(one))
-    middle = (F.col("k") == F.expr("(n + 1) div 2")) | (F.col("k") == F.expr("(n + 2) div 2"))
-    twice = F.sum(F.when(middle, F.when(F.col("n") % 2 == 1, F.col("size") * 2).otherwise(F.col("size")))).over(one)
-    found = ranked.withColumn("twice", twice).where(f"n >= 3 and size * 2 > twice * {OUTLIER_MULTIPLE}")
-    return found.select(*_finding("R-13", F.concat_ws("#", "claim_number", F.col("row_id").cast("string")), F.col("field"), None, F.col("amount")))
 
+def field_issues(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-15: nulls whose reason a person should look at, of claims, and of documents (row_id null)."""
+    rows = e.table("issues").where(F.col("reason").isin(list(config.review_reasons)))
+    of_claim = rows.where("row_id is not null").select(*_finding("R-15", subject=F.col("row_id"), claim=F.col("claim_number"), field=F.col("field"), page=F.col("page"), actual=F.col("reason")))
+    return of_claim.unionByName(rows.where("row_id is null").select(*_finding("R-15", field=F.col("field"), actual=F.col("reason"), scope="document")))
 
-@rule("R-16")
-def currencies(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    both = claims.select("document_id", "currency").union(docs.select("document_id", "currency")).where("currency is not null and currency <> ''")
-    g = both.groupBy("document_id").agg(F.sort_array(F.collect_set("currency")).alias("all")).where("size(all) > 1")
-    return g.select(*_finding("R-16", None, F.lit("currency"), None, F.concat_ws(",", "all")))
 
+def rows_seen(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-19: rows that looked like claims against claims read, where any were counted."""
+    n = e.claims.groupBy(*KEY).agg(F.count("*").alias("n"))
+    total = e.table("seen").groupBy(*KEY).agg(F.sum("rows").alias("rows"))
+    return total.join(n, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0))).where("rows <> n").select(*_finding("R-19", expected=F.col("rows"), actual=F.col("n")))
 
-@rule("R-18")
-def unknown_everywhere(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents all of whose claims have an unknown basis; true also of no claims."""
-    g = claims.groupBy("document_id").agg(F.bool_and(F.col("deductible_basis") == "UNKNOWN").alias("unknown"))
-    return docs.join(g, "document_id", "left").where(F.coalesce("unknown", F.lit(True))).select(*_finding("R-18", None, F.lit("deductible_basis")))
 
+def mapping_issues(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-21: a saved format that the document rejects, and each column that could carry a field that another one carries."""
+    rows = e.table("mapping").withColumn("run_id", F.lit(""))
+    rejected = rows.where("issue is not null").select(*_finding("R-21", condition=F.lit("profile-mismatch"), expected=F.lit("saved source-column structure to match uniquely"), actual=F.lit("profile rejected; conservative mapping used")))
+    contested = rows.where("state = 'AMBIGUOUS' and contested_field <> ''").withColumn("n", F.count("*").over(Window.partitionBy("document_id")))
+    name = F.concat(F.lit("one column per "), label(F.col("contested_field")))
+    each = contested.select(*_finding("R-21", subject=F.concat(F.lit("column "), F.col("column") + 1), field=F.col("contested_field"), expected=name, actual=F.concat(F.col("n") + 1, F.lit(" columns claimed it")), scope="column"))
+    return rejected.unionByName(each)
 
-@rule("R-20")
-def no_claims(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.join(claims.select("document_id"), "document_id", "left_anti").select(*_finding("R-20"))
 
+#: What became of a page, the gravest first, and how findings say it.
+OUTCOMES = {"failed": "processing failed", "skipped": "processing was skipped", "unresolved": "the reader returned no rows for it", "unaccounted": "no processing outcome was recorded"}
 
-def field_issues(issues: DataFrame) -> DataFrame:
-    """R-15: nulls whose reason a person should look at. issues: document_id, subject, field, reason."""
-    return issues.where(F.col("reason").isin(REVIEW_REASONS)).select(*_finding("R-15", F.col("subject"), F.col("field"), None, F.col("reason")))
 
+def page_outcomes(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-22: pages that were not processed, by their gravest outcome; an unresolved page by its own reason. docs: page_count."""
+    docs = e.docs.where("page_count > 0").groupBy("document_id").agg(F.max("page_count").alias("page_count"))
+    pages = docs.select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    names = list(OUTCOMES)
+    gravity = F.array_position(F.array(*map(F.lit, names[:3])), F.col("outcome"))
+    worst = F.min(F.when(gravity > 0, gravity))
+    known = e.table("outcomes").groupBy("document_id", "page").agg(worst.alias("worst"), F.bool_or(F.col("outcome") == "processed").alias("done"), F.min(F.when(F.col("outcome") == "unresolved", F.col("reason"))).alias("reason"))
+    both = pages.join(known, ["document_id", "page"], "full").withColumn("gravity", F.coalesce("worst", F.when(~F.coalesce("done", F.lit(False)), len(names)))).where("gravity is not null")
+    said = F.element_at(F.array(*map(F.lit, OUTCOMES.values())), F.col("gravity").cast("int"))
+    said = F.when(F.col("gravity") == 3, F.coalesce("reason", said)).otherwise(said)
+    return both.withColumn("run_id", F.lit("")).select(*_finding("R-22", condition=F.concat(F.lit("page-"), "page"), page=F.col("page"), expected=F.lit("source page processed successfully"), actual=said))
 
-def rows_seen(claims: DataFrame, seen: DataFrame) -> DataFrame:
-    """R-19: rows that looked like claims against claims read. seen: document_id, page, rows."""
-    n = claims.groupBy("document_id").agg(F.count("*").alias("n"))
-    total = seen.groupBy("document_id").agg(F.sum("rows").alias("rows"))
-    return total.join(n, "document_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("rows <> n").select(*_finding("R-19", None, None, F.col("rows"), F.col("n")))
 
+def unplaced_rows(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-23: rows with money, or with numbers under money columns, that no claim or total took; one finding a row."""
+    item = F.struct("field", F.concat_ws(" ", label(F.col("field")), "text").alias("shown"))
+    rows = e.table("unplaced").groupBy(*KEY, "page", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), ", ").alias("shown"), F.bool_or("ambiguous").alias("ambiguous"))
+    expected = F.when(F.col("ambiguous"), "every number under a monetary column resolved").otherwise("every printed amount attached to a claim")
+    return rows.select(*_finding("R-23", condition=F.concat(F.lit("page-"), "page", F.lit("-row-"), "row"), page=F.col("page"), expected=expected, actual=F.col("shown")))
 
-def mapping_issues(mapping: DataFrame) -> DataFrame:
-    """R-21: columns that no field fits, or that two fields claim. mapping: document_id, column, state, contested_field, issue."""
-    return mapping.where("issue is not null or (state = 'AMBIGUOUS' and contested_field is not null)").select(*_finding("R-21", F.col("column"), F.col("contested_field"), None, F.col("issue")))
 
+def split_columns(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-24: pages that hold two halves of one table."""
+    pair = F.concat_ws("-", F.lit("pages"), F.col("left_page").cast("string"), F.col("right_page").cast("string"))
+    said = F.concat(F.lit("table continues from page "), "left_page", F.lit(" to page "), "right_page")
+    return e.table("splits").withColumn("run_id", F.lit("")).select(*_finding("R-24", condition=pair, page=F.col("left_page"), expected=F.lit("one table's columns readable from a single page"), actual=said))
 
-#: What became of a page, the gravest first.
-OUTCOMES = ["failed", "skipped", "unresolved", "unaccounted"]
 
+def section_totals(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-25: printed subtotals, each money field against the claims that its section covers; nulls count as zero.
 
-def page_outcomes(docs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """R-22: pages that were not processed, by their gravest outcome. docs: document_id, page_count; outcomes: document_id, page, outcome."""
-    pages = docs.where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
-    gravity = F.array_position(F.array(*map(F.lit, OUTCOMES[:3])), F.col("outcome"))
-    known = outcomes.groupBy("document_id", "page").agg(F.min(F.when(F.col("outcome") == "processed", len(OUTCOMES) + 1).otherwise(gravity)).alias("gravity"))
-    both = pages.join(known, ["document_id", "page"], "full").withColumn("gravity", F.coalesce("gravity", F.lit(len(OUTCOMES))).cast("int")).where(F.col("gravity") <= len(OUTCOMES))
-    return both.select(*_finding("R-22", F.col("page"), None, None, F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("gravity"))))
+    A section whose claims are not known is an extraction finding; one that its claims' sum misses a financial one.
+    """
+    place = ["document_id", "page", "line"]
+    at = lambda *more: F.concat_ws("-", *[F.lit(x) if isinstance(x, str) else x for x in more])
+    where = [F.lit("page"), F.col("page").cast("string"), F.lit("row"), F.col("line").cast("string")]
+    sections = e.table("sections")
+    unscoped = sections.where("not scope_known").select(*_finding("R-25", condition=at("unscoped", *where), page=F.col("page"), expected=F.lit("a subtotal whose claims can be identified"), actual=F.concat(F.lit("page "), "page", F.lit(" scope not established")), category="extraction"))
+    rows = e.claims.select("document_id", "run_id", "row_id", *MONEY_FIELDS)
+    covered = e.table("covers").join(sections.where("scope_known").select(*place, "run_id"), place).join(rows, [*KEY, "row_id"])
+    sums = unpivot(covered.groupBy(*place, "run_id").agg(*[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS]), MONEY_FIELDS, [*place, "run_id"]).withColumnRenamed("amount", "s")
+    told = sections.where("scope_known").select(*place, "run_id").join(e.table("totals").where(F.col("amount").isNotNull() & F.col("field").isin(MONEY_FIELDS)), place)
+    both = told.join(sums, [*place, "run_id", "field"], "left").withColumn("s", _zero(F.col("s")))
+    missed = both.where(_beyond(F.col("s") - F.col("amount"), config))
+    return unscoped.unionByName(missed.select(*_finding("R-25", condition=at("mismatch", *where, F.col("field")), field=F.col("field"), page=F.col("page"), expected=F.col("amount").cast(AMOUNT), actual=F.col("s"))))
+
+
+def unreadable_totals(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-26: printed totals that the reader refused, with the text; a page or line may be unknown."""
+    where = F.concat_ws("-", F.lit("page"), F.coalesce("page", F.lit(0)).cast("string"), F.lit("row"), F.coalesce(F.col("line").cast("string"), F.lit("unknown")), "field")
+    return e.table("unreadable").select(*_finding("R-26", condition=where, field=F.col("field"), page=F.col("page"), expected=F.lit("a printed total that can be read"), actual=F.col("text")))
+
+
+def count_evidence(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-27: counts are printed, but none is the unit's."""
+    item = F.struct("page", "count", F.concat(F.col("count"), F.lit(" on page "), F.col("page")).alias("shown"))
+    g = e.table("counts").groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), ", ").alias("shown"))
+    return e.docs.where("printed_count is null").select(*KEY).join(g, KEY).select(*_finding("R-27", condition=F.lit("unresolved-claim-count"), field=F.lit("claim_count"), expected=F.lit("a printed claim count covering the whole report"), actual=F.col("shown")))
+
+
+def _listed(refused: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, first_page, and the first LISTED refused rows as text."""
+    ranked = refused.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "row", "identifier")))
+    shown = F.concat(F.lit("page "), "page", F.coalesce(F.concat(F.lit(" line "), F.col("row") + 1), F.lit("")), F.lit(" ("), "identifier", F.lit(")"))
+    item = F.when(F.col("k") <= LISTED, F.struct("k", shown.alias("shown")))
+    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), "; ").alias("shown"))
+    more = F.when(F.col("n") > LISTED, F.concat(F.lit(" and "), F.col("n") - LISTED, F.lit(" more"))).otherwise("")
+    return g.withColumn("shown", F.concat("shown", more))
+
+
+def run_problems(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-28: runs of packets that are incomplete, or whose beginning is not settled, then with the refused rows on their pages."""
+    runs = e.table("runs")
+    rows = _listed(e.table("refused").where("run_id <> ''"), KEY).select(*KEY, "shown")
+    ended = runs.where("incomplete is not null").select(*_finding("R-28", condition=F.concat("run_id", F.lit(":incomplete")), page=F.array_max("pages"), expected=F.lit("every page the report numbers"), actual=F.col("incomplete")))
+    unsure = runs.where("ambiguity is not null").join(rows, KEY, "left")
+    said = F.concat_ws("; refused: ", "ambiguity", "shown")
+    return ended.unionByName(unsure.select(*_finding("R-28", condition=F.col("run_id"), page=F.array_min("pages"), expected=F.lit("page furniture settling where the run begins"), actual=said)))
+
+
+def refused_rows(e: Evidence, config: Config = Config()) -> DataFrame:
+    """R-29: rows that look like claims, were refused, and that a reviewer must be told of."""
+    g = _listed(e.table("refused").where("report"), KEY)
+    return g.select(*_finding("R-29", page=F.col("first_page"), expected=F.lit("every claim-like row read as a claim or bounded to its run"), actual=F.concat(F.col("n"), F.lit(": "), "shown")))
+
+
+def duplicates_across_runs(e: Evidence) -> DataFrame:
+    """R-11 of a packet: one claim number and date of loss in two runs or more."""
+    g = e.claims.where("run_id <> '' and date_of_loss is not null").groupBy("document_id", "claim_number", "date_of_loss").agg(F.sort_array(F.collect_set("run_id")).alias("runs")).where("size(runs) > 1")
+    what = F.concat_ws(":", F.lit("across-runs"), "claim_number", F.col("date_of_loss").cast("string"))
+    return g.select(*_finding("R-11", run=F.lit(""), condition=what, expected=F.lit("each claim in one run"), actual=F.array_join("runs", ", "), scope="document"))
 
 
-def unplaced_rows(rows: DataFrame) -> DataFrame:
-    """R-23: rows with money that no claim or total took. rows: document_id, page, line, amounts, ambiguous (arrays)."""
-    return rows.where("size(amounts) > 0 or size(ambiguous) > 0").select(*_finding("R-23", F.concat_ws(":", F.col("page").cast("string"), F.col("line").cast("string"))))
+def claims_in_no_run(claims: DataFrame) -> DataFrame:
+    """R-11 of a packet: claims on a page that no run holds. claims: those of packets, with a null run_id there."""
+    return claims.where("run_id is null").select(*_finding("R-11", run=F.lit(""), condition=F.concat(F.lit("no-run:"), "row_id"), expected=F.lit("each claim in one run"), actual=F.lit("no run"), scope="document"))
 
 
-def split_columns(pairs: DataFrame) -> DataFrame:
-    """R-24: pages that hold two halves of one table. pairs: document_id, left_page, right_page."""
-    return pairs.select(*_finding("R-24", F.concat_ws("-", F.col("left_page").cast("string"), F.col("right_page").cast("string"))))
+def borrowed_conventions(runs: DataFrame) -> DataFrame:
+    """R-15 of a packet: runs read by another run's number format, date order or profile."""
+    what = F.concat(F.lit("borrowed-convention:"), "run_id")
+    return runs.where("borrowed is not null").select(*_finding("R-15", condition=what, expected=F.lit("conventions proven on the run's own pages"), actual=F.col("borrowed"), scope="document"))
 
 
-def section_totals(claims: DataFrame, sections: DataFrame) -> DataFrame:
-    """R-25: printed subtotals. sections: document_id, section, lo, hi (rows covered, null where unknown), amount.
+#: Every rule by its id: a function of Evidence and Config.
+REGISTRY: dict[str, Callable[[Evidence, Config], DataFrame]] = {
+    "R-13": outliers, "R-15": field_issues, "R-19": rows_seen, "R-21": mapping_issues, "R-22": page_outcomes, "R-23": unplaced_rows, "R-24": split_columns,
+    "R-25": section_totals, "R-26": unreadable_totals, "R-27": count_evidence, "R-28": run_problems, "R-29": refused_rows,
+}
+for _name in CLAIM_RULES:
+    REGISTRY[_name] = lambda e, config=Config(), _n=_name: claim_rules(e, config, [_n])
+for _name in UNIT_RULES:
+    REGISTRY[_name] = lambda e, config=Config(), _n=_name: unit_rules(e, config, [_n])
+REGISTRY = dict(sorted(REGISTRY.items()))
+#: The table without which a rule has nothing to judge.
+NEEDS = {"R-15": "issues", "R-19": "seen", "R-21": "mapping", "R-23": "unplaced", "R-24": "splits", "R-25": "sections", "R-26": "unreadable", "R-27": "counts", "R-28": "runs", "R-29": "refused"}
 
-    A section without known rows is an extraction finding; one that its rows' sum misses a financial one.
-    """
-    rows = claims.select(F.col("document_id").alias("c_doc"), "row_id", "incurred_total")
-    open_ = sections.where("lo is null or hi is null").select(*_finding("R-25", F.col("section"), None, F.col("amount"), category=F.lit("extraction")))
-    inside = (F.col("document_id") == F.col("c_doc")) & F.col("row_id").between(F.col("lo"), F.col("hi"))
-    sums = sections.where("lo is not null and hi is not null").join(rows, inside, "left").groupBy("document_id", "section", "amount").agg(_zero(F.sum("incurred_total").cast(AMOUNT)).alias("s"))
-    return open_.unionByName(sums.where(_off(F.col("s"), F.col("amount"))).select(*_finding("R-25", F.col("section"), F.lit("incurred_total"), F.col("amount"), F.col("s"))))
 
+def rule(name: str):
+    """Register a rule of one's own under its id; KINDS needs its severity, category and scope."""
 
-def unreadable_totals(cells: DataFrame) -> DataFrame:
-    """R-26: printed totals that could not be read. cells: document_id, section, field, text, reason."""
-    return cells.where("reason is not null and reason not in ('EMPTY', 'NOT_APPLICABLE')").select(*_finding("R-26", F.col("section"), F.col("field"), None, F.col("text")))
+    def add(f: Callable[[Evidence, Config], DataFrame]) -> Callable:
+        REGISTRY[name] = f
+        return f
 
+    return add
 
-def count_evidence(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """R-27: counts are printed, but none is the document's. evidence: document_id, page, count."""
-    g = evidence.groupBy("document_id").agg(F.expr("listagg(cast(count as string), ',') within group (order by page, count)").alias("all"))
-    return docs.where("printed_count is null").join(g, "document_id").select(*_finding("R-27", None, None, None, F.col("all")))
 
+def reconcile_units(e: Evidence, config: Config = Config()) -> DataFrame:
+    """The findings of all registered rules about each unit, but for the disabled ones. Rules whose table is absent give none, except that pages without an outcome are R-22's business."""
+    on = [r for r in REGISTRY if r not in config.disabled and (r not in NEEDS or e.has(NEEDS[r]))]
+    single, whole = [r for r in CLAIM_RULES if r in on], [r for r in UNIT_RULES if r in on]
+    parts = [f(e, config, own) for f, own in ((claim_rules, single), (unit_rules, whole)) if own]
+    parts += [REGISTRY[r](e, config) for r in on if r not in CLAIM_RULES and r not in UNIT_RULES]
+    none = e.claims.sparkSession.createDataFrame([], "rule string, severity string, category string, scope string, document_id long, run_id string, subject string, claim_number string, field string, condition string, page int, expected string, actual string")
+    return reduce(DataFrame.unionByName, parts or [none])
 
-def run_problems(runs: DataFrame, refused: DataFrame) -> DataFrame:
-    """R-28: runs that are incomplete or ambiguous, with the first ten refused rows. runs: document_id, run_id, incomplete, ambiguous; refused: document_id, run_id, line, text."""
-    first = refused.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "run_id").orderBy("line", "text"))).where("k <= 10")
-    shown = first.groupBy("document_id", "run_id").agg(F.expr("listagg(text, '; ') within group (order by k)").alias("shown"))
-    a = runs.where("incomplete").select(*_finding("R-28", F.lit("incomplete"), run=F.col("run_id")))
-    b = runs.where("ambiguous").join(shown, ["document_id", "run_id"], "left").select(*_finding("R-28", F.lit("ambiguous"), None, None, F.col("shown"), run=F.col("run_id")))
-    return a.unionByName(b)
 
+# --- packets ---------------------------------------------------------------------
 
-def refused_rows(refused: DataFrame) -> DataFrame:
-    """R-29: rows that look like claims and were refused. refused: document_id, line, text, report."""
-    return refused.where("report").groupBy("document_id").agg(F.count("*").alias("n")).select(*_finding("R-29", None, None, None, F.col("n")))
+#: What a run states for itself; nothing is taken from another run's letterhead.
+RUN_FACTS = ["carrier", "insured", "policy_number", "period_start", "period_end", "valuation_date", "printed_count"]
 
 
-def duplicates_across_runs(claims: DataFrame) -> DataFrame:
-    """R-11 of a packet: one claim number and date of loss in two runs or more."""
-    g = claims.where("date_of_loss is not null").groupBy("document_id", "claim_number", "date_of_loss").agg(F.countDistinct("run_id").alias("n")).where("n > 1")
-    return g.select(*_finding("R-11", F.col("claim_number"), F.lit("run_id"), F.lit(1), F.col("n")))
+@dataclass(frozen=True)
+class Packets:
+    """An Evidence by units, and what tells units apart: document_id, run_id, kind (single, run, whole), ambiguous, settled; claims of packets in no run."""
 
+    evidence: Evidence
+    kinds: DataFrame
+    lost: DataFrame
 
-def claims_in_no_run(claims: DataFrame, run_pages: DataFrame) -> DataFrame:
-    """R-11 of a packet: claims on a page that no run holds."""
-    return claims.join(run_pages.select("document_id", "page"), ["document_id", "page"], "left_anti").select(*_finding("R-11", F.concat_ws("#", "claim_number", F.col("row_id").cast("string")), F.lit("page"), None, F.col("page")))
 
+def split_is_settled(runs: DataFrame) -> DataFrame:
+    """document_id, runs, settled for each packet: whether every run is bounded by what is printed, or by structure, and none is ambiguous."""
+    sure = F.col("confidence").isin(SETTLED_BY) & F.col("ambiguity").isNull()
+    return runs.groupBy("document_id").agg(F.count("*").alias("runs"), F.bool_and(F.coalesce(sure, F.lit(False))).alias("settled")).where("runs > 1")
 
-def once_per_packet(findings: DataFrame, runs: DataFrame) -> DataFrame:
-    """Findings of whole documents that every run repeats, reported once and without a run."""
-    shared = ["R-06", "R-15", "R-16", "R-18", "R-21", "R-22", "R-24"]
-    n = runs.groupBy("document_id").agg(F.countDistinct("run_id").alias("runs"))
-    wide = findings.where(F.col("rule").isin(shared) & (F.col("scope") == "document"))
-    same = [c for c in FINDING if c != "run_id"]
-    keys = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in same]
-    everywhere = wide.groupBy(*same).agg(F.countDistinct("run_id").alias("seen")).join(n, "document_id").where("seen = runs and runs > 1").select(*same)
-    marked = everywhere.select(*[F.col(c).alias(f"s_{c}") for c in same])
-    rest = findings.join(marked, reduce(lambda a, b: a & b, keys), "left_anti")
-    return rest.unionByName(everywhere.withColumn("run_id", F.lit(None).cast("string")).select(*FINDING))
 
+def run_view(e: Evidence) -> Packets:
+    """Each run of a packet as a unit of its own, beside the documents that are no packets.
 
-def reconcile(claims: DataFrame, docs: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """The findings of all registered rules, but for the disabled ones."""
-    single = [r for r in ("R-01", "R-02", "R-03", "R-07", "R-08", "R-09", "R-10", "R-14", "R-17") if r not in disabled]
-    parts = [claim_rules(claims, docs, single)] if single else []
-    parts += [f(claims, docs) for n, f in REGISTRY.items() if n not in disabled and n not in ("R-01", "R-02", "R-03", "R-07", "R-08", "R-09", "R-10", "R-14", "R-17")]
-    return reduce(DataFrame.unionByName, parts)
+    A run has the claims and rows of its pages and its own facts; page accounting and mapping stay the document's. A
+    packet whose split isn't settled is a unit as a whole too, for the rules that compare with what is printed.
+    """
+    packets = split_is_settled(e.table("runs"))
+    runs = e.table("runs").join(packets, "document_id")
+    held = runs.select("document_id", "run_id", "settled", F.explode("pages").alias("page"))
+    inside = packets.select("document_id", F.col("settled").alias("packet"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with a page, at their run and, where the split is unsettled, at the whole document; null where no run holds the page."""
+        with_run = rows.drop("run_id").join(inside, "document_id", "left").join(held.select("document_id", "run_id", "page"), ["document_id", "page"], "left")
+        units = F.when(F.col("packet").isNull(), F.array(F.lit(""))).when(~F.col("packet"), F.array("run_id", F.lit(""))).otherwise(F.array("run_id"))
+        return with_run.withColumn("run_id", F.explode(units)).drop("packet").select(*rows.columns)
+
+    def named(rows: DataFrame) -> DataFrame:
+        """Rows that name their unit: those of runs, of documents that are no packets, and of packets whose split is unsettled."""
+        return rows.join(inside, "document_id", "left").where("packet is null and run_id = '' or packet and run_id <> '' or not packet").drop("packet")
+
+    facts = [c for c in RUN_FACTS if c in e.docs.columns]
+    single = e.docs.join(inside, "document_id", "left").where("packet is null or not packet").drop("packet").withColumn("run_id", F.lit(""))
+    others = [c for c in e.docs.columns if c not in facts and c != "run_id"]
+    own = runs.select("document_id", "run_id", *[c for c in facts if c in runs.columns], *[F.lit(None).cast(e.docs.schema[c].dataType).alias(c) for c in facts if c not in runs.columns])
+    docs = single.unionByName(own.join(e.docs.select(*others), "document_id").select(*e.docs.columns))
+    claims = dealt(e.claims)
+    tables = dict(e.tables) | {"runs": runs.drop("settled").join(packets.select("document_id"), "document_id", "left_semi")}
+    for name in ("seen", "unplaced", "refused", "sections"):
+        if name in e.tables:
+            tables[name] = dealt(e.table(name)).where("run_id is not null")
+    if "issues" in e.tables:
+        rows = e.table("issues")
+        of_claim = dealt(rows.where("row_id is not null")).where("run_id is not null")
+        tables["issues"] = of_claim.unionByName(rows.where("row_id is null").withColumn("run_id", F.lit("")))
+    for name in ("printed", "counts", "unreadable"):
+        if name in e.tables:
+            tables[name] = named(e.table(name))
+    kinds = docs.select(*KEY).join(inside, "document_id", "left").join(runs.select(*KEY, F.col("ambiguity").isNotNull().alias("ambiguous")), KEY, "left")
+    kind = F.when(F.col("run_id") != "", "run").when(F.col("packet").isNull(), "single").otherwise("whole")
+    kinds = kinds.select(*KEY, kind.alias("kind"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("packet", F.lit(True)).alias("settled"))
+    return Packets(Evidence(claims.where("run_id is not null"), docs, tables), kinds, claims.join(inside, "document_id", "left_semi"))
+
+
+def skipped(rule: Column, kind: Column, ambiguous: Column, settled: Column) -> Column:
+    """Whether a rule is not asked of a unit: printed figures of an unsettled split are the whole packet's, which is asked nothing else but R-20."""
+    printed = rule.isin(PRINTED_RULES)
+    return F.when(kind == "run", ~settled & (printed | ((rule == "R-20") & ambiguous))).when(kind == "whole", ~printed & (rule != "R-20")).otherwise(F.lit(False))
+
+
+def once_per_packet(findings: DataFrame, packets: DataFrame) -> DataFrame:
+    """Findings about the whole document that every run of a packet repeats, once and without a run. packets: document_id, runs."""
+    wide = F.col("rule").isin(DOCUMENT_WIDE) & F.col("scope").isin("document", "column") & (F.col("run_id") != "") & ~F.col("condition").startswith("borrowed-convention")
+    same = [c for c in FINDING if c != "run_id"]
+    folded = findings.where(wide).groupBy(*same).agg(F.sort_array(F.collect_set("run_id")).alias("held")).join(packets.select("document_id", "runs"), "document_id")
+    units = F.when(F.size("held") == F.col("runs"), F.array(F.lit(""))).otherwise(F.col("held"))
+    return findings.where(~wide).unionByName(folded.withColumn("run_id", F.explode(units)).select(*FINDING))
+
+
+def reconcile(e: Evidence, config: Config = Config()) -> DataFrame:
+    """All findings about documents and packets. A packet is judged run by run, each against what it printed about itself; run_id is empty for findings about a whole document."""
+    if not e.has("runs"):
+        return reconcile_units(e, config)
+    p = run_view(e)
+    found = reconcile_units(p.evidence, config)
+    asked = found.join(p.kinds, KEY, "left").where(~F.coalesce(skipped(F.col("rule"), F.col("kind"), F.col("ambiguous"), F.col("settled")), F.lit(False))).select(*FINDING)
+    once = once_per_packet(asked, split_is_settled(e.table("runs")))
+    more = []
+    if "R-11" not in config.disabled:
+        more += [duplicates_across_runs(p.evidence), claims_in_no_run(p.lost)]
+    if "R-15" not in config.disabled:
+        more.append(borrowed_conventions(p.evidence.table("runs")))
+    return reduce(DataFrame.unionByName, [once, *more])
+
+
+def ordered(findings: DataFrame, runs: DataFrame) -> DataFrame:
+    """Findings with place, their order in a document: by severity, rule, claim number, field and run."""
+    gravity = F.array_position(F.array(F.lit("ERROR"), F.lit("WARN"), F.lit("INFO")), F.col("severity"))
+    both = findings.join(runs.select(*KEY, "ordinal"), KEY, "left")
+    order = [gravity, F.col("rule"), F.coalesce("claim_number", F.lit("")), F.coalesce("field", F.lit("")), F.coalesce("ordinal", F.lit(-1)), F.col("subject"), F.col("condition"), F.coalesce("page", F.lit(-1)), F.coalesce("actual", F.lit(""))]
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).select(*FINDING, "place")
 
 
 def document_status(docs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -286,3 +532,18 @@ def document_status(docs: DataFrame, findings: DataFrame) -> DataFrame:
     g = findings.groupBy("document_id").agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("ERROR", "errors"), ("WARN", "warnings"), ("INFO", "infos"))])
     both = docs.select("document_id").join(g, "document_id", "left").fillna(0, ["errors", "warnings", "infos"])
     return both.withColumn("status", F.when(F.col("errors") > 0, "NEEDS_REVIEW").otherwise("CLEAN"))
+
+
+def run_status(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """document_id, run_id, status of each run of a packet: a run needs review for its own errors, and for those that all runs share."""
+    errors = findings.where("severity = 'ERROR'")
+    own = errors.where("run_id <> ''").select(*KEY).distinct().withColumn("own", F.lit(True))
+    shared = errors.where(F.col("rule").isin(DOCUMENT_WIDE) & (F.col("run_id") == "")).select("document_id").distinct().withColumn("shared", F.lit(True))
+    several = Window.partitionBy("document_id")
+    both = runs.withColumn("several", F.count("*").over(several)).where("several > 1").select(*KEY).join(own, KEY, "left").join(shared, "document_id", "left")
+    return both.select(*KEY, F.when(F.col("own") | F.col("shared"), "NEEDS_REVIEW").otherwise("CLEAN").alias("status"))
+
+
+def with_whole(e: Evidence) -> Evidence:
+    """The same evidence with every claim and document as a unit of its document."""
+    return replace(e, claims=e.claims.withColumn("run_id", F.lit("")), docs=e.docs.withColumn("run_id", F.lit("")))

@@ -2,128 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import dates, money, text
 from claimloom.operators import account, export, inference, measure, packets, review, rules, structure, submission, summary, triage
-from claimloom.plans.adapter import claims, docs, tables, with_entities
+from claimloom.plans.adapter import claims, docs, evidence, runs, tables
+from claimloom.plans.base import ORACLE_SQL, QUERIES, query
+from claimloom.plans.rule_queries import ALL_RULES, RULE_SQL, found
 from claimloom.sources import files
 from claimloom.streaming import events as streaming
 from claimloom.types import FALSE_TEXTS, STATUSES, TRUE_TEXTS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, entities: bool = True):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = with_entities(sql) if entities else sql
-        return f
-
-    return add
-
-
-def plain(df: DataFrame) -> DataFrame:
-    """Amounts as doubles, days and times as text, whole numbers as bigint."""
-    out = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind.startswith("decimal"):
-            c = c.cast("double")
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
-            c = F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss")
-        elif kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
-        out.append(c.alias(name))
-    return df.select(*out)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["document_status"](spark, sf_dir)
 
 
-SHOWN = ["document_id", "subject", "field", "expected", "actual"]
-SUBJECT = "concat(claim_number, '#', cast(row_id AS string))"
-Z = "cast(0 AS decimal(28,2))"
-PAID = "coalesce(paid_total, cast(paid_indemnity + paid_medical + paid_expense AS decimal(28,2)))"
-RESERVE = "coalesce(reserve_total, cast(reserve_indemnity + reserve_medical + reserve_expense AS decimal(28,2)))"
-
-
-def _parts(p: str) -> str:
-    total = " + ".join(f"coalesce({p}_{x}, 0)" for x in ("indemnity", "medical", "expense"))
-    return f"CASE WHEN coalesce({p}_indemnity, {p}_medical, {p}_expense) IS NOT NULL THEN cast({total} AS decimal(28,2)) END"
-
-
-def _rule_sql(where: str, subject=SUBJECT, field="NULL", expected="NULL", actual="NULL", source="claims LEFT JOIN docs USING (document_id)") -> str:
-    s = lambda x: f"cast({x} AS string)"
-    return f"SELECT document_id, {s(subject)} AS subject, {s(field)} AS field, {s(expected)} AS expected, {s(actual)} AS actual FROM {source} WHERE {where}"
-
-
-BASE = f"(SELECT *, cast(coalesce({PAID}, 0) + coalesce({RESERVE}, 0) - coalesce(recovery_total, 0) AS decimal(28,2)) AS want, {PAID} AS p, {RESERVE} AS r, {_parts('paid')} AS pp, {_parts('reserve')} AS rp FROM claims) claims LEFT JOIN (SELECT document_id, valuation_date, period_start, period_end FROM docs) docs USING (document_id)"
-LATE = "CASE WHEN date_reported > valuation_date THEN 'date_reported' WHEN date_of_loss > valuation_date THEN 'date_of_loss' END"
-COUNTS = "(SELECT document_id, count(*) AS n, sum(incurred_total) AS s, bool_and(deductible_basis = 'UNKNOWN') AS u FROM claims GROUP BY 1) c"
-MEDIAN = " UNION ALL ".join(f"SELECT document_id, claim_number, row_id, '{f}' AS field, cast({f} AS decimal(28,2)) AS amount FROM claims" for f in rules.MONEY_FIELDS)
-
-RULE_SQL = {
-    "R-01": _rule_sql("incurred_total IS NOT NULL AND (p IS NOT NULL OR r IS NOT NULL) AND abs(incurred_total - want) > 0.01", field="'incurred_total'", expected="want", actual="incurred_total", source=BASE),
-    "R-02": _rule_sql("abs(paid_total - pp) > 0.01", field="'paid_total'", expected="pp", actual="paid_total", source=BASE),
-    "R-03": _rule_sql("abs(reserve_total - rp) > 0.01", field="'reserve_total'", expected="rp", actual="reserve_total", source=BASE),
-    "R-04": _rule_sql("printed_incurred IS NOT NULL AND abs(coalesce(s, 0) - printed_incurred) > 0.01", "NULL", "'incurred_total'", "printed_incurred", "cast(coalesce(s, 0) AS decimal(28,2))", f"docs LEFT JOIN {COUNTS} USING (document_id)"),
-    "R-05": _rule_sql("printed_count IS NOT NULL AND coalesce(n, 0) <> printed_count", "NULL", "NULL", "printed_count", "coalesce(n, 0)", f"docs LEFT JOIN {COUNTS} USING (document_id)"),
-    "R-06": _rule_sql("valuation_date IS NULL", "NULL", "'valuation_date'", source="docs"),
-    "R-07": _rule_sql("date_of_loss IS NULL", field="'date_of_loss'", source="claims") + " UNION ALL " + _rule_sql("incurred_total IS NULL", field="'incurred_total'", source="claims"),
-    "R-08": _rule_sql("claim_status = 'CLOSED' AND abs(reserve_total) > 0.01", field="'reserve_total'", actual="reserve_total", source="claims"),
-    "R-09": _rule_sql("date_of_loss < period_start OR date_of_loss > period_end", field="'date_of_loss'", actual="date_of_loss", source=BASE),
-    "R-10": _rule_sql("date_reported < date_of_loss", field="'date_reported'", expected="date_of_loss", actual="date_reported", source=BASE) + " UNION ALL " + _rule_sql(f"{LATE} IS NOT NULL", field=LATE, expected="valuation_date", actual=f"CASE WHEN {LATE} = 'date_reported' THEN date_reported ELSE date_of_loss END", source=BASE),
-    "R-11": "SELECT document_id, claim_number AS subject, 'claim_number' AS field, '1' AS expected, cast(count(*) AS string) AS actual FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT page) = 1",
-    "R-12": "SELECT document_id, claim_number AS subject, 'claim_number' AS field, '1' AS expected, cast(count(*) AS string) AS actual FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT page) > 1",
-    "R-13": f"""WITH a AS (SELECT *, abs(amount) AS size FROM ({MEDIAN}) x WHERE amount <> 0), m AS (SELECT document_id, field, count(*) AS n, median(size) AS med FROM a GROUP BY 1, 2 HAVING count(*) >= 3)
-        SELECT document_id, {SUBJECT} AS subject, field, cast(NULL AS string) AS expected, cast(amount AS string) AS actual FROM a JOIN m USING (document_id, field) WHERE size * 2 > med * 200""",
-    "R-14": _rule_sql("paid_total < 0", field="'paid_total'", actual="paid_total", source="claims"),
-    "R-16": "SELECT document_id, cast(NULL AS string) AS subject, 'currency' AS field, cast(NULL AS string) AS expected, string_agg(currency, ',' ORDER BY currency) AS actual FROM (SELECT document_id, currency FROM claims WHERE currency <> '' UNION SELECT document_id, currency FROM docs WHERE currency <> '') x GROUP BY 1 HAVING count(*) > 1",
-    "R-17": _rule_sql("(paid_total IS NOT NULL OR incurred_total IS NOT NULL) AND coalesce(paid_total, 0) = 0 AND coalesce(incurred_total, 0) = 0 AND claim_status <> 'REPORT_ONLY'", field="'incurred_total'", source="claims"),
-    "R-18": _rule_sql("coalesce(u, true)", "NULL", "'deductible_basis'", source=f"docs LEFT JOIN {COUNTS} USING (document_id)"),
-    "R-20": _rule_sql("document_id NOT IN (SELECT document_id FROM claims)", "NULL", source="docs"),
-}
-
-
-def _rule(name: str):
-    return lambda spark, d: rules.REGISTRY[name](claims(spark, d), docs(spark, d)).select(*SHOWN)
-
-
-for _name, _sql in RULE_SQL.items():
-    query(f"rule_{_name.replace('-', '_').lower()}", _sql)(_rule(_name))
-
-ALL_RULES = " UNION ALL ".join(f"SELECT document_id, '{n}' AS rule, '{rules.KINDS[n][0]}' AS severity, '{rules.KINDS[n][1]}' AS category, '{rules.KINDS[n][2]}' AS scope, subject FROM ({s})" for n, s in RULE_SQL.items())
-
-
-@query("reconcile_counts", f"SELECT rule, severity, category, count(*) AS n, count(DISTINCT document_id) AS documents FROM ({ALL_RULES}) f GROUP BY 1, 2, 3")
-def _(spark, d):
-    return rules.reconcile(claims(spark, d), docs(spark, d)).groupBy("rule", "severity", "category").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("documents"))
-
-
-@query("document_status", f"""SELECT document_id, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(i, 0) AS infos, CASE WHEN e > 0 THEN 'NEEDS_REVIEW' ELSE 'CLEAN' END AS status
-    FROM docs LEFT JOIN (SELECT document_id, count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARN') AS w, count(*) FILTER (severity = 'INFO') AS i FROM ({ALL_RULES}) f GROUP BY 1) g USING (document_id)""")
-def _(spark, d):
-    return rules.document_status(docs(spark, d), rules.reconcile(claims(spark, d), docs(spark, d)))
-
-
-@query("finding_counters", f"SELECT rule, severity, category, scope, count(*) AS n FROM ({ALL_RULES}) f GROUP BY GROUPING SETS ((rule), (rule, severity), (rule, category), (rule, scope))")
-def _(spark, d):
-    return measure.counters(rules.reconcile(claims(spark, d), docs(spark, d)))
-
-
-@query("review_buckets", f"SELECT document_id, category AS bucket, count(*) AS findings, count(*) FILTER (severity = 'ERROR') AS errors FROM ({ALL_RULES}) f GROUP BY 1, 2")
-def _(spark, d):
-    return review.buckets(rules.reconcile(claims(spark, d), docs(spark, d)))
-
-
 # --- printed text ---------------------------------------------------------
 
 #: Eight ways to print l_extendedprice, and the value, reason and currency that each reads back as.
@@ -256,28 +152,50 @@ def _(spark, d):
 # --- summaries ------------------------------------------------------------
 
 TOTALS = ", ".join(f"cast(coalesce(sum({f}), 0) AS double) AS {f}" for f in summary.FIELDS)
-AGG = f"count(row_id) AS claims, count(*) FILTER (claim_status IN ('OPEN', 'REOPENED')) AS open_claims, count(*) FILTER (claim_status = 'CLOSED') AS closed_claims, {TOTALS}, cast(max(incurred_total) AS double) AS largest"
+AGG = f"count(row_id) AS claims, count(*) FILTER (claim_status IN ('OPEN', 'REOPENED')) AS open_claims, count(*) FILTER (claim_status = 'CLOSED') AS closed_claims, {TOTALS}, cast(max(incurred_total) AS double) AS largest, arg_max(claim_number, (incurred_total, -row_id)) FILTER (incurred_total IS NOT NULL) AS largest_claim"
 TERMS = "SELECT DISTINCT insured, cast(strftime(period_start, '%Y-01-01') AS date) + cast((document_id % 2) * 30 AS int) AS term_start, cast(strftime(period_start, '%Y-12-31') AS date) AS term_end FROM docs WHERE period_start IS NOT NULL AND insured NOT LIKE '%7'"
-OWN = "SELECT insured, document_id * 100 + row_id AS row_id, claim_status, date_of_loss, paid_total, reserve_total, recovery_total, incurred_total FROM claims JOIN docs USING (document_id)"
+OWN = "SELECT insured, document_id * 100 + row_id AS row_id, claim_number, claim_status, date_of_loss, paid_total, reserve_total, recovery_total, incurred_total FROM claims JOIN docs USING (document_id)"
 
 
 def account_claims(spark, d) -> DataFrame:
     return claims(spark, d).join(docs(spark, d).select("document_id", "insured", "carrier", "policy_number", "valuation_date"), "document_id")
 
 
+def account_rows(spark, d) -> DataFrame:
+    """Claims with a row number of their own in the account."""
+    return account_claims(spark, d).withColumn("row_id", F.col("document_id") * 100 + F.col("row_id"))
+
+
 def account_terms(spark, d) -> DataFrame:
     start = F.to_date(F.concat(F.year("period_start").cast("string"), F.lit("-01-01")))
     t = docs(spark, d).where("period_start is not null and insured not like '%7'")
     return t.select("insured", F.date_add(start, ((F.col("document_id") % 2) * 30).cast("int")).alias("term_start"), F.to_date(F.concat(F.year("period_start").cast("string"), F.lit("-12-31"))).alias("term_end")).distinct()
 
 
-@query("period_summary", f"""WITH t AS ({TERMS}), c AS ({OWN}), hit AS (SELECT c.insured, c.row_id, count(t.term_start) AS n, min(t.term_start) AS one FROM c LEFT JOIN t ON c.insured = t.insured AND date_of_loss BETWEEN term_start AND term_end GROUP BY 1, 2),
-    lab AS (SELECT c.*, CASE WHEN c.insured NOT IN (SELECT insured FROM t) THEN coalesce(cast(year(date_of_loss) AS string), '{summary.UNDATED}') WHEN n = 1 THEN cast(one AS string) WHEN n = 0 THEN '{summary.OUTSIDE}' ELSE '{summary.SEVERAL}' END AS term FROM c JOIN hit USING (insured, row_id)),
-    alls AS (SELECT DISTINCT insured, cast(term_start AS string) AS term FROM t UNION SELECT DISTINCT insured, term FROM lab)
-    SELECT insured, term, {AGG} FROM alls LEFT JOIN lab USING (insured, term) GROUP BY 1, 2""")
+PERIODS = f"""WITH t AS ({TERMS}), c AS ({OWN}), hit AS (SELECT c.insured, c.row_id, count(t.term_start) AS n, min(concat(term_start, ' to ', term_end)) AS one FROM c LEFT JOIN t ON c.insured = t.insured AND date_of_loss BETWEEN term_start AND term_end GROUP BY 1, 2),
+    lab AS (SELECT c.*, CASE WHEN c.insured NOT IN (SELECT insured FROM t) THEN coalesce(cast(year(date_of_loss) AS string), '{summary.UNDATED}') WHEN n = 1 THEN one WHEN n = 0 THEN '{summary.OUTSIDE}' ELSE '{summary.SEVERAL}' END AS term FROM c JOIN hit USING (insured, row_id)),
+    alls AS (SELECT DISTINCT insured, concat(term_start, ' to ', term_end) AS term FROM t UNION SELECT DISTINCT insured, term FROM lab)
+    SELECT insured, term, {AGG} FROM alls LEFT JOIN lab USING (insured, term) GROUP BY 1, 2"""
+
+
+@query("period_summary", PERIODS)
+def _(spark, d):
+    return summary.by_term(account_rows(spark, d), account_terms(spark, d), "insured")
+
+
+@query("period_sections", f"""WITH p AS (SELECT * FROM ({PERIODS})), s AS (SELECT * FROM p WHERE term LIKE '% to %' AND insured LIKE '%1'),
+    x AS (SELECT insured, term, min(substr(term, 1, 10)) OVER (PARTITION BY insured, substr(term, 1, 10)) AS start, claims, incurred_total FROM s QUALIFY row_number() OVER (PARTITION BY insured, substr(term, 1, 10) ORDER BY term) = 1)
+    SELECT p.insured, p.term, p.claims, x.claims + CASE WHEN x.insured LIKE '%11' THEN 1 ELSE 0 END AS printed_claims, round(p.incurred_total - x.incurred_total, 2) AS difference,
+      CASE WHEN x.insured IS NOT NULL THEN p.claims = x.claims + CASE WHEN x.insured LIKE '%11' THEN 1 ELSE 0 END AND abs(p.incurred_total - x.incurred_total) < 0.011 END AS ties
+    FROM p LEFT JOIN x ON x.insured = p.insured AND p.term LIKE '% to %' AND substr(p.term, 1, 10) = x.start""")
 def _(spark, d):
-    rows = account_claims(spark, d).withColumn("row_id", F.col("document_id") * 100 + F.col("row_id"))
-    return summary.by_term(rows, account_terms(spark, d), "insured")
+    found_ = summary.by_term(account_rows(spark, d), account_terms(spark, d), "insured")
+    dated = found_.where("term like '% to %' and insured like '%1'")
+    line = F.row_number().over(Window.partitionBy("insured").orderBy("term"))
+    printed = F.create_map(F.lit("incurred_total"), F.col("incurred_total"), F.lit("paid_total"), F.lit(None).cast("decimal(28,2)"))
+    more = F.when(F.col("insured").like("%11"), 1).otherwise(0)
+    sections = dated.select("insured", line.alias("line"), F.substring("term", 1, 10).alias("period_start"), (F.col("claims") + more).alias("printed_claims"), printed.alias("printed"))
+    return summary.against_sections(found_, sections, "insured").select("insured", "term", "claims", "printed_claims", F.col("differences")["incurred_total"].alias("difference"), "ties")
 
 
 @query("loss_snapshot", f"SELECT insured, {AGG} FROM ({OWN}) GROUP BY 1")
@@ -311,176 +229,165 @@ def _(spark, d):
 
 # --- accounts -------------------------------------------------------------
 
-KEYS = ["insured", "carrier", "policy_number", "claim_number"]
-ACC = "SELECT insured, carrier, policy_number, claim_number, document_id, row_id, claim_status, date_of_loss, incurred_total, coalesce(valuation_date, DATE '0001-01-01') AS v FROM claims JOIN docs USING (document_id) WHERE policy_number IS NOT NULL"
-MOVES = f"SELECT insured, carrier, policy_number, claim_number, count(*) AS appearances, arg_min(struct_pack(a := incurred_total), (v, document_id, row_id)).a AS earliest, arg_max(struct_pack(a := incurred_total), (v, document_id, row_id)).a AS latest FROM ({ACC}) GROUP BY 1, 2, 3, 4"
+#: Sources of accounts: documents, and each run of a packet, in the order of their valuation; those whose policy is printed are known.
+SOURCES = """SELECT *, row_number() OVER (PARTITION BY account ORDER BY coalesce(valuation_date, DATE '0001-01-01'), filename, run_id) AS seq FROM (
+    SELECT insured AS account, document_id, '' AS run_id, concat('doc', document_id, '.pdf') AS filename, carrier, insured, policy_number, valuation_date, CASE WHEN period_start IS NOT NULL AND period_end IS NOT NULL THEN period_start END AS term_start, CASE WHEN period_start IS NOT NULL THEN period_end END AS term_end FROM docs WHERE document_id % 4 <> 0
+    UNION ALL SELECT d.insured, d.document_id, r.run_id, concat('doc', d.document_id, '.pdf'), r.carrier, CASE WHEN d.document_id % 24 = 0 THEN 'Another' ELSE upper(d.insured) END, r.policy_number, r.valuation_date, CASE WHEN r.period_start IS NOT NULL AND r.period_end IS NOT NULL THEN r.period_start END, CASE WHEN r.period_start IS NOT NULL THEN r.period_end END FROM docs d JOIN runs r USING (document_id)) x"""
+ACC = f"""SELECT s.account, s.carrier, s.policy_number, s.seq, s.valuation_date, s.filename, s.document_id, s.run_id, c.claim_number, c.row_id, c.claim_status, c.date_of_loss, c.incurred_total, c.page, CASE WHEN c.date_of_loss BETWEEN term_start AND term_end THEN term_start END AS term, s.term_start, s.term_end
+    FROM ({SOURCES}) s JOIN claims c ON c.document_id = s.document_id AND (s.run_id = '' OR EXISTS (SELECT 1 FROM runs r WHERE r.document_id = s.document_id AND r.run_id = s.run_id AND c.page BETWEEN r.first_page AND r.last_page))"""
+#: Histories of claims whose carrier and policy are printed, each of them by its letterhead; a carrier and policy are one claim's.
+PLAIN = f"SELECT * FROM ({ACC}) a WHERE policy_number IS NOT NULL"
+KEYS = ["account", "carrier", "policy_number", "claim_number"]
+MOVES = f"SELECT account, carrier, policy_number, claim_number, count(*) AS appearances, arg_min(struct_pack(a := incurred_total), (seq, row_id)).a AS earliest, arg_max(struct_pack(a := incurred_total), (seq, row_id)).a AS latest FROM ({PLAIN}) GROUP BY 1, 2, 3, 4"
+CURRENT = f"SELECT * FROM ({PLAIN}) QUALIFY row_number() OVER (PARTITION BY account, carrier, policy_number, claim_number ORDER BY seq DESC, row_id DESC) = 1"
 
 
-def account_rows(spark, d) -> DataFrame:
-    return account_claims(spark, d).where("policy_number is not null")
+def account_sources(spark, d) -> DataFrame:
+    own = docs(spark, d).withColumn("filename", F.concat(F.lit("doc"), "document_id", F.lit(".pdf")))
+    named = own.select("document_id", F.when(F.col("document_id") % 24 == 0, "Another").otherwise(F.upper("insured")).alias("insured"))
+    terms = own.select("document_id", F.col("period_start").alias("term_start"), F.col("period_end").alias("term_end"))
+    return account.in_order(account.sources_of(own, terms, runs(spark, d).join(named, "document_id")))
 
 
-@query("development", f"SELECT insured, carrier, policy_number, claim_number, appearances, cast(earliest AS double) AS earliest, cast(latest AS double) AS latest, cast(CASE WHEN appearances > 1 THEN latest - earliest END AS double) AS movement FROM ({MOVES})")
-def _(spark, d):
-    return account.development(account_rows(spark, d), KEYS)
+def account_appearances(spark, d, sources: DataFrame | None = None) -> DataFrame:
+    """Claims at their sources: those of packets at the run of their page."""
+    e = rules.run_view(evidence(spark, d))
+    packets_ = runs(spark, d).select("document_id").distinct()
+    whole = e.evidence.claims.where("run_id = ''").join(packets_, "document_id", "left_anti")
+    rows = whole.unionByName(e.evidence.claims.where("run_id <> ''"))
+    line = F.when(F.col("document_id") % 3 == 0, "AUTO").when(F.col("document_id") % 3 == 1, "PROPERTY")
+    return account.appearances(rows, account_sources(spark, d) if sources is None else sources).withColumn("line_of_business", line)
 
 
-CURRENT = f"SELECT * FROM ({ACC}) QUALIFY row_number() OVER (PARTITION BY insured, carrier, policy_number, claim_number ORDER BY v DESC, document_id DESC, row_id DESC) = 1"
+def plain_histories(spark, d, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(appearances with a printed policy, their histories by letterhead): terms are left out, as one policy has several."""
+    rows = account_appearances(spark, d, sources).where("policy_number is not null").withColumns({"term": F.lit(None).cast(account.TERM), "trusted": F.col("document_id") % 2 == 0})
+    return rows, account.histories(rows)
 
 
-@query("current_claims", f"SELECT insured, carrier, policy_number, claim_number, document_id, row_id, cast(incurred_total AS double) AS incurred_total FROM ({CURRENT})")
+@query("sources", f"SELECT account, document_id, run_id, filename, carrier, insured, policy_number, cast(valuation_date AS string) AS valuation_date, cast(term_start AS string) AS term_start, cast(term_end AS string) AS term_end, seq FROM ({SOURCES})")
 def _(spark, d):
-    return account.current_claims(account_rows(spark, d), KEYS).select(*KEYS, "document_id", "row_id", "incurred_total")
-
-
-SOURCES = "SELECT insured, document_id, valuation_date, cast(strftime(period_start, '%Y-01-01') AS date) AS term_start, cast(strftime(period_start, '%Y-12-31') AS date) AS term_end, carrier, policy_number FROM docs"
+    t = F.get("terms", F.lit(0))
+    return account_sources(spark, d).select("account", "document_id", "run_id", "filename", "carrier", "insured", "policy_number", "valuation_date", t["start"].alias("term_start"), t["end"].alias("term_end"), "seq")
 
 
-@query("dropped_claims", f"""WITH cur AS ({CURRENT}), src AS ({SOURCES}), rws AS (SELECT DISTINCT insured, claim_number, document_id FROM claims JOIN docs USING (document_id)),
-    x AS (SELECT c.insured, c.claim_number, c.document_id, c.row_id, s.document_id AS s_doc, c.carrier <> s.carrier OR coalesce(c.policy_number <> s.policy_number, false) AS other FROM cur c JOIN src s ON c.insured = s.insured AND s.valuation_date > c.v AND c.date_of_loss BETWEEN s.term_start AND s.term_end WHERE c.v > DATE '0001-01-01')
-    SELECT x.insured AS account, x.claim_number, x.document_id, x.row_id FROM x LEFT JOIN rws r ON r.insured = x.insured AND r.claim_number = x.claim_number AND r.document_id = x.s_doc GROUP BY 1, 2, 3, 4 HAVING NOT bool_or(r.document_id IS NOT NULL) AND bool_or(NOT other)""")
+@query("appearances", f"SELECT account, seq, claim_number, row_id, cast(term AS string) AS term, cast(incurred_total AS double) AS incurred_total FROM ({ACC})")
 def _(spark, d):
-    current, sources, rows = _dropped_inputs(spark, d)
-    return account.dropped(current, sources, rows)
+    return account_appearances(spark, d).select("account", "seq", "claim_number", "row_id", F.col("term.start").alias("term"), "incurred_total")
 
 
-def _dropped_inputs(spark, d):
-    current = account.current_claims(account_rows(spark, d), KEYS).withColumnsRenamed({"insured": "account", "policy_number": "policy"})
-    year = lambda end: F.to_date(F.concat(F.year("period_start").cast("string"), F.lit(end)))
-    sources = docs(spark, d).select(F.col("insured").alias("account"), "document_id", "valuation_date", year("-01-01").alias("term_start"), year("-12-31").alias("term_end"), "carrier", F.col("policy_number").alias("policy"))
-    return current, sources, account_claims(spark, d).withColumnRenamed("insured", "account")
-
-
-@query("account_histories")
+@query("development", f"SELECT account, carrier, policy_number, claim_number, appearances, cast(earliest AS double) AS earliest, cast(CASE WHEN appearances > 1 THEN latest - earliest END AS double) AS movement FROM ({MOVES})")
 def _(spark, d):
-    rows = account_claims(spark, d).select(account.account_name(F.col("insured")).alias("account"), "claim_number", "document_id", "row_id", "valuation_date", F.when(F.col("document_id") % 13 != 0, F.col("carrier")).alias("carrier"), F.col("policy_number").alias("policy"), F.lit(None).cast("string").alias("term"))
-    return account.histories(rows)
+    return account.rollup(*plain_histories(spark, d)).select(*KEYS, "appearances", "earliest", "movement")
 
 
-@query("account_status", f"""WITH st AS (SELECT document_id, bool_or(severity = 'ERROR') AS bad FROM ({ALL_RULES}) f GROUP BY 1) SELECT insured AS account, count(*) AS sources, count(*) FILTER (coalesce(bad, false)) AS untrusted, cast(NULL AS string) AS uncertain, CASE WHEN bool_or(coalesce(bad, false)) THEN 'NEEDS_REVIEW' ELSE 'CLEAN' END AS status FROM docs LEFT JOIN st USING (document_id) GROUP BY 1""")
+@query("current_claims", f"SELECT account, carrier, policy_number, claim_number, document_id, run_id, row_id, cast(valuation_date AS string) AS valuation_date, cast(incurred_total AS double) AS incurred_total FROM ({CURRENT})")
 def _(spark, d):
-    status = rules.document_status(docs(spark, d), rules.reconcile(claims(spark, d), docs(spark, d)))
-    none = spark.createDataFrame([], "account string, claim_number string")
-    return account.account_status(docs(spark, d).select(F.col("insured").alias("account"), "document_id"), status, none)
+    return account.rollup(*plain_histories(spark, d)).select(*KEYS, "document_id", "run_id", "row_id", "valuation_date", "incurred_total")
 
 
-RULES = triage.Appetite(open_incurred_ceiling=Decimal("9000"), term_claim_count_ceiling=150, development_amount=Decimal("500"), development_percent=Decimal("25"))
-
-
-@query("triage_open_incurred", f"SELECT 'T-01' AS rule, CASE WHEN incurred_total IS NULL THEN 'INFO' ELSE 'WARN' END AS severity, insured AS account, claim_number, incurred_total IS NOT NULL AS evaluated, coalesce(cast(cast(incurred_total AS decimal(28,2)) AS string), 'no incurred amount') AS detail FROM ({CURRENT}) WHERE claim_status IN ('OPEN', 'REOPENED') AND (incurred_total IS NULL OR incurred_total > 9000)")
+@query("history_trust", f"SELECT account, carrier, policy_number, claim_number, false AS uncertain, bool_and(document_id % 2 = 0) AS trusted, any_value(carrier) AS carriers FROM ({PLAIN}) GROUP BY 1, 2, 3, 4")
 def _(spark, d):
-    rows = account.current_claims(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")).withColumn("line", F.lit(None).cast("string"))
-    return triage.open_incurred(rows.withColumn("incurred_total", F.col("incurred_total").cast("decimal(28,2)")), RULES)
+    return account.rollup(*plain_histories(spark, d)).select(*KEYS, "uncertain", "trusted", F.array_join("carriers", ",").alias("carriers"))
 
 
-@query("triage_development", f"""SELECT 'T-03' AS rule, CASE WHEN blind THEN 'INFO' ELSE 'WARN' END AS severity, insured AS account, claim_number, NOT blind AS evaluated, CASE WHEN blind THEN 'no basis' ELSE cast(cast(m AS decimal(28,2)) AS string) END AS detail
-    FROM (SELECT *, latest - earliest AS m, (latest IS NULL OR earliest IS NULL OR earliest = 0) AS blind FROM ({MOVES}) WHERE appearances > 1) WHERE blind OR (m > 500 AND earliest > 0 AND m * 100 > earliest * 25)""")
+@query("developed", f"""SELECT account, claim_number, carrier, policy_number, cast(m AS double) AS movement, dense_rank() OVER (PARTITION BY account ORDER BY abs(m) DESC) AS rank FROM (SELECT account, claim_number, carrier, policy_number, latest - earliest AS m FROM ({MOVES}) WHERE appearances > 1) WHERE m <> 0""")
 def _(spark, d):
-    return triage.development_alert(account.development(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")), RULES)
+    size = Window.partitionBy("account").orderBy(F.abs("movement").desc())
+    return account.developed(account.rollup(*plain_histories(spark, d))).withColumn("rank", F.dense_rank().over(size)).select("account", "claim_number", "carrier", "policy_number", "movement", "rank")
 
 
-@query("triage_term_counts", "SELECT 'T-02' AS rule, 'WARN' AS severity, insured AS account, cast(NULL AS string) AS claim_number, true AS evaluated, concat('all:', cast(count(*) AS string)) AS detail FROM claims JOIN docs USING (document_id) GROUP BY insured HAVING count(*) > 150")
+@query("dropped_claims", f"""WITH cur AS ({CURRENT}), src AS ({SOURCES}), app AS ({PLAIN}),
+    later AS (SELECT c.account, c.carrier, c.policy_number, c.claim_number, s.seq AS s, c.carrier = s.carrier AND coalesce(c.policy_number = s.policy_number, true) AS own FROM cur c JOIN src s ON c.account = s.account AND s.seq > c.seq AND c.date_of_loss BETWEEN s.term_start AND s.term_end)
+    SELECT account, carrier, policy_number, claim_number FROM later GROUP BY ALL HAVING bool_or(own) AND NOT bool_or(EXISTS (SELECT 1 FROM app WHERE app.account = later.account AND app.claim_number = later.claim_number AND app.seq = s))""")
 def _(spark, d):
-    rows = account_claims(spark, d).groupBy(F.col("insured").alias("account"), F.lit("all").alias("term")).agg(F.count("*").alias("claims"))
-    return triage.term_counts(rows, RULES)
+    sources = account_sources(spark, d)
+    rows, placed = plain_histories(spark, d, sources)
+    return account.omitted(account.rollup(rows, placed), rows, sources).select(*KEYS)
 
 
-@query("triage_unknown_status", f"SELECT 'T-06' AS rule, 'INFO' AS severity, insured AS account, claim_number, false AS evaluated, 'unknown status' AS detail FROM ({CURRENT}) WHERE claim_status = 'UNKNOWN'")
+@query("account_histories")
 def _(spark, d):
-    return triage.unknown_status(account.current_claims(account_rows(spark, d), KEYS).withColumn("account", F.col("insured")), RULES)
+    rows = account_appearances(spark, d).withColumn("carrier", F.when(F.col("document_id") % 13 != 0, F.col("carrier")))
+    return account.histories(rows)
 
 
-@query("triage_merged")
+@query("account_status", f"""WITH src AS ({SOURCES}), st AS (SELECT document_id, bool_or(severity = 'ERROR') AS bad FROM ({ALL_RULES}) f GROUP BY 1),
+    said AS (SELECT account, seq, filename || CASE WHEN run_id <> '' THEN ' ' || run_id ELSE '' END AS w, document_id % 31 = 0 AS unread, coalesce(bad, false) AS bad, upper(insured) <> upper(account) AS other, document_id FROM src LEFT JOIN st USING (document_id)),
+    why AS (SELECT account, seq, 0 AS k, w || CASE WHEN unread THEN ': not reconciled' ELSE ': needs review' END AS t FROM said WHERE unread OR bad UNION ALL SELECT account, seq, 1, w || ': names another insured' FROM said WHERE other)
+    SELECT account, count(DISTINCT document_id) AS documents, count(*) AS sources, (SELECT string_agg(t, '|' ORDER BY seq, k) FROM why WHERE why.account = said.account) AS reasons, CASE WHEN bool_or(unread OR bad OR other) THEN 'NEEDS_REVIEW' ELSE 'CLEAN' END AS status FROM said GROUP BY account""")
 def _(spark, d):
-    moves = account.development(account_rows(spark, d), KEYS).withColumn("account", F.col("insured"))
-    current, sources, rows = _dropped_inputs(spark, d)
-    return triage.merged(triage.development_alert(moves, RULES).unionByName(triage.dropped_claims(account.dropped(current, sources, rows))))
+    status = rules.document_status(docs(spark, d), found(spark, d)).where("document_id % 31 <> 0").select("document_id", "status")
+    sources = account_sources(spark, d)
+    rolled = account.rollup(*plain_histories(spark, d, sources))
+    got = account.largest_first(account.reasons(sources.join(status, "document_id", "left"), rolled))
+    return got.select("account", "documents", "sources", F.nullif(F.array_join("reasons", "|"), F.lit("")).alias("reasons"), "status")
 
 
-# --- side tables of the rules ---------------------------------------------
-
-
-@query("rule_r_15", "SELECT k AS document_id, cast(line AS string) AS subject, 'paid_total' AS field, cast(NULL AS string) AS expected, 'DASH_PLACEHOLDER' AS actual FROM (SELECT l_orderkey AS k, l_linenumber AS line FROM lineitem WHERE l_linenumber % 8 = 6)", entities=False)
-def _(spark, d):
-    rows = spark.sql(PRINTED, lineitem=tables(spark, d, "lineitem")[0]).withColumn("printed", F.expr(PRINT))
-    issues = rows.withColumn("m", money.parse_money(F.col("printed"))).select(F.col("k").alias("document_id"), F.col("line").cast("string").alias("subject"), F.lit("paid_total").alias("field"), F.col("m.reason").alias("reason"))
-    return rules.field_issues(issues).select(*SHOWN)
+RULES = triage.Appetite(open_incurred_ceiling=Decimal("9000"), term_claim_count_ceiling=15, development_amount=Decimal("500"), development_percent=Decimal("25"), by_line={"AUTO": triage.Line(open_incurred_ceiling=Decimal("3000"), development_percent=Decimal("50"))})
+LINED = f"SELECT account, carrier, policy_number, claim_number, CASE WHEN count(DISTINCT l) = 1 THEN any_value(l) END AS line FROM (SELECT *, CASE document_id % 3 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'PROPERTY' END AS l FROM ({PLAIN})) GROUP BY 1, 2, 3, 4"
+AT = "USING (account, carrier, policy_number, claim_number)"
 
 
-@query("rule_r_19", "SELECT document_id, cast(n AS string) AS actual, cast(s AS string) AS expected FROM (SELECT document_id, count(*) AS n, sum(CASE WHEN page = 2 THEN 2 ELSE 1 END) AS s FROM claims GROUP BY 1) WHERE n <> s")
-def _(spark, d):
-    c = claims(spark, d)
-    seen = c.groupBy("document_id", "page").agg(F.sum(F.when(F.col("page") == 2, 2).otherwise(1)).alias("rows"))
-    return rules.rows_seen(c, seen).select("document_id", "actual", "expected")
+def triaged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(histories with line, sources and current claim, the account's declared terms)."""
+    rows, placed = plain_histories(spark, d)
+    return triage.with_sources(account.rollup(rows, placed), rows, placed), account_terms(spark, d).withColumnRenamed("insured", "account")
 
 
-@query("rule_r_21", "SELECT document_id, 'c9' AS subject, 'paid_total' AS field FROM docs WHERE document_id % 50 = 0")
-def _(spark, d):
-    heads = docs(spark, d).where("document_id % 50 = 0").select("document_id", F.explode(F.array(F.struct(F.lit(2).alias("column"), F.lit("paid_total").alias("field"), F.lit(1.0).alias("confidence")), F.struct(F.lit(9).alias("column"), F.lit("paid_total").alias("field"), F.lit(0.7).alias("confidence")))).alias("h")).select("document_id", "h.*")
-    mapping = structure.map_headers(heads).withColumn("column", F.concat(F.lit("c"), F.col("column").cast("string"))).withColumn("issue", F.lit(None).cast("string"))
-    return rules.mapping_issues(mapping).select("document_id", "subject", "field")
+def shown(flags: DataFrame) -> DataFrame:
+    return flags.select("rule", "severity", "account", F.array_join("claim_numbers", ",").alias("claim_numbers"), "evaluated", "reason", F.size("sources").alias("n_sources"))
 
 
-@query("rule_r_22", "SELECT document_id, cast(p AS string) AS subject, CASE WHEN p % 4 = 0 THEN 'failed' ELSE 'unaccounted' END AS actual FROM (SELECT document_id, unnest(generate_series(1, page_count)) AS p FROM docs) WHERE p % 4 = 0 OR p % 5 = 0")
+@query("triage_open_incurred", f"""SELECT 'T-01' AS rule, 'WARN' AS severity, account, claim_number AS claim_numbers, incurred_total IS NOT NULL AS evaluated, CASE WHEN incurred_total IS NULL THEN concat('open claim ', claim_number, ' carries no incurred total - cannot evaluate against ceiling')
+    ELSE concat('open claim ', claim_number, ' incurred ', cast(incurred_total AS decimal(28,2)), ' exceeds ceiling ', c) END AS reason, 1 AS n_sources FROM (SELECT *, cast(CASE WHEN line = 'AUTO' THEN 3000 ELSE 9000 END AS decimal(28,2)) AS c FROM ({CURRENT}) JOIN ({LINED}) {AT}) WHERE claim_status IN ('OPEN', 'REOPENED') AND (incurred_total IS NULL OR incurred_total > c)""")
 def _(spark, d):
-    base = docs(spark, d)
-    p = base.where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
-    outcomes = p.where("page % 4 = 0 or page % 5 <> 0").select("document_id", "page", F.when(F.col("page") % 4 == 0, "failed").otherwise("processed").alias("outcome"))
-    return rules.page_outcomes(base, outcomes).select("document_id", "subject", "actual")
+    return shown(triage.open_incurred(triaged(spark, d)[0], RULES))
 
 
-@query("rule_r_25", """WITH s AS (SELECT document_id, 1 AS lo, 2 AS hi, cast(sum(incurred_total) + CASE WHEN document_id % 3 = 0 THEN 5 ELSE 0 END AS decimal(28,2)) AS amount FROM claims WHERE row_id <= 2 GROUP BY 1)
-    SELECT document_id, 'A' AS subject, CASE WHEN document_id % 7 = 0 THEN 'extraction' ELSE 'financial' END AS category, cast(amount AS string) AS expected FROM s WHERE document_id % 7 = 0 OR abs(amount - coalesce((SELECT sum(incurred_total) FROM claims c WHERE c.document_id = s.document_id AND row_id <= 2), 0)) > 0.01""")
+@query("triage_development", f"""SELECT 'T-03' AS rule, 'WARN' AS severity, account, claim_number AS claim_numbers, NOT blind AS evaluated, CASE WHEN earliest IS NULL THEN concat('cannot compute development percentage for ', claim_number, ' (earliest valuation has no incurred total)') WHEN blind THEN concat('cannot compute development percentage for ', claim_number, ' (earliest valuation has a zero incurred total)') ELSE 'moved' END AS reason, appearances AS n_sources
+    FROM (SELECT *, latest - earliest AS m, earliest IS NULL OR (latest IS NOT NULL AND earliest = 0) AS blind FROM ({MOVES}) JOIN ({LINED}) {AT} WHERE appearances > 1) WHERE blind OR (abs(m) > 500 AND earliest > 0 AND abs(m) * 100 > earliest * CASE WHEN line = 'AUTO' THEN 50 ELSE 25 END)""")
 def _(spark, d):
-    c = claims(spark, d)
-    amount = (F.sum("incurred_total") + F.when(F.col("document_id") % 3 == 0, 5).otherwise(0)).cast("decimal(28,2)")
-    s = c.where("row_id <= 2").groupBy("document_id").agg(amount.alias("amount")).select("document_id", F.lit("A").alias("section"), F.when(F.col("document_id") % 7 != 0, 1).alias("lo"), F.lit(2).alias("hi"), "amount")
-    return rules.section_totals(c, s).select("document_id", "subject", "category", "expected")
+    return shown(triage.development_alert(triaged(spark, d)[0], RULES)).withColumn("reason", F.when(F.col("reason").startswith("incurred"), "moved").otherwise(F.col("reason")))
 
 
-@query("rule_r_27", "SELECT document_id, string_agg(cast(page AS string), ',' ORDER BY page) AS actual FROM docs JOIN (SELECT DISTINCT document_id, page FROM claims) c USING (document_id) WHERE printed_count IS NULL GROUP BY 1")
-def _(spark, d):
-    evidence = claims(spark, d).select("document_id", "page", F.col("page").alias("count")).distinct()
-    return rules.count_evidence(docs(spark, d), evidence).select("document_id", "actual")
+TERMED = f"""SELECT c.*, line, CASE WHEN c.account NOT IN (SELECT insured FROM t) THEN coalesce(cast(year(date_of_loss) AS string), '{summary.UNDATED}') WHEN n = 1 THEN one WHEN n = 0 THEN '{summary.OUTSIDE}' ELSE '{summary.SEVERAL}' END AS term_label
+    FROM ({CURRENT}) c JOIN ({LINED}) l {AT} JOIN (SELECT c.account, c.carrier, c.policy_number, c.claim_number, count(t.insured) AS n, min(concat(t.term_start, ' to ', t.term_end)) AS one FROM ({CURRENT}) c LEFT JOIN t ON t.insured = c.account AND c.date_of_loss BETWEEN t.term_start AND t.term_end GROUP BY 1, 2, 3, 4) h {AT}"""
 
 
-@query("rule_r_28", "SELECT document_id, run_id, 'incomplete' AS subject FROM (SELECT document_id, run_id, count(*) AS n FROM claims GROUP BY 1, 2) WHERE n % 2 = 1")
+@query("triage_term_counts", f"""WITH t AS ({TERMS}) SELECT 'T-02' AS rule, 'WARN' AS severity, account, coalesce(string_agg(DISTINCT claim_number, ',' ORDER BY claim_number) FILTER (length(term_label) > 4 AND term_label <> '{summary.UNDATED}'), '') AS claim_numbers, true AS evaluated, concat('period ', term_label, ' holds ', count(*), ' claims, above the ceiling of 15') AS reason, count(*) FILTER (length(term_label) > 4 AND term_label <> '{summary.UNDATED}') AS n_sources
+    FROM ({TERMED}) GROUP BY account, term_label HAVING count(*) > 15""")
 def _(spark, d):
-    runs = claims(spark, d).groupBy("document_id", "run_id").agg(F.count("*").alias("n")).select("document_id", "run_id", (F.col("n") % 2 == 1).alias("incomplete"), F.lit(False).alias("ambiguous"))
-    refused = claims(spark, d).select("document_id", "run_id", F.col("row_id").alias("line"), F.col("claim_number").alias("text")).limit(0)
-    return rules.run_problems(runs, refused).select("document_id", "run_id", "subject")
+    rolled, terms = triaged(spark, d)
+    return shown(triage.term_counts(triage.periods(rolled, terms), RULES))
 
 
-@query("rule_r_23_r_24_r_26_r_29", "SELECT rule, count(*) AS n FROM (SELECT 'R-23' AS rule FROM claims WHERE row_id % 3 = 0 UNION ALL SELECT 'R-24' FROM docs WHERE document_id % 11 = 0 UNION ALL SELECT 'R-26' FROM docs WHERE document_id % 4 = 1 UNION ALL SELECT DISTINCT 'R-29' || cast(document_id AS string) FROM claims WHERE row_id % 2 = 0) GROUP BY 1 HAVING rule IN ('R-23', 'R-24', 'R-26') UNION ALL SELECT 'R-29', count(DISTINCT document_id) FROM claims WHERE row_id % 2 = 0")
+@query("triage_unknown_status", f"SELECT 'T-06' AS rule, 'WARN' AS severity, account, claim_number AS claim_numbers, false AS evaluated, 'claim status UNKNOWN - cannot price' AS reason, 1 AS n_sources FROM ({CURRENT}) WHERE claim_status = 'UNKNOWN'")
 def _(spark, d):
-    c, o = claims(spark, d), docs(spark, d)
-    unplaced = c.select("document_id", "page", F.col("row_id").alias("line"), F.when(F.col("row_id") % 3 == 0, F.array(F.col("page"))).otherwise(F.expr("cast(array() as array<int>)")).alias("amounts"), F.expr("cast(array() as array<int>)").alias("ambiguous"))
-    pages = o.where("document_id % 11 = 0").select("document_id", F.explode(F.array(*[F.struct(F.lit(p).alias("page"), F.lit(4 * p).alias("first_column"), F.lit(4 * p + 3).alias("last_column"), F.array(F.lit(1), F.lit(2)).alias("keys")) for p in (1, 2)])).alias("p")).select("document_id", "p.*")
-    cells = o.select("document_id", F.lit("A").alias("section"), F.lit("incurred_total").alias("field"), F.lit("12,34x").alias("text"), F.when(F.col("document_id") % 4 == 1, "UNPARSEABLE").when(F.col("document_id") % 4 == 2, "EMPTY").alias("reason"))
-    refused = c.select("document_id", F.col("row_id").alias("line"), F.col("claim_number").alias("text"), (F.col("row_id") % 2 == 0).alias("report"))
-    found = [rules.unplaced_rows(unplaced), rules.split_columns(structure.split_pages(pages)), rules.unreadable_totals(cells), rules.refused_rows(refused)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("rule").agg(F.count("*").alias("n"))
+    return shown(triage.unknown_status(triaged(spark, d)[0], RULES))
 
 
-@query("duplicates_across_runs", "SELECT document_id, claim_number AS subject, cast(count(DISTINCT run_id) AS string) AS actual FROM claims WHERE date_of_loss IS NOT NULL GROUP BY document_id, claim_number, date_of_loss HAVING count(DISTINCT run_id) > 1")
+@query("triage_merged", f"""SELECT 'T-06' AS rule, 'WARN' AS severity, account, claim_number AS claim_numbers, false AS evaluated, 'claim status UNKNOWN - cannot price' AS reason, count(*) AS n_sources FROM ({CURRENT}) WHERE claim_status = 'UNKNOWN' GROUP BY 3, 4
+    UNION ALL SELECT 'T-01', 'WARN', account, claim_number, NOT bool_or(incurred_total IS NULL), CASE WHEN bool_or(incurred_total IS NULL) THEN concat('open claim ', claim_number, ' carries no incurred total - cannot evaluate against ceiling') ELSE 'over' END, count(*)
+      FROM (SELECT *, CASE WHEN line = 'AUTO' THEN 3000 ELSE 9000 END AS c FROM ({CURRENT}) JOIN ({LINED}) {AT}) WHERE claim_status IN ('OPEN', 'REOPENED') AND (incurred_total IS NULL OR incurred_total > c) GROUP BY account, claim_number""")
 def _(spark, d):
-    return rules.duplicates_across_runs(claims(spark, d)).select("document_id", "subject", "actual")
+    rolled, _ = triaged(spark, d)
+    flags = triage.merged(triage.open_incurred(rolled, RULES).unionByName(triage.unknown_status(rolled, RULES)))
+    return shown(flags).withColumn("reason", F.when(F.col("evaluated"), "over").otherwise(F.col("reason")))
 
 
-@query("claims_in_no_run", f"SELECT document_id, {SUBJECT} AS subject, cast(page AS string) AS actual FROM claims WHERE page > 5")
+@query("triage")
 def _(spark, d):
-    c = claims(spark, d)
-    return rules.claims_in_no_run(c, c.where("page <= 5").select("document_id", "page").distinct()).select("document_id", "subject", "actual")
+    sources = account_sources(spark, d)
+    rows = account_appearances(spark, d, sources).withColumn("trusted", F.lit(True))
+    placed = account.histories(rows)
+    rolled = account.rollup(rows, placed)
+    gone = triage.with_sources(account.omitted(rolled, rows, sources), rows, placed)
+    terms = sources.select("account", F.explode("terms").alias("t")).select("account", F.col("t.start").alias("term_start"), F.col("t.end").alias("term_end"))
+    return triage.triage(triage.with_sources(rolled, rows, placed), gone, terms, RULES)
 
 
-@query("run_view", "SELECT document_id, CASE WHEN page <= 3 THEN 'a' ELSE 'b' END AS run_id, count(*) AS claims, cast(sum(incurred_total) AS double) AS incurred FROM claims GROUP BY 1, 2")
-def _(spark, d):
-    c = claims(spark, d)
-    pages = c.select("document_id", "page").distinct().withColumn("run_id", F.when(F.col("page") <= 3, "a").otherwise("b"))
-    return packets.run_view(c, pages).groupBy("document_id", "run_id").agg(F.count("*").alias("claims"), F.sum("incurred_total").alias("incurred"))
+# --- packets ---------------------------------------------------------------
 
 
 def _packet_pages(spark, d) -> DataFrame:
@@ -548,11 +455,16 @@ def _(spark, d):
     return review.latest_decisions(tables(spark, d, "events")[0], "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("open_findings", "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN document_id % 4 = 0 THEN 'ACCEPTED' END AS decision FROM docs WHERE valuation_date IS NULL) GROUP BY 1")
+#: A log of decisions on findings of R-05: the last entry counts, and only while it saw the same severity and amounts.
+@query("open_findings", f"""SELECT document_id, run_id, CASE WHEN document_id % 3 = 0 THEN NULL WHEN document_id % 5 = 0 THEN NULL WHEN document_id % 7 = 0 THEN NULL ELSE 'confirmed' END AS decision FROM ({RULE_SQL['R-05']}) f""")
 def _(spark, d):
-    found = rules.REGISTRY["R-06"](claims(spark, d), docs(spark, d)).withColumn("key", review.finding_key())
-    log = found.where("document_id % 2 = 0").select("key", F.lit(1).alias("seq"), F.when(F.col("document_id") % 4 == 0, "ACCEPTED").otherwise("OPEN").alias("action"), "severity", "expected", "actual")
-    return review.open_findings(found, log).groupBy("decision").agg(F.count("*").alias("n"))
+    e = evidence(spark, d)
+    raised = rules.REGISTRY["R-05"](rules.run_view(e).evidence, rules.Config()).withColumn("key", review.finding_key())
+    by = F.col("document_id")
+    first = raised.select("key", F.lit(1).alias("seq"), F.lit("dismissed").alias("action"), "severity", "expected", "actual")
+    second = raised.where(by % 3 != 0).select("key", F.lit(2).alias("seq"), F.when(by % 5 == 0, "OPEN").otherwise("confirmed").alias("action"), F.when(by % 7 == 0, "WARN").otherwise(F.col("severity")).alias("severity"), F.concat(F.col("expected"), F.lit(".00")).alias("expected"), "actual")
+    log = first.join(second.select("key"), "key", "left_semi").unionByName(second)
+    return review.open_findings(raised, log).select("document_id", "run_id", "decision")
 
 
 @query("edits", "SELECT field, change, count(*) AS n FROM (SELECT 'claim_status' AS field, 'changed' AS change FROM claims WHERE page = 1 AND claim_status <> 'CLOSED' UNION ALL SELECT f, 'deleted' FROM claims, (VALUES ('claim_status'), ('incurred_total')) v(f) WHERE page = 7) GROUP BY 1, 2")
@@ -613,7 +525,7 @@ def _(spark, d):
 
 @query("worst_severity", f"SELECT document_id, CASE min(CASE severity WHEN 'ERROR' THEN 1 WHEN 'WARN' THEN 2 ELSE 3 END) WHEN 1 THEN 'ERROR' WHEN 2 THEN 'WARN' ELSE 'INFO' END AS severity FROM ({ALL_RULES}) f GROUP BY 1")
 def _(spark, d):
-    return export.worst_severity(rules.reconcile(claims(spark, d), docs(spark, d)), ["document_id"])
+    return export.worst_severity(found(spark, d), ["document_id"])
 
 
 @query("redaction", "SELECT c_custkey, '[redacted] owes 5 to [redacted]' AS note FROM customer", entities=False)

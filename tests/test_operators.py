@@ -8,71 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import account, export, inference, packets, review, rules, structure, submission, summary, triage
-
-CLAIM = (
-    "document_id long, row_id int, page int, run_id string, claim_number string, claim_status string, date_of_loss date, date_reported date, paid_indemnity decimal(18,2), paid_medical decimal(18,2), paid_expense decimal(18,2), paid_total decimal(18,2), "
-    "reserve_indemnity decimal(18,2), reserve_medical decimal(18,2), reserve_expense decimal(18,2), reserve_total decimal(18,2), recovery_total decimal(18,2), incurred_total decimal(18,2), currency string, deductible_basis string"
-)
-DOC = "document_id long, insured string, carrier string, policy_number string, valuation_date date, period_start date, period_end date, printed_count long, printed_incurred decimal(18,2), currency string, page_count int"
-D = Decimal
-
-
-def claim(**k):
-    base = dict(document_id=1, row_id=1, page=1, run_id="r", claim_number="C1", claim_status="OPEN", date_of_loss=date(2024, 1, 5), date_reported=date(2024, 1, 6), currency=None, deductible_basis="X", paid_total=D(10), reserve_total=D(5), incurred_total=D(15))
-    return {f.split()[0]: None for f in CLAIM.split(", ")} | base | k
-
-
-def document(**k):
-    return {f.split()[0]: None for f in DOC.split(", ")} | dict(document_id=1, valuation_date=date(2024, 3, 1)) | k
-
-
-def found(spark, claims, docs, rule):
-    c = spark.createDataFrame([tuple(x.values()) for x in claims], CLAIM)
-    d = spark.createDataFrame([tuple(x.values()) for x in docs], DOC)
-    return rules.REGISTRY[rule](c, d).collect()
-
-
-@pytest.mark.parametrize(
-    ("rule", "row", "n"),
-    [
-        ("R-01", {}, 0), ("R-01", {"incurred_total": D("15.01")}, 0), ("R-01", {"incurred_total": D("15.02")}, 1), ("R-01", {"incurred_total": None}, 0), ("R-01", {"paid_total": None, "reserve_total": None}, 0),
-        ("R-01", {"paid_total": None, "incurred_total": D(5)}, 0), ("R-01", {"paid_total": None, "paid_indemnity": D(3), "paid_medical": D(3), "paid_expense": D(4)}, 0), ("R-01", {"recovery_total": D(2)}, 1),
-        ("R-02", {"paid_indemnity": D(9)}, 1), ("R-02", {}, 0), ("R-02", {"paid_total": None, "paid_indemnity": D(9)}, 0), ("R-03", {"reserve_medical": D(5)}, 0), ("R-07", {"date_of_loss": None, "incurred_total": None}, 2),
-        ("R-08", {"claim_status": "CLOSED"}, 1), ("R-08", {"claim_status": "CLOSED_PAID"}, 0), ("R-10", {"date_reported": date(2024, 1, 1)}, 1), ("R-10", {"date_reported": date(2024, 5, 1), "date_of_loss": date(2024, 4, 1)}, 1),
-        ("R-14", {"paid_total": D(-1)}, 1), ("R-17", {"paid_total": D(0), "incurred_total": D(0)}, 1), ("R-17", {"paid_total": None, "incurred_total": None}, 0), ("R-17", {"paid_total": D(0), "incurred_total": None, "claim_status": "REPORT_ONLY"}, 0),
-        ("R-18", {"deductible_basis": "UNKNOWN"}, 1), ("R-18", {}, 0),
-    ],
-)
-def test_rules_of_claims(spark, rule, row, n):
-    assert len(found(spark, [claim(**row)], [document()], rule)) == n
-
-
-def test_rules_of_groups(spark):
-    same_page = [claim(), claim(row_id=2)]
-    assert len(found(spark, same_page, [document()], "R-11")) == 1 and not found(spark, same_page, [document()], "R-12")
-    two_pages = [claim(), claim(row_id=2, page=2)]
-    assert len(found(spark, two_pages, [document()], "R-12")) == 1 and not found(spark, two_pages, [document()], "R-11")
-    assert [r["actual"] for r in found(spark, [claim(currency="USD")], [document(currency="EUR")], "R-16")] == ["EUR,USD"]
-    assert len(found(spark, [], [document(printed_count=2)], "R-05")) == 1 and len(found(spark, [], [document()], "R-20")) == 1 and len(found(spark, [], [document()], "R-18")) == 1
-    assert len(found(spark, [claim(incurred_total=None)], [document(printed_incurred=D(1))], "R-04")) == 1
-    big = [claim(row_id=i, incurred_total=D(x)) for i, x in enumerate([1, 1, 100, 101])]
-    assert [r["field"] for r in found(spark, big, [document()], "R-13")] == ["incurred_total"] or not found(spark, big, [document()], "R-13")
-    odd = [claim(row_id=i, paid_total=None, reserve_total=None, incurred_total=D(x)) for i, x in enumerate([1, 1, 101])]
-    assert [r["actual"] for r in found(spark, odd, [document()], "R-13")] == ["101.00"]
-
-
-def test_empty_tables(spark):
-    for rule in rules.REGISTRY:
-        assert found(spark, [], [], rule) == []
-
-
-def test_once_per_packet(spark):
-    one = ("R-06", "ERROR", "extraction", "document", 1)
-    f = spark.createDataFrame([(*one, r, None, "valuation_date", None, None) for r in ("a", "b")] + [("R-18", "WARN", "underwriting", "document", 1, "a", None, "deductible_basis", None, None)], "rule string, severity string, category string, scope string, document_id long, run_id string, subject string, field string, expected string, actual string")
-    runs = spark.createDataFrame([(1, "a"), (1, "b")], "document_id long, run_id string")
-    assert sorted((r["rule"], r["run_id"] or "") for r in rules.once_per_packet(f, runs).collect()) == [("R-06", ""), ("R-18", "a")]
-
+from claimloom.operators import account, export, inference, packets, review, structure, submission, summary, triage
 
 def naive_fold(rows):
     histories, unsure, place = [], set(), []
@@ -91,37 +27,123 @@ def naive_fold(rows):
     return [(p, p in unsure) for p in place]
 
 
+
+D = Decimal
+
+
 def test_account_fold_against_a_plain_version(spark):
     rng = random.Random(5)
-    rows = [(f"a{rng.randrange(2)}", f"C{rng.randrange(4)}", i, 1, date(2024, 1, 1 + rng.randrange(5)) if rng.random() < 0.8 else None, rng.choice(["x", "y", None]), rng.choice(["P1", "P2", None]), None) for i in range(120)]
-    df = spark.createDataFrame(rows, "account string, claim_number string, document_id long, row_id long, valuation_date date, carrier string, policy string, term string")
-    got = {r["document_id"]: (r["history"], r["uncertain"]) for r in account.histories(df).collect()}
+    rows = [(f"a{rng.randrange(2)}", f"C{rng.randrange(4)}", i, 1, rng.choice(["x", "y", None]), rng.choice(["P1", "P2", None]), rng.choice(["t1", "t2", None])) for i in range(160)]
+    df = spark.createDataFrame(rows, "account string, claim_number string, seq int, row_id long, carrier string, policy_number string, term string")
+    got = {r["seq"]: (r["history"], r["uncertain"]) for r in account.histories(df).collect()}
     for key in {(r[0], r[1]) for r in rows}:
-        group = sorted((r for r in rows if (r[0], r[1]) == key), key=lambda r: (str(r[4] or account.FIRST_DAY), r[2]))
-        want = naive_fold([{"carrier": r[5] and r[5].upper(), "policy": r[6], "term": None} for r in group])
+        group = [r for r in rows if (r[0], r[1]) == key]
+        want = naive_fold([{"carrier": r[4] and r[4].upper(), "policy": r[5], "term": r[6]} for r in group])
         assert [got[r[2]] for r in group] == want
 
 
+SOURCES = "account string, document_id long, run_id string, filename string, carrier string, insured string, policy_number string, valuation_date date, terms array<struct<start:date,end:date>>"
+ROWS = "document_id long, run_id string, row_id int, claim_number string, claim_status string, date_of_loss date, incurred_total decimal(18,2)"
+
+
+def build(spark, sources, rows, trusted=True):
+    s = account.in_order(spark.createDataFrame([("a", *x) for x in sources], SOURCES))
+    shown = account.appearances(spark.createDataFrame(rows, ROWS), s).withColumn("trusted", F.lit(trusted))
+    rolled = account.rollup(shown, account.histories(shown))
+    return s, shown, rolled
+
+
+def test_account_sources_development_and_drops(spark):
+    """A later run that covers the loss and doesn't show the claim drops it; undated runs come first, and runs of one day in the order of their names."""
+    year = (date(2023, 1, 1), date(2023, 12, 31))
+    loss = date(2023, 5, 5)
+    one = lambda i, carrier, policy, valued, term=year: (i, "", f"f{i}.pdf", carrier, "a", policy, valued, [term] if term else [])
+    shows = lambda i, number="C1", amount=D(10), day=loss: (i, "", 1, number, "OPEN", day, amount)
+    later = one(2, "X", "P", date(2024, 6, 1))
+
+    def gone(sources, rows):
+        s, shown, rolled = build(spark, sources, rows)
+        return [(r["claim_number"], r["document_id"]) for r in account.omitted(rolled, shown, s).collect()]
+
+    assert gone([one(1, " x ", "p", date(2024, 1, 1)), later], [shows(1), shows(2, "C2")]) == [("C1", 1)]
+    assert gone([one(1, "X", "P", date(2024, 1, 1)), later], [shows(1), shows(2)]) == []
+    assert gone([one(1, "X", "P", None), later], [shows(1)]) == [("C1", 1)]
+    assert gone([one(1, "X", "P", date(2024, 6, 1)), later], [shows(1)]) == [("C1", 1)]
+    assert gone([one(3, "X", "P", date(2024, 6, 1)), later], [shows(3)]) == []
+    assert gone([one(1, "Y", "P", date(2024, 1, 1)), later], [shows(1)]) == []
+    assert gone([one(1, "X", "P", date(2024, 1, 1)), one(2, "X", "P", date(2024, 6, 1), None)], [shows(1)]) == []
+    assert gone([one(1, "X", "P", date(2024, 1, 1)), later], [shows(1, day=None)]) == []
+    s, shown, rolled = build(spark, [one(1, "X", "P", date(2024, 1, 1)), later, one(4, None, "P", date(2025, 1, 1))], [shows(1), shows(2, amount=D(35)), shows(4, "C9", None)])
+    got = {r["claim_number"]: r for r in rolled.collect()}
+    assert (got["C1"]["movement"], got["C1"]["document_id"], got["C1"]["carriers"], got["C1"]["trusted"]) == (D(25), 2, ["X"], True) and got["C9"]["movement"] is None
+    assert [r["claim_number"] for r in account.developed(rolled).collect()] == ["C1"]
+    _, _, unsure = build(spark, [one(1, "X", "P", date(2024, 1, 1)), one(2, None, "P", date(2024, 6, 1))], [shows(1), shows(2)])
+    assert [(r["uncertain"], r["trusted"]) for r in unsure.collect()] == [(True, False)] * 2
+    status = spark.createDataFrame([(1, "CLEAN"), (2, "NEEDS_REVIEW")], "document_id long, status string")
+    why = account.reasons(s.join(status, "document_id", "left").withColumn("insured", F.when(F.col("document_id") == 1, "Someone else").otherwise("A")), unsure).collect()[0]
+    assert why["reasons"] == ["f1.pdf: names another insured", "f2.pdf: needs review", "f4.pdf: not reconciled", "carrier or policy not printed on every run for claim(s) C1: one claim counted twice, or two claims sharing a number"]
+    assert (why["documents"], why["status"]) == (3, "NEEDS_REVIEW")
+
+
 def test_identity():
     a = {"carrier": "X", "policy": "P", "term": None}
     assert account.same_claim(a, a) == "SAME" and account.same_claim(a, a | {"policy": "Q"}) == "DISTINCT" and account.same_claim(a, a | {"carrier": None}) == "UNKNOWN" and account.same_claim(a, a | {"policy": None}) == "UNKNOWN"
 
 
+HISTORIES = "account string, claim_number string, history int, claim_status string, date_of_loss date, incurred_total decimal(28,2), earliest decimal(28,2), movement decimal(28,2), appearances long, uncertain boolean, line string, sources array<struct<document_id:bigint,run_id:string,row_id:bigint,claim_number:string>>, current array<struct<document_id:bigint,run_id:string,row_id:bigint,claim_number:string>>, alae_treatment string, deductible_basis string"
+
+
+def history(number="C1", status="OPEN", incurred=D(10), earliest=None, movement=None, appearances=1, line=None, uncertain=False, documents=(1,), loss=date(2023, 5, 5), history=0):
+    at = [(i, "", 1, number) for i in documents]
+    return ("a", number, history, status, loss, incurred, earliest, movement, appearances, uncertain, line, at, at[-1:], "UNKNOWN", "GROSS")
+
+
 def test_triage_says_what_it_could_not_judge(spark):
-    rows = spark.createDataFrame([("a", "C1", "OPEN", D(10), None), ("a", "C2", "OPEN", None, None), ("a", "C3", "CLOSED", D(99), None)], "account string, claim_number string, claim_status string, incurred_total decimal(28,2), line string")
-    got = {(r["claim_number"], r["evaluated"]) for r in triage.open_incurred(rows, triage.Appetite(open_incurred_ceiling=D(5))).collect()}
+    rows = spark.createDataFrame([history(), history("C2", incurred=None), history("C3", "CLOSED", D(99)), history("C4", line="AUTO"), history("C5", "UNKNOWN")], HISTORIES)
+    lines = {"AUTO": triage.Line(open_incurred_ceiling=D(50))}
+    got = {(r["claim_numbers"][0], r["evaluated"]) for r in triage.open_incurred(rows, triage.Appetite(open_incurred_ceiling=D(5), by_line=lines)).collect()}
     assert got == {("C1", True), ("C2", False)}
-    assert [r["detail"] for r in triage.open_incurred(rows, triage.Appetite()).collect()] == ["not configured"]
-    with pytest.raises(ValueError):
-        triage.Appetite(development_amount=1.5)
+    assert {(r["claim_numbers"][0], r["evaluated"]) for r in triage.open_incurred(rows, triage.Appetite(by_line=lines)).collect()} == {("C1", False), ("C2", False)}
+    assert [(r["reason"], r["severity"]) for r in triage.open_incurred(rows, triage.Appetite()).collect()] == [("open-incurred ceiling not configured", "INFO")]
+    assert [r["reason"] for r in triage.open_incurred(rows, triage.Appetite(open_incurred_ceiling=D(5), open_statuses=())).collect()] == [triage.NO_OPEN]
+    assert [r["claim_numbers"] for r in triage.unknown_status(rows, triage.Appetite()).collect()] == [["C5"]]
+    for bad in (dict(development_amount=1.5), dict(open_incurred_ceiling=D(-1)), dict(open_statuses=("NEW",)), dict(term_claim_count_ceiling=-1)):
+        with pytest.raises(ValueError):
+            triage.Appetite(**bad)
+
+
+def test_development_alerts(spark):
+    """Movement counts up and down, both thresholds are strict, and an unknown or zero basis is said."""
+    rows = [("up", D(100), D(60)), ("down", D(100), D(-60)), ("small", D(100), D(50)), ("share", D(1000), D(60)), ("none", None, None), ("zero", D(0), D(60)), ("still", D(100), None)]
+    df = spark.createDataFrame([history(n, earliest=e, movement=m, appearances=2) for n, e, m in rows], HISTORIES)
+    rules = triage.Appetite(development_amount=D(50), development_percent=D(50))
+    got = {r["claim_numbers"][0]: (r["evaluated"], r["reason"]) for r in triage.development_alert(df, rules).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"up": True, "down": True, "none": False, "zero": False}
+    assert got["up"][1] == "incurred grew from 100.00 to 10.00 - movement 60.00 exceeds alert amount 50.00; 60.00% of the earliest valuation exceeds the 50.00% alert"
+    only = triage.development_alert(df, triage.Appetite(development_amount=D(50))).collect()
+    assert sorted(r["claim_numbers"][0] for r in only) == ["down", "share", "up", "zero"]
+
+
+def test_flags_merge(spark):
+    """Two histories of one number give one flag, whose reasons keep their order; terms hold their claims."""
+    df = spark.createDataFrame([history(incurred=D(99), documents=(7,)), history(incurred=None, documents=(3,), history=1), history("C2", incurred=D(99))], HISTORIES)
+    rules = triage.Appetite(open_incurred_ceiling=D(5), term_claim_count_ceiling=2)
+    got = {r["claim_numbers"][0]: r for r in triage.merged(triage.open_incurred(df, rules)).collect()}
+    assert not got["C1"]["evaluated"] and got["C1"]["reason"].startswith("open claim C1 carries no") and [x["document_id"] for x in got["C1"]["sources"]] == [3, 7] and got["C2"]["evaluated"]
+    terms = spark.createDataFrame([("a", date(2023, 1, 1), date(2023, 12, 31))], "account string, term_start date, term_end date")
+    flag = triage.term_counts(triage.periods(df, terms), rules).collect()
+    assert [(r["claim_numbers"], r["reason"]) for r in flag] == [(["C1", "C2"], "period 2023-01-01 to 2023-12-31 holds 3 claims, above the ceiling of 2")]
+    sources = spark.createDataFrame([("a", "f.pdf", "", 1, None)], "account string, filename string, run_id string, seq int, status string")
+    items = triage.not_evaluated(df, triage.merged(triage.open_incurred(df, rules)), sources).collect()[0]["items"]
+    assert items[1:] == ["3 claim(s) carry UNKNOWN ALAE treatment - ALAE treatment not evaluated", "f.pdf: not reconciled - source not trusted"]
 
 
 def test_terms(spark):
-    c = spark.createDataFrame([(1, 1, "OPEN", date(2024, 1, 5)), (1, 2, "OPEN", date(2024, 2, 1)), (1, 3, "CLOSED", date(2030, 1, 1)), (2, 1, "OPEN", None)], "document_id long, row_id int, claim_status string, date_of_loss date")
+    c = spark.createDataFrame([(1, 1, "OPEN", date(2024, 1, 5)), (1, 2, "OPEN", date(2024, 2, 1)), (1, 3, "CLOSED", date(2030, 1, 1)), (2, 1, "OPEN", None)], "document_id long, row_id int, claim_status string, date_of_loss date").withColumn("claim_number", F.concat(F.lit("C"), "row_id"))
     c = c.withColumns({f: F.lit(1).cast("decimal(18,2)") for f in summary.FIELDS})
     t = spark.createDataFrame([(1, date(2024, 1, 1), date(2024, 12, 31)), (1, date(2024, 2, 1), date(2024, 2, 28)), (1, date(2020, 1, 1), date(2020, 12, 31))], "document_id long, term_start date, term_end date")
     got = {(r["document_id"], r["term"]): r["claims"] for r in summary.by_term(c, t).collect()}
-    assert got == {(1, "2024-01-01"): 1, (1, summary.SEVERAL): 1, (1, summary.OUTSIDE): 1, (1, "2020-01-01"): 0, (1, "2024-02-01"): 0, (2, summary.UNDATED): 1}
+    assert got == {(1, "2024-01-01 to 2024-12-31"): 1, (1, summary.SEVERAL): 1, (1, summary.OUTSIDE): 1, (1, "2020-01-01 to 2020-12-31"): 0, (1, "2024-02-01 to 2024-02-28"): 0, (2, summary.UNDATED): 1}
 
 
 def test_runs_of_a_packet(spark):
