@@ -1,9 +1,10 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Every level runs only over rows that the level before left in a group of two or
-more. A level's surviving keys are held in a bitmap of fixed size, which is
-broadcast, so texts are filtered during the scan and never shuffled; collisions
-in the bitmap only let a row through to the next level. Only lengths, hashes and
+The texts are read twice. The first scan takes lengths and prefix hashes, which group the rows by length and, within
+a length, by prefix. The second takes the full hash of rows whose group has two or more. The surviving keys meet the rows
+of the second scan as a counted bitmap, or by a shuffle of key hashes where they are too many for one
+(common.flagged), so texts are never shuffled; collisions only let a row through to the full hash. What
+the second scan finds is written as a narrow table, from which all else follows. Only lengths, hashes and
 ids are shuffled, with partial aggregation, so a huge group costs one row a task.
 
 Cases: a null text is the empty text. A null id never wins against another id; a
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import bitmap_of, in_bitmap
+from claimloom.llm.common import flagged, written
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 256
@@ -35,18 +36,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, hash_all: bool) -> DataFrame:
     """exact_duplicates with the text's length n and its text_sha256; without hash_all the latter only where the prefix has a like."""
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("n", F.octet_length("t"))
-
-    lengths = rows.groupBy("n").count().where("count > 1")
-    by_length = in_bitmap(rows, F.xxhash64("n"), bitmap_of(lengths, F.xxhash64("n")), "same_length")
-
-    starts = by_length.where("same_length").withColumn("p", F.xxhash64(F.substring("t", 1, PREFIX_CHARS)))
-    prefixes = starts.groupBy("n", "p").count().where("count > 1")
-    prefix_bits = bitmap_of(prefixes, F.xxhash64("n", "p"))
-    by_prefix = in_bitmap(rows.withColumn("p", F.xxhash64(F.substring("t", 1, PREFIX_CHARS))), F.xxhash64("n", "p"), prefix_bits, "same_prefix")
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("n", F.octet_length("t")).withColumn("p", F.xxhash64(F.substring("t", 1, PREFIX_CHARS)))
+    prefixes = rows.groupBy("n", "p").count().where("count > 1")
+    by_prefix = flagged(rows, F.xxhash64("n", "p"), prefixes, F.xxhash64("n", "p"), "same_prefix")
 
     full = F.sha2(F.encode("t", "UTF-8"), 256)
-    survivors = by_prefix.where("same_prefix").select("i", "n", full.alias("h"))
+    hashed = written(by_prefix.select("i", "n", "same_prefix", (full if hash_all else F.when(F.col("same_prefix"), full)).alias("h")), "hashes")
+    survivors = hashed.where("same_prefix")
     groups = (
         survivors.groupBy("n", "h")
         .agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size"))
@@ -62,9 +58,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, hash_all: bool) -> Data
         "n",
         F.col("h").alias("text_sha256"),
     )
-    alone = by_prefix.where("not same_prefix").select(
-        F.col("i").alias("doc_id"), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "n", (full if hash_all else F.lit(None).cast("string")).alias("text_sha256")
-    )
+    alone = hashed.where("not same_prefix").select(F.col("i").alias("doc_id"), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "n", F.col("h").alias("text_sha256"))
     return alone.unionByName(same).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
@@ -76,8 +70,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     same = _marked(docs, id_col, text_col, False).where("group_size > 1").select("doc_id", F.col("n").alias("m"), F.col("text_sha256").alias("g"), "kept").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.octet_length(text).alias("n"), F.sha2(F.encode(text, "UTF-8"), 256).alias("h"))
-    flagged = in_bitmap(rows, F.xxhash64(F.col("i").cast("string"), "n"), bitmap_of(same, F.xxhash64(F.col("doc_id").cast("string"), "m")), "copy")
-    single = flagged.where("copy").dropDuplicates(["i", "n", "h"])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.octet_length(text).alias("n"), text.alias("t"))
+    own = flagged(rows, F.xxhash64(F.col("i").cast("string"), "n"), same, F.xxhash64(F.col("doc_id").cast("string"), "m"), "copy")
+    single = own.where("copy").select("row", "i", "n", F.sha2(F.encode("t", "UTF-8"), 256).alias("h")).dropDuplicates(["i", "n", "h"])
     copies = single.join(same, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("m")) & (F.col("h") == F.col("g")), "left").where("coalesce(kept, true)")
-    return flagged.where("not copy").select("row.*").unionByName(copies.select("row.*"))
+    return own.where("not copy").select("row.*").unionByName(copies.select("row.*"))
