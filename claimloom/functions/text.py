@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.types import FALSE_TEXTS, NOT_APPLICABLE, STATUSES, TRUE_TEXTS
@@ -13,9 +13,31 @@ WIDE = "０１２３４５６７８９．，（）＄"
 PLAIN = "0123456789.,()$"
 
 
+_steps: list[tuple[str, Column]] | None = None
+
+
 def let(value: Column, body) -> Column:
-    """body(value), with the value evaluated once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with the value evaluated once however often body uses it: as a column of its own inside projected(), else as the element of an array."""
+    if _steps is None:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+    name = f"_let{len(_steps)}"
+    _steps.append((name, value))
+    return body(F.col(name))
+
+
+def projected(df: DataFrame, out: str, build) -> DataFrame:
+    """df with the column out that build() gives; every let() in it becomes a projection, which keeps the plan compiled."""
+    global _steps
+    _steps = []
+    try:
+        result = build()
+        steps = _steps
+    finally:
+        _steps = None
+    names = df.columns
+    for name, value in steps:
+        df = df.withColumn(name, value)
+    return df.select(*[n for n in names if n != out], result.alias(out))
 
 
 def clean_text(c: Column) -> Column:
@@ -127,33 +149,3 @@ def line_of_business(c: Column) -> Column:
 
 #: Words and lines of business.
 LINES = [("workers", "WORKERS_COMP"), ("wc", "WORKERS_COMP"), ("auto", "AUTO"), ("automobile", "AUTO"), ("property", "PROPERTY"), ("umbrella", "UMBRELLA"), ("excess", "UMBRELLA"), ("liability", "GENERAL_LIABILITY"), ("gl", "GENERAL_LIABILITY")]
-#: Header labels and the fields that they name.
-FIELD_LABELS = {
-    "claim_number": ["claim number", "claim no", "claim", "claim id", "file number"],
-    "date_of_loss": ["date of loss", "loss date", "dol", "accident date"],
-    "date_reported": ["date reported", "report date", "reported"],
-    "claim_status": ["status", "claim status"],
-    "claimant_name": ["claimant", "claimant name", "injured worker"],
-    "paid_total": ["paid", "total paid", "paid total"],
-    "reserve_total": ["reserve", "total reserve", "outstanding", "reserves"],
-    "recovery_total": ["recovery", "subrogation", "recoveries"],
-    "incurred_total": ["incurred", "total incurred", "incurred total"],
-    "loss_description": ["description", "loss description", "cause"],
-}
-
-
-def guess_field(c: Column) -> Column:
-    """(field, confidence, source) of a header label: by the dictionary, else by its words."""
-    label = normalize_label(c)
-    words = F.split(label, " ")
-    has = lambda *w: F.arrays_overlap(words, F.array(*map(F.lit, w)))
-    exact = one_of(label, FIELD_LABELS)
-    by_word = (
-        F.when(has("incurred"), "incurred_total").when(has("reserve", "reserves", "outstanding"), "reserve_total").when(has("recovery", "subro"), "recovery_total")
-        .when(has("paid"), "paid_total").when(has("loss", "accident") & has("date"), "date_of_loss").when(has("reported", "report") & has("date"), "date_reported").when(has("status"), "claim_status")
-    )
-    return F.struct(
-        F.coalesce(exact, by_word).alias("field"),
-        F.when(exact.isNotNull(), F.lit(1.0)).when(by_word.isNotNull(), F.lit(0.7)).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(exact.isNotNull(), "dictionary").when(by_word.isNotNull(), "words").alias("source"),
-    )

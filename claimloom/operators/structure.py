@@ -74,7 +74,8 @@ def map_headers(headers: DataFrame) -> DataFrame:
     """One column for each field: the most confident, then the first; the others are contested. headers: document_id, column, field, confidence."""
     best = Window.partitionBy("document_id", "field").orderBy(F.desc("confidence"), "column")
     k = F.row_number().over(best)
-    return headers.withColumn("state", F.when(F.col("field").isNull(), "UNMAPPED").when(k == 1, "MAPPED").otherwise("AMBIGUOUS")).withColumn("contested_field", F.when(F.col("state") == "AMBIGUOUS", F.col("field")))
+    state = F.when(F.col("field").isNull(), "UNMAPPED").when(k == 1, "MAPPED").otherwise("AMBIGUOUS")
+    return headers.withColumn("state", state).withColumn("contested_field", F.when(F.col("state") == "AMBIGUOUS", F.col("field")))
 
 
 def continuations(lines: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import dates, money, text
-from claimloom.operators import account, export, inference, measure, packets, review, rules, structure, submission, summary, triage
+from claimloom.functions import dates, money, text, vocabulary
+from claimloom.operators import account, export, inference, mapping, measure, packets, review, rules, structure, submission, summary, triage
 from claimloom.plans.adapter import claims, docs, evidence, runs, tables
 from claimloom.plans.base import ORACLE_SQL, QUERIES, query
 from claimloom.plans.rule_queries import ALL_RULES, RULE_SQL, found
@@ -32,7 +32,7 @@ PRINT = "CASE " + " ".join(f"WHEN line % 8 = {i} THEN {s}" for i, s in enumerate
     CASE line % 8 WHEN 6 THEN 'DASH_PLACEHOLDER' WHEN 7 THEN 'NOT_APPLICABLE' END AS reason, CASE WHEN line % 8 = 1 THEN 'USD' END AS currency FROM ({PRINTED.format(lineitem='lineitem')})""", entities=False)
 def _(spark, d):
     rows = spark.sql(PRINTED, lineitem=tables(spark, d, "lineitem")[0]).withColumn("printed", F.expr(PRINT))
-    return rows.withColumn("m", money.parse_money(F.col("printed"))).select("k", "line", "part", "q", F.col("m.value").alias("amount"), F.col("m.reason").alias("reason"), F.col("m.currency").alias("currency"))
+    return text.projected(rows, "m", lambda: money.parse_money(F.col("printed"))).select("k", "line", "part", "q", F.col("m.value").alias("amount"), F.col("m.reason").alias("reason"), F.col("m.currency").alias("currency"))
 
 
 @query("parse_money_ambiguous", """SELECT k, cast(amount AS double) AS amount, reason FROM (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN cast(o_orderkey % 900 + 1 AS decimal(28,6)) * 1000 + 234 ELSE (cast(o_orderkey % 900 + 1 AS decimal(28,6)) * 1000 + 234) / 1000 END AS amount,
@@ -94,10 +94,89 @@ def _(spark, d):
     return summary.page_spans(tables(spark, d, "lineitem")[0].select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page")), "k")
 
 
-@query("guess_field", "SELECT h, field, n FROM (SELECT CASE k % 4 WHEN 0 THEN 'Claim #' WHEN 1 THEN 'TOTAL INCURRED' WHEN 2 THEN 'Amount Paid (net)' ELSE 'Weather' END AS h, CASE k % 4 WHEN 0 THEN 'claim_number' WHEN 1 THEN 'incurred_total' WHEN 2 THEN 'paid_total' END AS field, count(*) AS n FROM (SELECT p_partkey AS k FROM part) GROUP BY 1, 2)", entities=False)
+#: Printed labels and the fields that they name.
+LABELS = {
+    "Claim #": "claim_number", "CLM. NBR": "claim_number", "Our File Reference": "claim_number", "TOTAL INCURRED": "incurred_total", "Incurred (net of recoveries)": "recovery_total", "Amount Paid (net)": "paid_total", "Medical Paid": "paid_medical",
+    "Paid Expense": "paid_expense", "Indemnity Reserve": "reserve_indemnity", "O/S Reserve": "reserve_total", "Rem Reserve": "reserve_total", "Description of Loss": "loss_description", "Loss Narrative": "loss_description", "Proximate Cause": "cause_of_loss",
+    "Date/Time Reported": "date_reported", "Accident Dt": "date_of_loss", "Claim Status Code": "claim_status", "ALAE": "paid_expense", "Suit Filed": "litigation_flag", "Weather": None, "": None, "Med Only": "medical_only_flag",
+}
+LABEL_LIST = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+LABEL_FIELDS = "[" + ", ".join("NULL" if f is None else f"'{f}'" for f in LABELS.values()) + "]"
+
+
+@query("guess_field", f"SELECT event_id AS k, ({LABEL_LIST})[cast(event_id % {len(LABELS)} AS int) + 1] AS label, ({LABEL_FIELDS})[cast(event_id % {len(LABELS)} AS int) + 1] AS field FROM events", entities=False)
+def _(spark, d):
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("event_id") % len(LABELS) + 1).cast("int"))
+    return tables(spark, d, "events")[0].select(F.col("event_id").alias("k"), label.alias("label")).withColumn("field", vocabulary.guess_field(F.col("label"))["field"])
+
+
+#: Three ways to head a table of claims: the fields of its columns.
+HEADS = {
+    0: ["Claim #:claim_number", "Status:claim_status", "Date of Loss:date_of_loss", "Medical Paid:paid_medical", "Total Paid:paid_total", "Reserves:reserve_total", "Total Incurred:incurred_total", "Weather:"],
+    1: ["CLM NBR:claim_number", "Weather:", "Paid:paid_total", "Incurred:incurred_total", "Loss Date:date_of_loss", "Stat:claim_status", "Rem Reserve:reserve_total", "Reserve:"],
+    2: ["Claim Number:claim_number", "Date Reported:date_reported", "Total Paid:paid_total", "Payment:", "Outstanding:reserve_total", "Recoveries:recovery_total", "Net Incurred:incurred_total", "DOL:date_of_loss"],
+}
+
+
+def printed_cells(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(cells, headers) of the claims printed as tables, one way in three: amounts with signs and brackets, dates and statuses as text."""
+    c = claims(spark, d).withColumn("way", F.col("document_id") % 3)
+    amount = lambda f: F.when(F.col(f) < 0, F.concat(F.lit("($"), (-F.col(f)).cast("string"), F.lit(")"))).otherwise(F.coalesce(F.col(f).cast("string"), F.lit("--")))
+    shown = {
+        "claim_number": F.concat(F.lit("CL-"), F.substring("claim_number", 2, 9), F.lit("-"), F.col("row_id").cast("string")), "claim_status": F.upper("claim_status"), "date_of_loss": F.coalesce(F.date_format("date_of_loss", "MMM d, yyyy"), F.lit("")),
+        "date_reported": F.coalesce(F.col("date_reported").cast("string"), F.lit("N/A")), "paid_medical": amount("paid_medical"), "paid_total": amount("paid_total"), "reserve_total": amount("reserve_total"), "recovery_total": amount("recovery_total"), "incurred_total": amount("incurred_total"), "": F.lit("sun"),
+    }
+    parts = []
+    for way, heads in HEADS.items():
+        cells = [F.struct(F.lit(i).alias("column"), shown[h.split(":")[1]].alias("text")) for i, h in enumerate(heads)]
+        parts.append(c.where(F.col("way") == way).select("document_id", "page", F.col("row_id").cast("int").alias("row"), F.explode(F.array(*cells)).alias("x")).select("document_id", "page", "row", "x.*"))
+    heads = F.create_map(*[x for way, hs in HEADS.items() for x in (F.lit(way), F.array(*[F.lit(h.split(":")[0]) for h in hs]))])
+    headers = docs(spark, d).select("document_id", F.posexplode(heads[(F.col("document_id") % 3).cast("int")]).alias("column", "header"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), headers
+
+
+CELL_VALUES = {"date_of_loss": "0, 1, 2", "date_reported": "2", "paid_medical": "0", "paid_total": "0, 1, 2", "reserve_total": "0, 1, 2", "recovery_total": "2", "incurred_total": "0, 1, 2"}
+CELL_SQL = ", ".join(f"CASE WHEN document_id % 3 IN ({ways}) THEN cast({f} AS {'string' if f.startswith('date') else 'double'}) END AS {f}" for f, ways in CELL_VALUES.items())
+DASHED = " + ".join(f"CASE WHEN document_id % 3 IN ({ways}) AND {f} IS NULL THEN 1 ELSE 0 END" for f, ways in CELL_VALUES.items())
+
+
+@query("cells_to_claims", f"""SELECT document_id, page, row_id, concat('CL-', substr(claim_number, 2), '-', row_id) AS claim_number, CASE WHEN document_id % 3 = 2 OR claim_status = 'UNKNOWN' THEN 'UNKNOWN' ELSE claim_status END AS claim_status, {CELL_SQL}, {DASHED} AS issues
+    FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY document_id ORDER BY page, row_id) AS row_id), row_id AS r FROM claims) c""".replace("'-', row_id)", "'-', r)"))
+def _(spark, d):
+    cells, headers = printed_cells(spark, d)
+    found_, _ = mapping.claims_of(cells, headers)
+    return found_.select("document_id", "page", "row_id", "claim_number", "claim_status", *CELL_VALUES, F.size("issues").alias("issues"))
+
+
+@query("column_mapping", """SELECT document_id, CASE document_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 6 ELSE 7 END AS mapped, CASE WHEN document_id % 3 = 2 THEN '' WHEN document_id % 3 = 0 THEN '7' ELSE '1' END AS unmapped, CASE WHEN document_id % 3 = 0 THEN 0 ELSE 1 END AS contested, true AS usable FROM docs""")
+def _(spark, d):
+    _, headers = printed_cells(spark, d)
+    got = mapping.mapping_facts(mapping.build_mapping(headers))
+    return got.select("document_id", F.size("fields").alias("mapped"), F.array_join(F.col("unmapped").cast("array<string>"), ",").alias("unmapped"), "contested", "usable")
+
+
+#: First lines of pages and the carriers that they name.
+LETTERHEADS = [
+    ("Carrier: Acme Casualty  Page 1 of 3\nLoss Run", "Acme Casualty"), ("LOSS RUN\nSTATE AUTO INSURANCE - HISTORICAL LOSS REPORT\nNamed Insured: Whitfield Engineering Ltd", "STATE AUTO INSURANCE"), ("Claim No Date of Loss Status Paid Total Incurred\nC-1 01/02/2024 Open", None),
+    ("River Valley Pool  Printed: 3/1/24\nPage 2 of 9", "River Valley Pool"), ("All claims where status is open\nNorthern Lights Mutual Ltd", "Northern Lights Mutual Ltd"), ("Somebody\nClaims Listing", "Somebody"), ("", None),
+]
+
+
+@query("detect_carrier", "SELECT c_custkey AS k, (" + "[" + ", ".join("NULL" if c is None else f"'{c}'" for _, c in LETTERHEADS) + "]" + f")[c_custkey % {len(LETTERHEADS)} + 1] AS carrier FROM customer", entities=False)
+def _(spark, d):
+    top = F.element_at(F.array(*[F.lit(t) for t, _ in LETTERHEADS]), (F.col("c_custkey") % len(LETTERHEADS) + 1).cast("int"))
+    return tables(spark, d, "customer")[0].select(F.col("c_custkey").alias("k"), vocabulary.detect_carrier(top).alias("carrier"))
+
+
+@query("document_fields", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'policy_number' WHEN 1 THEN 'policy_period_start' WHEN 2 THEN 'named_insured' WHEN 3 THEN 'currency' END AS field FROM part", entities=False)
+def _(spark, d):
+    label = F.element_at(F.array(*map(F.lit, ["Policy No.", "EFFECTIVE DATE", "Named  Insured:", "CCY", "Loss State"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return tables(spark, d, "part")[0].select(F.col("p_partkey").alias("k"), vocabulary.guess_document_field(label).alias("field"))
+
+
+@query("template_labels", "SELECT doc_id, array_to_string(list_sort(list_filter(['" + "', '".join(vocabulary.listed(vocabulary.TEMPLATE_LABELS)) + "'], lambda x: contains(t, x))), ',') AS labels FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)", entities=False)
 def _(spark, d):
-    h = F.element_at(F.array(*map(F.lit, ["Claim #", "TOTAL INCURRED", "Amount Paid (net)", "Weather"])), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return tables(spark, d, "part")[0].select(h.alias("h"), text.guess_field(h).alias("g")).groupBy("h", F.when(F.col("h") == "Claim #", F.lit("claim_number")).otherwise(F.col("g.field")).alias("field")).agg(F.count("*").alias("n"))
+    return tables(spark, d, "documents")[0].select("doc_id", F.array_join(vocabulary.template_labels(F.col("text")), ",").alias("labels"))
 
 
 @query("formula_guard", "SELECT count(*) AS n, count(*) FILTER (regexp_matches(t, '^[\\t\\r\\n]|^[ \\t\\r\\n]*[=+@-]')) AS guarded FROM (SELECT CASE WHEN conv_id % 3 = 0 THEN '=' || text ELSE text END AS t FROM conversations)", entities=False)
