@@ -1,18 +1,25 @@
 """Merging shard Burrows-Wheeler transforms by iterative interleave refinement.
 
 Strings are read in symbols of STEP bytes, one starting at every byte, so a suffix's transform symbol is
-the STEP bytes before it and the last-to-first step goes STEP bytes back. Symbols are ordered by their
-hashes, which is an order as good as any other for finding equal prefixes. Each shard sorts its
-own suffixes once. A merge then interleaves the shards without comparing suffixes again: beginning
-with the order by one symbol, each round sends every suffix, in the order so far, to its
-predecessor, and stably by the predecessor's first symbol; after h rounds the order is right for h
-symbols. Intervals of equal prefixes only ever split, and the round in which two neighbours part is
-the length of their common prefix.
+the STEP bytes before it and the last-to-first step goes STEP bytes back. Symbols are numbered by their
+hashes, which is an order as good as any other for finding equal prefixes; 0 stands before every string's
+first STEP suffixes, and each string has STEP empty suffixes behind its last byte.
+
+Each shard sorts its own suffixes once and keeps its transform. A merge never looks at suffixes again: it holds an
+interleave, the shard of each place of the merged order, and blocks of places with equal prefixes. Beginning
+with the shards one after another in one block, each round reads the merged transform along the interleave and
+deals its symbols, in that order, to the buckets of a counting pass; the shards so dealt are the interleave that is right
+for one symbol more. A block ends where the symbol changes or the block of the round before does, so blocks only ever
+split, and the round in which two neighbours part is the length of their common prefix. Only at the end do places become
+suffixes again: the j-th place of a shard is its j-th suffix.
+
+Cases: no string gives no place. Strings shorter than a symbol have symbols of their own length.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pandas._libs.algos import groupsort_indexer  # a stable counting pass
 
 U = np.uint64
 #: Suffixes of one shard, but for a longer string; three numbers below 2**21 fit a 64-bit key.
@@ -24,6 +31,11 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes, return_inverse=True)[1].astype(np.int64)
 
 
+def bucketed(values: np.ndarray, most: int) -> np.ndarray:
+    """The places of values, dealt in order to one bucket for each value up to most."""
+    return groupsort_indexer(np.ascontiguousarray(values, np.intp), most + 1)[0]
+
+
 def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by (first, second), ties by place; and dense ranks."""
     n = len(first)
@@ -38,7 +50,7 @@ def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shard_order(symbol: np.ndarray, end: np.ndarray, step: int, words: int) -> np.ndarray:
-    """A shard's suffixes sorted by their first words symbols. end: where each position's string ends."""
+    """A shard's suffixes sorted by their first words symbols. end: where each position's string ends, empty suffixes included."""
     n = len(symbol)
     place = np.arange(n)
 
@@ -57,48 +69,34 @@ def shard_order(symbol: np.ndarray, end: np.ndarray, step: int, words: int) -> n
 
 
 def transform(symbol: np.ndarray, start: np.ndarray, order: np.ndarray, step: int) -> np.ndarray:
-    """The Burrows-Wheeler transform of a sorted shard: the symbol before each suffix, -1 at a string's beginning."""
+    """The Burrows-Wheeler transform of a sorted shard: the symbol before each suffix, 0 at a string's beginning."""
     before = order - step
-    return np.where(before >= start[order], symbol[np.maximum(before, 0)], -1)
+    return np.where(before >= start[order], symbol[np.maximum(before, 0)], 0)
 
 
-def merged(orders: list[np.ndarray], symbol: np.ndarray, start: np.ndarray, end: np.ndarray, step: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of all shards' suffixes, and the common prefix of each with the one before it, in symbols (words at most).
-
-    orders: each shard's sorted suffixes as positions of the whole; start and end: where each position's string begins and ends.
-    """
-    seq = np.concatenate([np.zeros(0, np.int64), *orders])
-    n = len(seq)
+def merged(transforms: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the shard of each place of the merged order; the common prefix of each place with the one before it, in symbols, words at most)."""
+    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms])
+    n = len(shard)
     common = np.full(n, words, np.int16)
     if not n:
-        return seq, common
-    terminal = seq[seq + step >= end[seq]]
-
-    def placed(suffixes: np.ndarray) -> np.ndarray:
-        key = np.sort((symbol[suffixes].astype(np.uint64) << U(32)) | np.arange(n, dtype=np.uint64))
-        return suffixes[(key & U((1 << 32) - 1)).astype(np.int64)]
-
-    order = placed(seq)
-    split = np.ones(n, bool)
-    split[1:] = symbol[order][1:] != symbol[order][:-1]
-    common[split] = 0
-    group = np.empty(n, np.int64)
-    group[order] = np.cumsum(split)
-    for h in range(1, words):
-        before = order - step
-        order = placed(np.concatenate([terminal, before[before >= start[order]]]))
-        last = order + step >= end[order]
-        after = np.where(last, -1 - np.arange(n), group[np.minimum(order + step, n - 1)])
-        now = split.copy()
-        now[1:] |= after[1:] != after[:-1]
-        fresh = now & ~split
-        if not fresh.any():
+        return shard, common
+    joined = np.concatenate(transforms)
+    most = int(joined.max())
+    block, blocks = np.zeros(n, np.int64), 1
+    before = np.empty(n, np.int64)
+    for h in range(words):
+        before[bucketed(shard, len(transforms) - 1)] = joined  # each shard's transform, along the interleave
+        dealt = bucketed(before, most)
+        shard, symbol, own = shard[dealt], before[dealt], block[dealt]
+        new = np.ones(n, bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | ((own[1:] != own[:-1]) & (symbol[1:] > 0))
+        block = np.cumsum(new) - 1
+        common[new & (common == words)] = h
+        if block[-1] + 1 == blocks:
             break
-        common[fresh] = h
-        split = now
-        group = np.empty(n, np.int64)
-        group[order] = np.cumsum(split)
-    return order, common
+        blocks = int(block[-1]) + 1
+    return shard, common
 
 
 def repeated(sums_of, size: int, start: np.ndarray, end: np.ndarray, counted: np.ndarray, step: int, words: int) -> np.ndarray:
@@ -106,21 +104,37 @@ def repeated(sums_of, size: int, start: np.ndarray, end: np.ndarray, counted: np
 
     sums_of(a, b): hashes of the spans from a to b; strings lie end to end and shards hold whole strings.
     """
+    if not size:
+        return np.zeros(0, bool)
     place = np.arange(size)
-    symbol = symbols(sums_of(place, np.minimum(place + step, end)))
-    cuts, at = [0], 0
-    while at < size:
-        to = min(size, at + SHARD)
-        if to < size:
-            to = int(start[to]) if start[to] > at else int(end[at])
+    number = np.cumsum(np.append(True, start[1:] != start[:-1])) - 1
+    own = place + number * step  # with room for the empty suffixes of the strings before
+    total = size + (int(number[-1]) + 1) * step
+    symbol, of = np.zeros(total, np.int64), np.full(total, -1)
+    symbol[own] = symbols(sums_of(place, np.minimum(place + step, end))) + 1
+    of[own] = place
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    begins = first + np.arange(len(first)) * step
+    lengths = np.diff(np.append(begins, total))
+    starts, ends = np.repeat(begins, lengths), np.repeat(begins + lengths, lengths)
+    cuts = [0]
+    while cuts[-1] < total:
+        to = min(total, cuts[-1] + SHARD)
+        if to < total:
+            to = int(starts[to]) if starts[to] > cuts[-1] else int(ends[cuts[-1]])
         cuts.append(to)
-        at = to
-    orders = []
+    orders, transforms = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        orders.append(shard_order(symbol[a:b], end[a:b] - a, step, words) + a)
-    order, common = merged(orders, symbol, start, end, step, words)
+        order = shard_order(symbol[a:b], ends[a:b] - a, step, words)
+        transforms.append(transform(symbol[a:b], starts[a:b] - a, order, step))
+        orders.append(order + a)
+    shard, common = merged(transforms, words)
+    suffix = np.empty(total, np.int64)
+    suffix[bucketed(shard, len(orders) - 1)] = np.concatenate(orders)
+    where = of[suffix]
+    some = (where >= 0) & counted[where]
     interval = np.cumsum(common < words) - 1
-    counts = np.bincount(interval[counted[order]], minlength=int(interval[-1]) + 1 if size else 0)
+    counts = np.bincount(interval[some], minlength=int(interval[-1]) + 1)
     out = np.zeros(size, bool)
-    out[order] = counts[interval] > 1
-    return out & counted
+    out[where[some]] = counts[interval[some]] > 1
+    return out

@@ -31,12 +31,15 @@ def small_batches(spark: SparkSession) -> None:
 
 #: Bytes of a table's estimated size that one partition of its blobs takes.
 PART_BYTES = 64 << 20
+#: An estimate of as many bytes says that the planner knows nothing.
+UNKNOWN = 1 << 60
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Partitions for what a worker gathers from df: the session's number, or more where the planner's estimate of df's size asks for them."""
+    """Partitions for what a worker gathers from df: the session's number, or more where the planner's estimate of df's size, if it has one, asks for them."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 1 << 20))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size >= UNKNOWN else max(own, -(-size // PART_BYTES))
 
 
 @contextmanager

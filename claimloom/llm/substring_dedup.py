@@ -6,16 +6,21 @@ anchors at equal distances. Consecutive windows with one anchor form a block. On
 blocks that share an anchor can hold a repeated window.
 
 Blocks. Blocks meet by ranges of the anchor's hash. A block whose bytes occur twice is repeated as
-a whole. Of blocks that share an anchor and differ, one occurrence of each sends its bytes. Their
+a whole; a task settles the copies that it holds itself and sends one of them on, so a block of any number of copies
+costs one row a task. Of blocks that share an anchor and differ, one occurrence of each sends its bytes. Their
 suffixes are sorted in shards, and the shards' Burrows-Wheeler transforms are merged by
 iterative interleave refinement (bwt_merge), which gives the common prefixes of neighbours;
 windows that start in an interval of common prefixes of SPAN bytes are repeated. Strings
 are equal where their 64-bit hashes are, for blocks with that of the anchor.
 
+Hot anchors. Of an anchor in more than HOT differing blocks, windows are dealt by the anchor's distance, in classes
+of CLASS distances, and by the bytes that all windows of the class have in common, SPAN - CLASS + 1
+of them: equal windows still meet, and only texts that share so long a passage meet in one task.
+
 Marks. The repeated intervals of a text meet its bytes once, and only texts that have any are shuffled.
 
-A bitmap of fixed size tells the second and third pass which texts and blocks matter; a
-collision only moves a text or a block that was not needed.
+Bitmaps tell the second and third pass which texts and blocks matter, and which anchors are hot; a
+collision only moves a text or a block that was not needed, or deals an anchor's windows finer.
 
 Cases: a null text is the empty text. Texts shorter than SPAN lose nothing. Rows are
 told apart by id and text; rows equal in both repeat each other. Null ids
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bwt_merge import repeated
-from claimloom.llm.common import ARROW_ROWS, may_hold, small_batches, worker_bitmap, written
+from claimloom.llm.common import may_hold, partitions_for, settings, small_batches, worker, worker_bitmap, written
 from claimloom.llm.kernel import mix, prefix_sums, slices, span_hashes
 from claimloom.llm.language_model import _dealt, _pack, _unpack, range_of
 
@@ -47,8 +52,11 @@ STEP = 20
 MERGED = 1 << 20
 #: Blocks that a task holds before it deals them out.
 HELD = 400_000
+#: Differing blocks of one anchor beyond which it is hot, and the distances of a class of its windows.
+HOT, CLASS = 4096, 23
 
-BLOCKS = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint8, np.uint8]  # anchor, bytes, text, start, anchor's distance, windows - 1
+BLOCKS = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]  # anchor, bytes, text, start, anchor's distance, windows - 1, whether its copies are settled
+SETTLED = [np.uint64, np.uint32, np.uint32]  # text, start, end
 
 
 def blocks(data: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
@@ -101,18 +109,40 @@ def place_hash(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(key ^ (start.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
 
 
-def _rows(part: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+def _rows(part: int, blob: bytes, kind: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["part", "kind", "blob"])
+
+
+DEALT = "part int, kind int, blob binary"
+INTERVALS, REQUESTS, HOTS = 0, 1, 2
+#: Kinds of dealt rows: blocks that must meet others, and intervals that a task has settled.
+MEET, KNOWN = 0, 1
+
+
+def _same(a: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (anchor, bytes), and where a new anchor and a new block begin in it."""
+    order = np.lexsort((whole, a))
+    a, whole = a[order], whole[order]
+    new_a = np.append(True, a[1:] != a[:-1])
+    return order, new_a, new_a | np.append(True, whole[1:] != whole[:-1])
 
 
 def _deal_blocks(parts: int):
     def flush(held) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        part = range_of(cols[0], parts)
-        order = np.argsort(part, kind="stable")
-        cols = [c[order] for c in cols]
-        for p, s in _dealt(part[order], parts):
-            yield _rows(p, _pack([c[s] for c in cols]))
+        order, _, new = _same(cols[0], cols[1])
+        a, whole, key, start, ahead, more = (c[order] for c in cols)
+        again = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        end = (start + more.astype(np.uint32) + np.uint32(SPAN))[again]
+        part = range_of(mix(key[again]), parts)
+        by = np.argsort(part, kind="stable")
+        for p, s in _dealt(part[by], parts):
+            i = by[s]
+            yield _rows(p, _pack([key[again][i], start[again][i], end[i]]), KNOWN)
+        cols = [c[new] for c in (a, whole, key, start, ahead, more, again.astype(np.uint8))]
+        part = range_of(cols[0], parts)  # ascending, as anchors are
+        for p, s in _dealt(part, parts):
+            yield _rows(p, _pack([c[s] for c in cols]), MEET)
 
     def run(batches):
         held, n = [], 0
@@ -130,10 +160,9 @@ def _deal_blocks(parts: int):
         if held:
             yield from flush(held)
 
-    return run
+    return worker(run)
 
 
-INTERVALS, REQUESTS = 0, 1
 FOUND = "kind int, key long, starts array<int>, ends array<int>"
 
 
@@ -150,27 +179,48 @@ def _found(kind: int, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> It
 
 
 def _meet_blocks(batches):
-    """Blocks that repeat as a whole, as intervals; and one occurrence of each block that must be compared by windows, as requests."""
-    found = [_unpack(x, BLOCKS) for b in batches for x in b.column(1).to_pylist()]
+    """Blocks that repeat as a whole, as intervals; one occurrence of each block that must be compared by windows, as requests; and the hot anchors."""
+    found = []
+    for b in batches:
+        for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if kind == KNOWN:
+                yield from _found(INTERVALS, *_unpack(blob, SETTLED))
+            else:
+                found.append(_unpack(blob, BLOCKS))
     if not found:
         return
-    a, whole, key, start, ahead, more = (np.concatenate(c) for c in zip(*found, strict=True))
+    a, whole, key, start, ahead, more, settled = (np.concatenate(c) for c in zip(*found, strict=True))
     del found
-    order = np.lexsort((whole, a))
-    a, whole, key, start, more = a[order], whole[order], key[order], start[order].astype(np.int64), more[order].astype(np.int64)
-    new_a = np.append(True, a[1:] != a[:-1])
-    new_b = new_a | np.append(True, whole[1:] != whole[:-1])
+    order, new_a, new_b = _same(a, whole)
+    a, key, start, more, settled = a[order], key[order], start[order].astype(np.int64), more[order].astype(np.int64), settled[order]
     group, kind = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
     copies = np.bincount(kind)[kind]
     kinds = np.bincount(group[new_b])[group]
-    again = copies > 1
+    some = np.bincount(kind, settled)[kind] > 0
+    again = ((copies > 1) | some) & (settled == 0)
     yield from _found(INTERVALS, key[again], start[again], (start + more + SPAN)[again])
     ask = new_b & (kinds > 1)
     yield from _found(REQUESTS, key[ask], start[ask], (start + more + SPAN)[ask])
+    hot = new_a & (kinds > HOT)
+    yield from _found(HOTS, a[hot], start[hot], start[hot])
+
+
+def classes(data: np.ndarray, s1: np.ndarray, s2: np.ndarray, p: np.ndarray, a: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks (first and last window start, anchor's place and hash), the hot ones cut into classes of distances, whose hash is that of the bytes common to the class; and each one's block."""
+    sums = prefix_sums(data)
+    out = [(s1[~hot], s2[~hot], p[~hot], a[~hot], np.flatnonzero(~hot))]
+    own = np.flatnonzero(hot)
+    for lo in range(0, SPAN - K + 1, CLASS):
+        hi = min(lo + CLASS - 1, SPAN - K)
+        first, last = np.maximum(s1[own], p[own] - hi), np.minimum(s2[own], p[own] - lo)
+        some = first <= last
+        b, c = p[own][some] - lo, p[own][some] - hi + SPAN
+        out.append((first[some], last[some], p[own][some], mix(span_hashes(sums, b, c) + U(lo)), own[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _send_bytes(parts: int, texts, places):
-    """The bytes of the requested blocks, dealt by ranges of the anchor's hash."""
+def _send_bytes(parts: int, texts, places, hots):
+    """The bytes of the requested blocks, dealt by ranges of the anchor's hash, or, for hot anchors, of their classes' hashes."""
 
     def flush(held) -> Iterator[pa.RecordBatch]:
         a, key, start, ahead, more, raw = zip(*held, strict=True)
@@ -197,20 +247,22 @@ def _send_bytes(parts: int, texts, places):
                 send = np.flatnonzero(may_hold(places.value, place_hash(key, start)))
                 if len(send):
                     raw = part.tobytes()
-                    held.append((a[send], key[send], start[send], (p - s1)[send].astype(np.uint8), (s2 - s1)[send].astype(np.uint8), [raw[x:y] for x, y in zip(s1[send].tolist(), (s2[send] + SPAN).tolist(), strict=True)]))
-                    n += len(send)
+                    s1, s2, p, a, of = classes(part, s1[send], s2[send], p[send], a[send], may_hold(hots.value, a[send]))
+                    doc = doc[send][of]
+                    held.append((a, keys[asked][doc], (s1 - own[doc]).astype(np.uint32), (p - s1).astype(np.uint8), (s2 - s1).astype(np.uint8), [raw[x:y] for x, y in zip(s1.tolist(), (s2 + SPAN).tolist(), strict=True)]))
+                    n += len(s1)
                 if n >= HELD // 4:
                     yield from flush(held)
                     held, n = [], 0
         if held:
             yield from flush(held)
 
-    return run
+    return worker(run)
 
 
 def _compare_windows(batches):
     """Intervals of windows that stand in two of the blocks that share an anchor, from the merged transforms of shards of blocks."""
-    found = [_unpack(x, [np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]) for b in batches for x in b.column(1).to_pylist()]
+    found = [_unpack(x, [np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]) for b in batches for x in b.column(2).to_pylist()]
     if not found:
         return
     a, key, start, ahead, more, raw = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -248,18 +300,17 @@ def _compare_windows(batches):
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """key, starts, ends: intervals of bytes, overlapping or not, that repeated SPAN-byte strings cover. docs: doc_id, text."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-        dealt = docs.mapInArrow(_deal_blocks(parts), "part int, blob binary").repartitionById(parts, F.col("part"))
-        met = written(dealt.mapInArrow(_meet_blocks, FOUND), "intervals")
+    parts = partitions_for(docs)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):  # blobs are large
+        dealt = docs.mapInArrow(_deal_blocks(parts), DEALT).repartitionById(parts, F.col("part"))
+        met = written(dealt.mapInArrow(worker(_meet_blocks), FOUND), "intervals")
         asked = met.where(f"kind = {REQUESTS}")
         places = asked.mapInArrow(_place_hashes, "h long")
-        texts_bits, places_bits = worker_bitmap(asked, "key"), worker_bitmap(places, "h")
-        sent = docs.mapInArrow(_send_bytes(parts, texts_bits, places_bits), "part int, blob binary").repartitionById(parts, F.col("part"))
-        compared = written(sent.mapInArrow(_compare_windows, FOUND), "intervals")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        bits = [worker_bitmap(asked, "key"), worker_bitmap(places, "h"), worker_bitmap(met.where(f"kind = {HOTS}"), "key")]
+        sent = docs.mapInArrow(_send_bytes(parts, *bits), DEALT).repartitionById(parts, F.col("part"))
+        compared = written(sent.mapInArrow(worker(_compare_windows), FOUND), "intervals")
+    for b in bits:
+        b.destroy()
     return met.where(f"kind = {INTERVALS}").unionByName(compared).drop("kind")
 
 
@@ -290,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts = [raw[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()), pa.array(has)], names=["doc_id", "own", "raw", "has"])
 
-    rows = docs.mapInArrow(keyed, f"doc_id {kind}, own long, raw binary, has boolean")
+    rows = docs.mapInArrow(worker(keyed), f"doc_id {kind}, own long, raw binary, has boolean")
     plain = rows.where("not has").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *([F.col("raw").alias("kept")] if keep_bytes else []))
 
     def cut(batches):
@@ -313,5 +364,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=["doc_id", *names[: len(cols)]])
 
     joined = rows.where("has").join(grouped, F.col("own") == F.col("key"), "left").select("doc_id", "raw", "starts", "ends")
-    changed = joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    changed = joined.mapInArrow(worker(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
     return plain.unionByName(changed)
