@@ -77,9 +77,9 @@ class Remembered(dict):
         self.most, self.taken = most, 0
 
     def learn(self, found) -> None:
-        for text, ids in found:
-            self[text] = ids
-            self.taken += self.ENTRY + len(text) + len(ids)
+        new = dict(found)
+        self.update(new)
+        self.taken += self.ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
 
     def shed(self) -> None:
         if self.taken > self.most:

@@ -39,7 +39,7 @@ STEPS, BATCH, RATE = 220, 256, 0.02
 SEED = 7
 #: The symbol beyond a text's ends.
 OUTSIDE = 256
-ROWS = 1024
+ROWS = 2048
 SLICE = 4 << 20
 
 
