@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rules that say a claim or page may not be accounted for at all.
+UNACCOUNTED = ["R-19", "R-20", "R-22", "R-23", "R-28", "R-29"]
+BUCKETS = ["financial", "extraction", "underwriting"]
+#: Decisions that replace a value.
+CHANGES = ["corrected", "edited", "deleted"]
+REVIEWER = "local reviewer"
+
 
 def finding_key() -> Column:
     """A finding's identity."""
@@ -27,18 +34,84 @@ def open_findings(findings: DataFrame, log: DataFrame) -> DataFrame:
     last = latest_decisions(log, "key", "seq").select("key", "action", F.col("severity").alias("l_severity"), F.col("expected").alias("l_expected"), F.col("actual").alias("l_actual"))
     both = findings.join(last, "key", "left")
     applies = (F.col("severity") == F.col("l_severity")) & same_amount(F.col("expected"), F.col("l_expected")) & same_amount(F.col("actual"), F.col("l_actual"))
-    return both.withColumn("decision", F.when(applies & (F.col("action") != "OPEN"), F.col("action"))).drop("action", "l_severity", "l_expected", "l_actual")
+    return both.withColumn("decision", F.when(applies & (F.upper("action") != "OPEN"), F.col("action"))).drop("action", "l_severity", "l_expected", "l_actual")
 
 
-def buckets(findings: DataFrame) -> DataFrame:
-    """Findings of a document by category; R-19 counts with extraction. passes: the bucket has none."""
-    b = F.when(F.col("rule") == "R-19", "extraction").otherwise(F.col("category"))
-    return findings.withColumn("bucket", b).groupBy("document_id", "bucket").agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "ERROR").alias("errors"))
+def resolutions(findings: DataFrame, actions: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Log entries of decisions, with all that the finding said and the document's status before and after. findings: with key; actions: key, seq, action, note, old, new; before, after: document_id, status."""
+    said = findings.select("key", "document_id", "rule", "severity", "claim_number", "field", "subject", "expected", "actual")
+    status = lambda df, name: df.select("document_id", F.col("status").alias(name))
+    rows = actions.join(said, "key").join(status(before, "status_before"), "document_id", "left").join(status(after, "status_after"), "document_id", "left")
+    return rows.withColumn("reviewer", F.lit(REVIEWER)).withColumn("changed_a_value", changed_a_value(F.col("action"), F.col("old"), F.col("new")))
+
+
+def changed_a_value(action: Column, old: Column, new: Column) -> Column:
+    return F.lower(action).isin(CHANGES) & ~old.eqNullSafe(new)
+
+
+def corrections(log: DataFrame) -> DataFrame:
+    """Entries that replaced a value. log: action, old, new."""
+    return log.where(changed_a_value(F.col("action"), F.col("old"), F.col("new")))
+
+
+def blocks_trust() -> Column:
+    """Whether a finding alone stops its document from being trusted: all but underwriting observations that account for every claim and page."""
+    return (F.col("category") != "underwriting") | (F.col("severity") == "ERROR") | F.col("rule").isin(UNACCOUNTED)
+
+
+def review_bucket() -> Column:
+    """The question that a finding answers: an observation that a claim may be missing counts with extraction."""
+    return F.when((F.col("category") == "underwriting") & F.col("rule").isin(UNACCOUNTED), "extraction").otherwise(F.col("category"))
 
 
-def trust_class(errors: Column, warnings: Column, reconciled: Column, mapped: Column) -> Column:
-    """The class of a document: it fails closed."""
-    return F.when(~F.coalesce(reconciled, F.lit(False)), "unresolved").when(~F.coalesce(mapped, F.lit(False)), "mapping").when(errors > 0, "needs_review").when(warnings > 0, "clean_with_notes").otherwise("clean")
+def finding_facts(findings: DataFrame) -> DataFrame:
+    """document_id and the numbers of its findings: by the question that they answer, in total, still open, blocking trust, and about what may be missing. findings: with decision, or all open."""
+    open_ = F.col("decision").isNull() if "decision" in findings.columns else F.lit(True)
+    return findings.groupBy("document_id").agg(
+        *[F.count_if(review_bucket() == b).alias(b) for b in BUCKETS], F.count("*").alias("total"), F.count_if(open_).alias("outstanding"), F.count_if(blocks_trust()).alias("blocking"), F.count_if(F.col("rule").isin(UNACCOUNTED)).alias("missing"),
+    )
+
+
+def judged(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """docs with their finding_facts, review_status, trust, reviewed, fully_reviewed and headline, from one aggregation of the findings. docs: document_id, reconciled, needs_mapping.
+
+    CLEAN only where nothing says that the document needs a person; it fails closed. trust: auto_safe, needs_review, or unresolved where something
+    may not be accounted for or columns aren't mapped. The headline names the worst thing that is true; a decision is no proof, so it never
+    makes a document healthier than its checks.
+    """
+    counts = [*BUCKETS, "total", "outstanding", "blocking", "missing"]
+    both = docs.join(finding_facts(findings), "document_id", "left").fillna(0, counts)
+    known = F.coalesce("reconciled", F.lit(False)) & ~F.coalesce("needs_mapping", F.lit(True))
+    clean = known & (F.col("blocking") == 0)
+    trust = F.when(clean, "auto_safe").when(~known | (F.col("missing") > 0), "unresolved").otherwise("needs_review")
+    headline = (
+        F.when(F.col("extraction") > 0, "not read cleanly").when(F.col("financial") > 0, "does not reconcile")
+        .when((F.col("underwriting") > 0) & (F.col("outstanding") > 0), "reconciled, flags to review").when(F.col("underwriting") > 0, "reconciled, flags reviewed").otherwise("reconciled")
+    )
+    looked = {"reviewed": F.col("total") - F.col("outstanding"), "fully_reviewed": (F.col("total") > 0) & (F.col("outstanding") == 0)}
+    return both.withColumns({"review_status": F.when(clean, "CLEAN").otherwise("NEEDS_REVIEW"), "trust": trust, "headline": headline} | looked)
+
+
+def canonical_status(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """document_id, review_status, trust and blocking of judged documents."""
+    return judged(docs, findings).select("document_id", "review_status", "trust", "blocking")
+
+
+def canonical_run_status(runs: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """document_id, run_id, review_status: findings without a run count for every run. runs: document_id, run_id of packets; docs: document_id, reconciled, needs_mapping."""
+    block = findings.where(blocks_trust())
+    own = block.where("run_id <> ''").select("document_id", "run_id").distinct().withColumn("own", F.lit(True))
+    shared = block.where("run_id = ''").select("document_id").distinct().withColumn("shared", F.lit(True))
+    both = runs.select("document_id", "run_id").join(own, ["document_id", "run_id"], "left").join(shared, "document_id", "left").join(docs.select("document_id", "reconciled", "needs_mapping"), "document_id", "left")
+    clean = F.coalesce("reconciled", F.lit(False)) & ~F.coalesce("needs_mapping", F.lit(True)) & F.col("own").isNull() & F.col("shared").isNull()
+    return both.select("document_id", "run_id", F.when(clean, "CLEAN").otherwise("NEEDS_REVIEW").alias("review_status"))
+
+
+def buckets(findings: DataFrame) -> DataFrame:
+    """Findings of a document by the question that they answer, with those still open (no decision). A question passes where it has no finding, whatever was decided."""
+    open_ = F.col("decision").isNull() if "decision" in findings.columns else F.lit(True)
+    g = findings.withColumn("bucket", review_bucket()).groupBy("document_id", "bucket")
+    return g.agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(open_).alias("outstanding"))
 
 
 def edits(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -93,57 +93,57 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
-def _text(c: Column | None) -> Column:
-    return F.lit(None).cast("string") if c is None else c.cast("string")
+def said(text: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + text.replace("'", "\\'") + "'"
 
 
-def _fields(name: str, subject=None, claim=None, field=None, condition=None, page=None, expected=None, actual=None, scope: str | None = None, category: str | None = None) -> dict[str, Column]:
+# Findings are SQL texts, so that a plan of many rules is built in few calls.
+
+
+def _fields(name: str, subject="'document'", claim="null", field="null", condition="'primary'", page="null", expected="null", actual="null", scope: str | None = None, category: str | None = None) -> dict[str, str]:
     severity, kind, usual = KINDS[name]
+    text = lambda x: f"cast({x} as string)"
     return {
-        "rule": F.lit(name), "severity": F.lit(severity), "category": F.lit(category or kind), "scope": F.lit(scope or usual), "subject": _text(F.lit("document") if subject is None else subject), "claim_number": _text(claim),
-        "field": _text(field), "condition": F.coalesce(_text(condition), F.lit("primary")), "page": (F.lit(None) if page is None else page).cast("int"), "expected": _text(expected), "actual": _text(actual),
+        "rule": said(name), "severity": said(severity), "category": said(category or kind), "scope": said(scope or usual), "subject": text(subject), "claim_number": text(claim), "field": text(field),
+        "condition": text(condition), "page": f"cast({page} as int)", "expected": text(expected), "actual": text(actual),
     }
 
 
-def _finding(name: str, run: Column | None = None, **k) -> list[Column]:
-    """The columns of FINDING; run: the run's id, that of the row unless given."""
-    c = _fields(name, **k) | {"document_id": F.col("document_id"), "run_id": F.col("run_id") if run is None else run}
-    return [c[x].alias(x) for x in FINDING]
+def _finding(name: str, run: str = "run_id", **k) -> list[str]:
+    """The columns of FINDING as SQL; run: the run's id."""
+    c = _fields(name, **k) | {"document_id": "document_id", "run_id": run}
+    return [f"{c[x]} as {x}" for x in FINDING]
 
 
-def _row(name: str, **k) -> Column:
+def _row(name: str, **k) -> str:
     """A finding without its keys."""
-    return F.struct(*[c.alias(x) for x, c in _fields(name, **k).items()])
+    return "named_struct(" + ", ".join(f"'{x}', {c}" for x, c in _fields(name, **k).items()) + ")"
 
 
-def _when(test: Column, name: str, **k) -> Column:
+def _when(test: str, name: str, **k) -> str:
     """A finding without its keys where the test holds, else null."""
-    return F.when(F.coalesce(test, F.lit(False)), _row(name, **k))
+    return f"case when {test} then {_row(name, **k)} end"
 
 
-def _spread(rows: DataFrame, found: Column) -> DataFrame:
+def _spread(rows: DataFrame, found: str) -> DataFrame:
     """One row for each element of an array of findings."""
-    return rows.select(*KEY, F.explode(found).alias("f")).select(*KEY, "f.*").select(*FINDING)
+    return rows.selectExpr(*KEY, f"explode({found}) as f").selectExpr(*KEY, "f.*").select(*FINDING)
 
 
-def _sum(fields: list[str], skip_null: bool) -> Column:
+def _sum(fields: list[str], skip_null: bool) -> str:
     """The sum of columns: null where any is null, or, skipping nulls, where all are."""
     if not skip_null:
-        return reduce(lambda a, b: a + b, [F.col(f) for f in fields]).cast(AMOUNT)
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(0).cast(AMOUNT)) for f in fields]).cast(AMOUNT)
-    return F.when(F.coalesce(*[F.col(f) for f in fields]).isNotNull(), total)
-
+        return f"cast({' + '.join(fields)} as {AMOUNT})"
+    return f"case when coalesce({', '.join(fields)}) is not null then cast({' + '.join(f'coalesce({f}, 0)' for f in fields)} as {AMOUNT}) end"
 
-def _zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0).cast(AMOUNT))
 
+def _beyond(c: str, config: Config) -> str:
+    return f"abs({c}) > cast('{config.tolerance}' as decimal(18,6))"
 
-def _beyond(c: Column, config: Config) -> Column:
-    return F.abs(c) > F.lit(config.tolerance).cast("decimal(18,6)")
 
-
-def label(field: Column) -> Column:
-    return F.replace(field, F.lit("_"), F.lit(" "))
+def label(field: str) -> str:
+    return f"replace({field}, '_', ' ')"
 
 
 # --- rules of single claims -------------------------------------------------
@@ -153,31 +153,26 @@ CLAIM_RULES = ["R-01", "R-02", "R-03", "R-07", "R-08", "R-09", "R-10", "R-14", "
 
 def claim_rules(e: Evidence, config: Config = Config(), only: list[str] | None = None) -> DataFrame:
     """The rules that look at one claim and its unit's dates, in one pass over the claims."""
-    c = F.col
     own = e.claims.join(e.docs.select(*KEY, "valuation_date", "period_start", "period_end"), KEY, "left")
-    own = own.withColumns({"_paid": F.coalesce(c("paid_total"), _sum(PAID_PARTS, False)), "_reserve": F.coalesce(c("reserve_total"), _sum(RESERVE_PARTS, False))})
-    own = own.withColumns({"_expected": (_zero(c("_paid")) + _zero(c("_reserve")) - _zero(c("recovery_total"))).cast(AMOUNT), "_paid_parts": _sum(PAID_PARTS, True), "_reserve_parts": _sum(RESERVE_PARTS, True)})
-    late = F.when(c("date_reported") > c("valuation_date"), F.lit("date_reported")).when(c("date_of_loss") > c("valuation_date"), F.lit("date_of_loss"))
-    window = F.concat_ws(" to ", F.coalesce(c("period_start").cast("string"), F.lit("?")), F.coalesce(c("period_end").cast("string"), F.lit("?")))
+    own = own.selectExpr("*", f"coalesce(paid_total, {_sum(PAID_PARTS, False)}) as _paid", f"coalesce(reserve_total, {_sum(RESERVE_PARTS, False)}) as _reserve", f"{_sum(PAID_PARTS, True)} as _paid_parts", f"{_sum(RESERVE_PARTS, True)} as _reserve_parts")
+    own = own.selectExpr("*", f"cast(coalesce(_paid, 0) + coalesce(_reserve, 0) - coalesce(recovery_total, 0) as {AMOUNT}) as _expected", "case when date_reported > valuation_date then 'date_reported' when date_of_loss > valuation_date then 'date_of_loss' end as _late")
+    window = "concat(coalesce(cast(period_start as string), '?'), ' to ', coalesce(cast(period_end as string), '?'))"
+    no_money = "(paid_total is not null or reserve_total is not null) and coalesce(paid_total, 0) = 0 and coalesce(reserve_total, 0) = 0 and claim_status <> 'REPORT_ONLY'"
     checks = [
-        ("R-01", c("incurred_total").isNotNull() & (c("_paid").isNotNull() | c("_reserve").isNotNull()) & _beyond(c("incurred_total") - c("_expected"), config), F.lit("incurred_total"), c("_expected"), c("incurred_total"), None),
-        ("R-02", _beyond(c("paid_total") - c("_paid_parts"), config), F.lit("paid_total"), c("_paid_parts"), c("paid_total"), None),
-        ("R-03", _beyond(c("reserve_total") - c("_reserve_parts"), config), F.lit("reserve_total"), c("_reserve_parts"), c("reserve_total"), None),
-        ("R-07", c("date_of_loss").isNull(), F.lit("date_of_loss"), F.lit("a value"), None, None),
-        ("R-07", c("incurred_total").isNull(), F.lit("incurred_total"), F.lit("a value"), None, None),
-        ("R-08", (c("claim_status") == "CLOSED") & _beyond(c("reserve_total"), config), F.lit("reserve_total"), F.lit("0"), c("reserve_total"), None),
-        ("R-09", (c("date_of_loss") < c("period_start")) | (c("date_of_loss") > c("period_end")), F.lit("date_of_loss"), window, c("date_of_loss"), None),
-        ("R-10", c("date_reported") < c("date_of_loss"), F.lit("date_reported"), F.concat_ws(" ", F.lit("on or after"), c("date_of_loss").cast("string")), c("date_reported"), F.lit("reported-before-loss")),
-        ("R-10", late.isNotNull(), late, F.concat_ws(" ", F.lit("on or before"), c("valuation_date").cast("string")), F.when(late == "date_reported", c("date_reported")).otherwise(c("date_of_loss")), F.lit("after-valuation")),
-        ("R-14", c("paid_total") < 0, F.lit("paid_total"), None, c("paid_total"), None),
-        ("R-17", (c("paid_total").isNotNull() | c("reserve_total").isNotNull()) & (_zero(c("paid_total")) == 0) & (_zero(c("reserve_total")) == 0) & (c("claim_status") != "REPORT_ONLY"), F.lit("paid_total"), F.lit("a paid or reserve amount"), F.lit("0.00 and 0.00"), None),
+        ("R-01", f"incurred_total is not null and (_paid is not null or _reserve is not null) and {_beyond('incurred_total - _expected', config)}", dict(field="'incurred_total'", expected="_expected", actual="incurred_total")),
+        ("R-02", _beyond("paid_total - _paid_parts", config), dict(field="'paid_total'", expected="_paid_parts", actual="paid_total")),
+        ("R-03", _beyond("reserve_total - _reserve_parts", config), dict(field="'reserve_total'", expected="_reserve_parts", actual="reserve_total")),
+        ("R-07", "date_of_loss is null", dict(field="'date_of_loss'", expected="'a value'")),
+        ("R-07", "incurred_total is null", dict(field="'incurred_total'", expected="'a value'")),
+        ("R-08", f"claim_status = 'CLOSED' and {_beyond('reserve_total', config)}", dict(field="'reserve_total'", expected="'0'", actual="reserve_total")),
+        ("R-09", "date_of_loss < period_start or date_of_loss > period_end", dict(field="'date_of_loss'", expected=window, actual="date_of_loss")),
+        ("R-10", "date_reported < date_of_loss", dict(field="'date_reported'", condition="'reported-before-loss'", expected="concat('on or after ', cast(date_of_loss as string))", actual="date_reported")),
+        ("R-10", "_late is not null", dict(field="_late", condition="'after-valuation'", expected="concat('on or before ', cast(valuation_date as string))", actual="case when _late = 'date_reported' then date_reported else date_of_loss end")),
+        ("R-14", "paid_total < 0", dict(field="'paid_total'", actual="paid_total")),
+        ("R-17", no_money, dict(field="'paid_total'", expected="'a paid or reserve amount'", actual="'0.00 and 0.00'")),
     ]
-    found = [
-        _when(test, n, subject=c("row_id"), claim=c("claim_number"), field=field, condition=condition, page=c("page"), expected=want, actual=got)
-        for n, test, field, want, got, condition in checks
-        if not only or n in only
-    ]
-    return _spread(own, F.array_compact(F.array(*found)))
+    found = [_when(test, n, subject="row_id", claim="claim_number", page="page", **k) for n, test, k in checks if not only or n in only]
+    return _spread(own, f"array_compact(array({', '.join(found)}))")
 
 
 def unpivot(claims: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
@@ -193,9 +188,9 @@ def outliers(e: Evidence, config: Config = Config()) -> DataFrame:
     ranked = rows.withColumn("k", F.row_number().over(one.orderBy("size", "row_id"))).withColumn("n", F.count("*").over(one))
     middle = (F.col("k") == F.expr("(n + 1) div 2")) | (F.col("k") == F.expr("(n + 2) div 2"))
     twice = F.sum(F.when(middle, F.when(F.col("n") % 2 == 1, F.col("size") * 2).otherwise(F.col("size")))).over(one)
-    ceiling = (F.col("twice") * config.outlier_multiple / 2).cast(AMOUNT)
     found = ranked.withColumn("twice", twice).where(f"n >= 3 and size * 2 > twice * {config.outlier_multiple}")
-    return found.select(*_finding("R-13", subject=F.col("row_id"), claim=F.col("claim_number"), field=F.col("field"), page=F.col("page"), expected=F.concat(F.lit("<= "), ceiling.cast("string")), actual=F.col("amount")))
+    ceiling = f"concat('<= ', cast(cast(twice * {config.outlier_multiple} / 2 as {AMOUNT}) as string))"
+    return found.selectExpr(*_finding("R-13", subject="row_id", claim="claim_number", field="field", page="page", expected=ceiling, actual="amount"))
 
 
 # --- rules of whole units ----------------------------------------------------
@@ -205,52 +200,37 @@ UNIT_RULES = ["R-04", "R-05", "R-06", "R-11", "R-12", "R-16", "R-18", "R-20"]
 
 def unit_facts(claims: DataFrame) -> DataFrame:
     """What rules need of all claims of a unit: n, sums by field, currencies, the bases that no claim states, and repeated claim numbers."""
-    one = F.col
+    sums = [F.expr(f"cast(sum({f}) as {AMOUNT}) as {f}") for f in MONEY_FIELDS]
     by_number = claims.groupBy(*KEY, "claim_number").agg(
-        F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.collect_set("currency").alias("currencies"),
-        *[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS], *[F.bool_and(one(b) == unknown).alias(b) for b, unknown in BASES.items()],
-    )
-    return by_number.groupBy(*KEY).agg(
-        F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("currencies"))).alias("currencies"), *[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS],
-        *[F.bool_and(b).alias(b) for b in BASES], F.collect_list(F.when(one("n") > 1, F.struct("claim_number", "n", "lo", "hi"))).alias("repeated"),
-    )
+        F.expr("count(*) as n"), F.expr("min(page) as lo"), F.expr("max(page) as hi"), F.expr("collect_set(currency) as currencies"), *sums, *[F.expr(f"bool_and({b} = '{unknown}') as {b}") for b, unknown in BASES.items()]
+    )
+    repeated = F.expr("collect_list(case when n > 1 then struct(claim_number, n, lo, hi) end) as repeated")
+    return by_number.groupBy(*KEY).agg(F.expr("sum(n) as n"), F.expr("array_distinct(flatten(collect_list(currencies))) as currencies"), *sums, *[F.expr(f"bool_and({b}) as {b}") for b in BASES], repeated)
 
 
 def unit_rules(e: Evidence, config: Config = Config(), only: list[str] | None = None) -> DataFrame:
     """R-04, R-05, R-06, R-11, R-12, R-16, R-18 and R-20, from one aggregation of the claims. Sums skip nulls, and no claims sum to zero."""
-    c = F.col
-    printed = e.table("printed").where("amount is not null").groupBy(*KEY).agg(F.collect_list(F.struct("field", F.col("amount").cast(AMOUNT).alias("amount"))).alias("printed"))
-    unit = e.docs.select(*KEY, "valuation_date", "printed_count", c("currency").alias("own_currency")).join(unit_facts(e.claims), KEY, "left").join(printed, KEY, "left")
-    sums = F.create_map(*[x for f in MONEY_FIELDS for x in (F.lit(f), _zero(c(f)))])
-    n = F.coalesce("n", F.lit(0))
-    used = F.array_compact(F.array_distinct(F.concat(F.coalesce("currencies", F.array()), F.array("own_currency"))))
-    used = F.sort_array(F.filter(used, lambda x: x != ""))
+    printed = e.table("printed").where("amount is not null").groupBy(*KEY).agg(F.expr(f"collect_list(struct(field, cast(amount as {AMOUNT}) as amount)) as printed"))
+    unit = e.docs.selectExpr(*KEY, "valuation_date", "printed_count", "currency as own_currency").join(unit_facts(e.claims), KEY, "left").join(printed, KEY, "left")
+    sums = ", ".join(f"'{f}', coalesce({f}, cast(0 as {AMOUNT}))" for f in MONEY_FIELDS)
+    used = "sort_array(filter(array_compact(array_distinct(concat(coalesce(currencies, array()), array(own_currency)))), x -> x <> ''))"
+    unit = unit.selectExpr(*KEY, "valuation_date", "printed_count", "own_currency", "coalesce(n, 0) as n", f"map({sums}) as sums", f"{used} as used", "printed", "repeated", *BASES)
     whole = [
-        _when(n != c("printed_count"), "R-05", field=F.lit("claim_count"), expected=c("printed_count"), actual=n),
-        _when(c("valuation_date").isNull(), "R-06", field=F.lit("valuation_date"), expected=F.lit("a date")),
-        _when(F.size("used") > 1, "R-16", field=F.lit("currency"), expected=c("own_currency"), actual=F.array_join("used", ", ")),
-        *[_when(F.coalesce(b, F.lit(True)), "R-18", field=F.lit(b), expected=F.lit("stated on the document"), actual=F.lit("unknown")) for b in BASES],
-        _when(n == 0, "R-20", expected=F.lit("at least one claim"), actual=F.lit("0")),
+        ("R-05", _when("n <> printed_count", "R-05", field="'claim_count'", expected="printed_count", actual="n")),
+        ("R-06", _when("valuation_date is null", "R-06", field="'valuation_date'", expected="'a date'")),
+        ("R-16", _when("size(used) > 1", "R-16", field="'currency'", expected="own_currency", actual="array_join(used, ', ')")),
+        *[("R-18", _when(f"coalesce({b}, true)", "R-18", field=said(b), expected="'stated on the document'", actual="'unknown'")) for b in BASES],
+        ("R-20", _when("n = 0", "R-20", expected="'at least one claim'", actual="'0'")),
     ]
-    rules_of = ["R-05", "R-06", "R-16", *["R-18"] * len(BASES), "R-20"]
-    parts = [F.array_compact(F.array(*[w for w, r in zip(whole, rules_of, strict=True) if not only or r in only] or [F.lit(None).cast(_FOUND)]))]
-    if not only or "R-04" in only:
-        missed = F.filter("printed", lambda p: _beyond(c("sums")[p["field"]] - p["amount"], config))
-        parts.append(F.transform(missed, lambda p: _row("R-04", field=p["field"], expected=p["amount"], actual=c("sums")[p["field"]])))
-    for name in ("R-11", "R-12"):
-        if not only or name in only:
-            parts.append(_repeated(name))
-    found = F.flatten(F.array_compact(F.array(*parts)))
-    return _spread(unit.withColumn("sums", sums).withColumn("used", used), found)
-
-
-def _repeated(name: str) -> Column:
-    """R-11 for claim numbers that repeat on one page, R-12 for those that repeat on several."""
-    same = F.filter("repeated", lambda r: (r["lo"] < r["hi"]) if name == "R-12" else (r["lo"] == r["hi"]))
-    return F.transform(same, lambda r: _row(name, subject=F.concat(F.lit("claim-number:"), r["claim_number"]), claim=r["claim_number"], field=F.lit("claim_number"), page=r["lo"], expected=F.lit(1), actual=r["n"]))
-
-
-_FOUND = "struct<rule:string,severity:string,category:string,scope:string,subject:string,claim_number:string,field:string,condition:string,page:int,expected:string,actual:string>"
+    same = dict(subject="concat('claim-number:', r.claim_number)", claim="r.claim_number", field="'claim_number'", page="r.lo", expected="1", actual="r.n")
+    missed = f"filter(printed, p -> {_beyond('sums[p.field] - p.amount', config)})"
+    lists = [
+        ("R-04", f"transform({missed}, p -> {_row('R-04', field='p.field', expected='p.amount', actual='sums[p.field]')})"),
+        ("R-11", f"transform(filter(repeated, r -> r.lo = r.hi), r -> {_row('R-11', **same)})"), ("R-12", f"transform(filter(repeated, r -> r.lo < r.hi), r -> {_row('R-12', **same)})"),
+    ]
+    asked = lambda parts: [x for r, x in parts if not only or r in only]
+    parts = ([f"array_compact(array({', '.join(asked(whole))}))"] if asked(whole) else []) + asked(lists)
+    return _spread(unit, f"flatten(array_compact(array({', '.join(parts)})))")
 
 
 # --- rules of what was read beside the claims ------------------------------------
@@ -259,24 +239,24 @@ _FOUND = "struct<rule:string,severity:string,category:string,scope:string,subjec
 def field_issues(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-15: nulls whose reason a person should look at, of claims, and of documents (row_id null)."""
     rows = e.table("issues").where(F.col("reason").isin(list(config.review_reasons)))
-    of_claim = rows.where("row_id is not null").select(*_finding("R-15", subject=F.col("row_id"), claim=F.col("claim_number"), field=F.col("field"), page=F.col("page"), actual=F.col("reason")))
-    return of_claim.unionByName(rows.where("row_id is null").select(*_finding("R-15", field=F.col("field"), actual=F.col("reason"), scope="document")))
+    of_claim = rows.where("row_id is not null").selectExpr(*_finding("R-15", subject="row_id", claim="claim_number", field="field", page="page", actual="reason"))
+    return of_claim.unionByName(rows.where("row_id is null").selectExpr(*_finding("R-15", field="field", actual="reason", scope="document")))
 
 
 def rows_seen(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-19: rows that looked like claims against claims read, where any were counted."""
-    n = e.claims.groupBy(*KEY).agg(F.count("*").alias("n"))
-    total = e.table("seen").groupBy(*KEY).agg(F.sum("rows").alias("rows"))
-    return total.join(n, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0))).where("rows <> n").select(*_finding("R-19", expected=F.col("rows"), actual=F.col("n")))
+    n = e.claims.groupBy(*KEY).agg(F.expr("count(*) as n"))
+    total = e.table("seen").groupBy(*KEY).agg(F.expr("sum(rows) as seen"))
+    return total.join(n, KEY, "left").where("seen <> coalesce(n, 0)").selectExpr(*_finding("R-19", expected="seen", actual="coalesce(n, 0)"))
 
 
 def mapping_issues(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-21: a saved format that the document rejects, and each column that could carry a field that another one carries."""
-    rows = e.table("mapping").withColumn("run_id", F.lit(""))
-    rejected = rows.where("issue is not null").select(*_finding("R-21", condition=F.lit("profile-mismatch"), expected=F.lit("saved source-column structure to match uniquely"), actual=F.lit("profile rejected; conservative mapping used")))
-    contested = rows.where("state = 'AMBIGUOUS' and contested_field <> ''").withColumn("n", F.count("*").over(Window.partitionBy("document_id")))
-    name = F.concat(F.lit("one column per "), label(F.col("contested_field")))
-    each = contested.select(*_finding("R-21", subject=F.concat(F.lit("column "), F.col("column") + 1), field=F.col("contested_field"), expected=name, actual=F.concat(F.col("n") + 1, F.lit(" columns claimed it")), scope="column"))
+    rows = e.table("mapping")
+    rejected = rows.where("issue is not null").selectExpr(*_finding("R-21", "''", condition="'profile-mismatch'", expected="'saved source-column structure to match uniquely'", actual="'profile rejected; conservative mapping used'"))
+    contested = rows.where("state = 'AMBIGUOUS' and contested_field <> ''").selectExpr("*", "count(*) over (partition by document_id) as n")
+    name = f"concat('one column per ', {label('contested_field')})"
+    each = contested.selectExpr(*_finding("R-21", "''", subject="concat('column ', column + 1)", field="contested_field", expected=name, actual="concat(n + 1, ' columns claimed it')", scope="column"))
     return rejected.unionByName(each)
 
 
@@ -286,31 +266,29 @@ OUTCOMES = {"failed": "processing failed", "skipped": "processing was skipped",
 
 def page_outcomes(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-22: pages that were not processed, by their gravest outcome; an unresolved page by its own reason. docs: page_count."""
-    docs = e.docs.where("page_count > 0").groupBy("document_id").agg(F.max("page_count").alias("page_count"))
-    pages = docs.select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    docs = e.docs.where("page_count > 0").groupBy("document_id").agg(F.expr("max(page_count) as page_count"))
+    pages = docs.selectExpr("document_id", "explode(sequence(1, page_count)) as page")
     names = list(OUTCOMES)
-    gravity = F.array_position(F.array(*map(F.lit, names[:3])), F.col("outcome"))
-    worst = F.min(F.when(gravity > 0, gravity))
-    known = e.table("outcomes").groupBy("document_id", "page").agg(worst.alias("worst"), F.bool_or(F.col("outcome") == "processed").alias("done"), F.min(F.when(F.col("outcome") == "unresolved", F.col("reason"))).alias("reason"))
-    both = pages.join(known, ["document_id", "page"], "full").withColumn("gravity", F.coalesce("worst", F.when(~F.coalesce("done", F.lit(False)), len(names)))).where("gravity is not null")
-    said = F.element_at(F.array(*map(F.lit, OUTCOMES.values())), F.col("gravity").cast("int"))
-    said = F.when(F.col("gravity") == 3, F.coalesce("reason", said)).otherwise(said)
-    return both.withColumn("run_id", F.lit("")).select(*_finding("R-22", condition=F.concat(F.lit("page-"), "page"), page=F.col("page"), expected=F.lit("source page processed successfully"), actual=said))
+    gravity = f"array_position(array({', '.join(map(said, names[:3]))}), outcome)"
+    known = e.table("outcomes").groupBy("document_id", "page").agg(F.expr(f"min(case when {gravity} > 0 then {gravity} end) as worst"), F.expr("bool_or(outcome = 'processed') as done"), F.expr("min(case when outcome = 'unresolved' then reason end) as reason"))
+    both = pages.join(known, ["document_id", "page"], "full").selectExpr("*", f"coalesce(worst, case when not coalesce(done, false) then {len(names)} end) as gravity").where("gravity is not null")
+    words = f"element_at(array({', '.join(map(said, OUTCOMES.values()))}), cast(gravity as int))"
+    actual = f"case when gravity = 3 then coalesce(reason, {words}) else {words} end"
+    return both.selectExpr(*_finding("R-22", "''", condition="concat('page-', page)", page="page", expected="'source page processed successfully'", actual=actual))
 
 
 def unplaced_rows(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-23: rows with money, or with numbers under money columns, that no claim or total took; one finding a row."""
-    item = F.struct("field", F.concat_ws(" ", label(F.col("field")), "text").alias("shown"))
-    rows = e.table("unplaced").groupBy(*KEY, "page", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), ", ").alias("shown"), F.bool_or("ambiguous").alias("ambiguous"))
-    expected = F.when(F.col("ambiguous"), "every number under a monetary column resolved").otherwise("every printed amount attached to a claim")
-    return rows.select(*_finding("R-23", condition=F.concat(F.lit("page-"), "page", F.lit("-row-"), "row"), page=F.col("page"), expected=expected, actual=F.col("shown")))
+    shown = f"array_join(transform(sort_array(collect_list(struct(field, concat_ws(' ', {label('field')}, text) as shown))), x -> x.shown), ', ') as shown"
+    rows = e.table("unplaced").groupBy(*KEY, "page", "row").agg(F.expr(shown), F.expr("bool_or(ambiguous) as ambiguous"))
+    expected = "case when ambiguous then 'every number under a monetary column resolved' else 'every printed amount attached to a claim' end"
+    return rows.selectExpr(*_finding("R-23", condition="concat('page-', page, '-row-', `row`)", page="page", expected=expected, actual="shown"))
 
 
 def split_columns(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-24: pages that hold two halves of one table."""
-    pair = F.concat_ws("-", F.lit("pages"), F.col("left_page").cast("string"), F.col("right_page").cast("string"))
-    said = F.concat(F.lit("table continues from page "), "left_page", F.lit(" to page "), "right_page")
-    return e.table("splits").withColumn("run_id", F.lit("")).select(*_finding("R-24", condition=pair, page=F.col("left_page"), expected=F.lit("one table's columns readable from a single page"), actual=said))
+    what = dict(condition="concat('pages-', left_page, '-', right_page)", page="left_page", expected=said("one table's columns readable from a single page"), actual="concat('table continues from page ', left_page, ' to page ', right_page)")
+    return e.table("splits").selectExpr(*_finding("R-24", "''", **what))
 
 
 def section_totals(e: Evidence, config: Config = Config()) -> DataFrame:
@@ -319,74 +297,69 @@ def section_totals(e: Evidence, config: Config = Config()) -> DataFrame:
     A section whose claims are not known is an extraction finding; one that its claims' sum misses a financial one.
     """
     place = ["document_id", "page", "line"]
-    at = lambda *more: F.concat_ws("-", *[F.lit(x) if isinstance(x, str) else x for x in more])
-    where = [F.lit("page"), F.col("page").cast("string"), F.lit("row"), F.col("line").cast("string")]
     sections = e.table("sections")
-    unscoped = sections.where("not scope_known").select(*_finding("R-25", condition=at("unscoped", *where), page=F.col("page"), expected=F.lit("a subtotal whose claims can be identified"), actual=F.concat(F.lit("page "), "page", F.lit(" scope not established")), category="extraction"))
+    at = "concat('{}-page-', page, '-row-', line{})"
+    unscoped = sections.where("not scope_known").selectExpr(*_finding("R-25", condition=at.format("unscoped", ""), page="page", expected="'a subtotal whose claims can be identified'", actual="concat('page ', page, ' scope not established')", category="extraction"))
     rows = e.claims.select("document_id", "run_id", "row_id", *MONEY_FIELDS)
     covered = e.table("covers").join(sections.where("scope_known").select(*place, "run_id"), place).join(rows, [*KEY, "row_id"])
-    sums = unpivot(covered.groupBy(*place, "run_id").agg(*[F.sum(f).cast(AMOUNT).alias(f) for f in MONEY_FIELDS]), MONEY_FIELDS, [*place, "run_id"]).withColumnRenamed("amount", "s")
+    sums = unpivot(covered.groupBy(*place, "run_id").agg(*[F.expr(f"cast(sum({f}) as {AMOUNT}) as {f}") for f in MONEY_FIELDS]), MONEY_FIELDS, [*place, "run_id"]).withColumnRenamed("amount", "s")
     told = sections.where("scope_known").select(*place, "run_id").join(e.table("totals").where(F.col("amount").isNotNull() & F.col("field").isin(MONEY_FIELDS)), place)
-    both = told.join(sums, [*place, "run_id", "field"], "left").withColumn("s", _zero(F.col("s")))
-    missed = both.where(_beyond(F.col("s") - F.col("amount"), config))
-    return unscoped.unionByName(missed.select(*_finding("R-25", condition=at("mismatch", *where, F.col("field")), field=F.col("field"), page=F.col("page"), expected=F.col("amount").cast(AMOUNT), actual=F.col("s"))))
+    both = told.join(sums, [*place, "run_id", "field"], "left").selectExpr("*", f"coalesce(s, cast(0 as {AMOUNT})) as found")
+    missed = both.where(_beyond("found - amount", config))
+    return unscoped.unionByName(missed.selectExpr(*_finding("R-25", condition=at.format("mismatch", ", '-', field"), field="field", page="page", expected=f"cast(amount as {AMOUNT})", actual="found")))
 
 
 def unreadable_totals(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-26: printed totals that the reader refused, with the text; a page or line may be unknown."""
-    where = F.concat_ws("-", F.lit("page"), F.coalesce("page", F.lit(0)).cast("string"), F.lit("row"), F.coalesce(F.col("line").cast("string"), F.lit("unknown")), "field")
-    return e.table("unreadable").select(*_finding("R-26", condition=where, field=F.col("field"), page=F.col("page"), expected=F.lit("a printed total that can be read"), actual=F.col("text")))
+    where = "concat('page-', coalesce(page, 0), '-row-', coalesce(cast(line as string), 'unknown'), '-', field)"
+    return e.table("unreadable").selectExpr(*_finding("R-26", condition=where, field="field", page="page", expected="'a printed total that can be read'", actual="text"))
 
 
 def count_evidence(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-27: counts are printed, but none is the unit's."""
-    item = F.struct("page", "count", F.concat(F.col("count"), F.lit(" on page "), F.col("page")).alias("shown"))
-    g = e.table("counts").groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), ", ").alias("shown"))
-    return e.docs.where("printed_count is null").select(*KEY).join(g, KEY).select(*_finding("R-27", condition=F.lit("unresolved-claim-count"), field=F.lit("claim_count"), expected=F.lit("a printed claim count covering the whole report"), actual=F.col("shown")))
+    shown = "array_join(transform(sort_array(collect_list(struct(page, `count`))), x -> concat(x.count, ' on page ', x.page)), ', ') as shown"
+    g = e.table("counts").groupBy(*KEY).agg(F.expr(shown))
+    return e.docs.where("printed_count is null").select(*KEY).join(g, KEY).selectExpr(*_finding("R-27", condition="'unresolved-claim-count'", field="'claim_count'", expected="'a printed claim count covering the whole report'", actual="shown"))
 
 
 def _listed(refused: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, first_page, and the first LISTED refused rows as text."""
-    ranked = refused.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "row", "identifier")))
-    shown = F.concat(F.lit("page "), "page", F.coalesce(F.concat(F.lit(" line "), F.col("row") + 1), F.lit("")), F.lit(" ("), "identifier", F.lit(")"))
-    item = F.when(F.col("k") <= LISTED, F.struct("k", shown.alias("shown")))
-    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["shown"]), "; ").alias("shown"))
-    more = F.when(F.col("n") > LISTED, F.concat(F.lit(" and "), F.col("n") - LISTED, F.lit(" more"))).otherwise("")
-    return g.withColumn("shown", F.concat("shown", more))
+    ranked = refused.selectExpr("*", f"row_number() over (partition by {', '.join(keys)} order by page, `row`, identifier) as k")
+    shown = "concat('page ', page, coalesce(concat(' line ', `row` + 1), ''), ' (', identifier, ')')"
+    texts = f"array_join(transform(sort_array(collect_list(case when k <= {LISTED} then struct(k, {shown} as shown) end)), x -> x.shown), '; ') as shown"
+    g = ranked.groupBy(*keys).agg(F.expr("count(*) as n"), F.expr("min(page) as first_page"), F.expr(texts))
+    return g.selectExpr(*keys, "n", "first_page", f"concat(shown, case when n > {LISTED} then concat(' and ', n - {LISTED}, ' more') else '' end) as shown")
 
 
 def run_problems(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-28: runs of packets that are incomplete, or whose beginning is not settled, then with the refused rows on their pages."""
     runs = e.table("runs")
     rows = _listed(e.table("refused").where("run_id <> ''"), KEY).select(*KEY, "shown")
-    ended = runs.where("incomplete is not null").select(*_finding("R-28", condition=F.concat("run_id", F.lit(":incomplete")), page=F.array_max("pages"), expected=F.lit("every page the report numbers"), actual=F.col("incomplete")))
+    ended = runs.where("incomplete is not null").selectExpr(*_finding("R-28", condition="concat(run_id, ':incomplete')", page="array_max(pages)", expected="'every page the report numbers'", actual="incomplete"))
     unsure = runs.where("ambiguity is not null").join(rows, KEY, "left")
-    said = F.concat_ws("; refused: ", "ambiguity", "shown")
-    return ended.unionByName(unsure.select(*_finding("R-28", condition=F.col("run_id"), page=F.array_min("pages"), expected=F.lit("page furniture settling where the run begins"), actual=said)))
+    return ended.unionByName(unsure.selectExpr(*_finding("R-28", condition="run_id", page="array_min(pages)", expected="'page furniture settling where the run begins'", actual="concat_ws('; refused: ', ambiguity, shown)")))
 
 
 def refused_rows(e: Evidence, config: Config = Config()) -> DataFrame:
     """R-29: rows that look like claims, were refused, and that a reviewer must be told of."""
     g = _listed(e.table("refused").where("report"), KEY)
-    return g.select(*_finding("R-29", page=F.col("first_page"), expected=F.lit("every claim-like row read as a claim or bounded to its run"), actual=F.concat(F.col("n"), F.lit(": "), "shown")))
+    return g.selectExpr(*_finding("R-29", page="first_page", expected="'every claim-like row read as a claim or bounded to its run'", actual="concat(n, ': ', shown)"))
 
 
 def duplicates_across_runs(e: Evidence) -> DataFrame:
     """R-11 of a packet: one claim number and date of loss in two runs or more."""
-    g = e.claims.where("run_id <> '' and date_of_loss is not null").groupBy("document_id", "claim_number", "date_of_loss").agg(F.sort_array(F.collect_set("run_id")).alias("runs")).where("size(runs) > 1")
-    what = F.concat_ws(":", F.lit("across-runs"), "claim_number", F.col("date_of_loss").cast("string"))
-    return g.select(*_finding("R-11", run=F.lit(""), condition=what, expected=F.lit("each claim in one run"), actual=F.array_join("runs", ", "), scope="document"))
+    g = e.claims.where("run_id <> '' and date_of_loss is not null").groupBy("document_id", "claim_number", "date_of_loss").agg(F.expr("sort_array(collect_set(run_id)) as runs")).where("size(runs) > 1")
+    return g.selectExpr(*_finding("R-11", "''", condition="concat_ws(':', 'across-runs', claim_number, cast(date_of_loss as string))", expected="'each claim in one run'", actual="array_join(runs, ', ')", scope="document"))
 
 
 def claims_in_no_run(claims: DataFrame) -> DataFrame:
     """R-11 of a packet: claims on a page that no run holds. claims: those of packets, with a null run_id there."""
-    return claims.where("run_id is null").select(*_finding("R-11", run=F.lit(""), condition=F.concat(F.lit("no-run:"), "row_id"), expected=F.lit("each claim in one run"), actual=F.lit("no run"), scope="document"))
+    return claims.where("run_id is null").selectExpr(*_finding("R-11", "''", condition="concat('no-run:', row_id)", expected="'each claim in one run'", actual="'no run'", scope="document"))
 
 
 def borrowed_conventions(runs: DataFrame) -> DataFrame:
     """R-15 of a packet: runs read by another run's number format, date order or profile."""
-    what = F.concat(F.lit("borrowed-convention:"), "run_id")
-    return runs.where("borrowed is not null").select(*_finding("R-15", condition=what, expected=F.lit("conventions proven on the run's own pages"), actual=F.col("borrowed"), scope="document"))
+    return runs.where("borrowed is not null").selectExpr(*_finding("R-15", condition="concat('borrowed-convention:', run_id)", expected=said("conventions proven on the run's own pages"), actual="borrowed", scope="document"))
 
 
 #: Every rule by its id: a function of Evidence and Config.

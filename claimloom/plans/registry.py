@@ -11,6 +11,7 @@ from claimloom.functions import dates, money, text, vocabulary
 from claimloom.operators import account, export, inference, mapping, measure, packets, review, rules, structure, submission, summary, triage
 from claimloom.plans.adapter import claims, docs, evidence, runs, tables
 from claimloom.plans.base import ORACLE_SQL, QUERIES, query
+from claimloom.plans import review_queries  # noqa: F401
 from claimloom.plans.rule_queries import ALL_RULES, RULE_SQL, found
 from claimloom.sources import files
 from claimloom.streaming import events as streaming
@@ -621,12 +622,6 @@ def _(spark, d):
     return submission.attachments(e, most=10).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("incurred_or_reason", """SELECT insured, cast(CASE WHEN n > 1 OR b > 0 THEN NULL ELSE t END AS double) AS incurred, CASE WHEN n > 1 THEN 'mixed currencies' WHEN b > 0 THEN 'a claim has no amount' END AS reason FROM (SELECT insured, count(DISTINCT c.currency) AS n, count(*) FILTER (incurred_total IS NULL) AS b, sum(incurred_total) AS t FROM claims c JOIN docs USING (document_id) GROUP BY 1)""")
-def _(spark, d):
-    rows = account_claims(spark, d)
-    return submission.incurred_or_reason(rows, "insured", rows.groupBy("insured").agg(F.countDistinct("currency").alias("n")))
-
-
 @query("event_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, cast(sum(cast(round(value * 100) AS bigint)) AS bigint) AS cents FROM events GROUP BY 1, 2", entities=False)
 def _(spark, d):
     return streaming.windowed_rates(tables(spark, d, "events")[0])
