@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import ARROW_ROWS, fresh_path, small_batches
+from claimloom.llm.common import fresh_path, kept, partitions_for, settings, small_batches, worker
 from claimloom.llm.kernel import LOWER, PLAIN, mix, owners, prefix_sums, slices, span_hashes, spans
 from claimloom.llm.shared_files import map_arrays, write_arrays
 
@@ -229,10 +229,7 @@ class Model:
         self.rest = taken / pairs if pairs else 1.0
 
     def _files(self):
-        if self.path not in _mapped:
-            _mapped.clear()
-            _mapped[self.path] = [[map_arrays(f"{self.path}/{kind}-{i}", kinds) for i in range(self.parts)] for kind, kinds in (("words", WORD_KINDS), ("pairs", PAIR_KINDS))]
-        return _mapped[self.path]
+        return kept("language_model", self.path, lambda: [[map_arrays(f"{self.path}/{kind}-{i}", kinds) for i in range(self.parts)] for kind, kinds in (("words", WORD_KINDS), ("pairs", PAIR_KINDS))])
 
     def words(self, h: np.ndarray) -> list[np.ndarray]:
         """Of each of the ascending hashes: count, followers of count one, two and more, number of different words before."""
@@ -283,22 +280,16 @@ class Model:
         return np.diff(bounds), sums((c > 0)[now].astype(np.int64)), sums(base[now]), sums(np.log10(p))
 
 
-_mapped: dict[str, list] = {}
-
-
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Learn from every whole text of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "kneser-ney")
+    parts, path = partitions_for(docs), fresh_path(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).alias("t"))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # blocks are large
-        pairs = texts.mapInArrow(_count_pairs(parts), SCHEMA).repartitionById(parts, F.col("part"))
-        words = pairs.mapInArrow(_add_pairs(parts, path), SCHEMA).repartitionById(parts, F.col("part"))
-        stats = words.mapInArrow(_add_words(path), "stats array<long>").collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):  # blocks are large
+        pairs = texts.mapInArrow(worker(_count_pairs(parts)), SCHEMA).repartitionById(parts, F.col("part"))
+        words = pairs.mapInArrow(worker(_add_pairs(parts, path)), SCHEMA).repartitionById(parts, F.col("part"))
+        stats = words.mapInArrow(worker(_add_words(path)), "stats array<long>").collect()
     return Model(path, parts, [sum(x) for x in zip(*(r["stats"] for r in stats), strict=True)])
 
 
@@ -316,4 +307,4 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
                 kept = [c.slice(lo, hi - lo) for c in b.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n), pa.array(known), pa.array(base), pa.array(own), pa.array(np.power(10.0, np.minimum(-own / n, 300)))], names=[*names, "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
-    return rows.mapInArrow(run, ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double, perplexity double"]))
+    return rows.mapInArrow(worker(run, "language_model"), ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double, perplexity double"]))
