@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,6 +88,13 @@ class Evidence:
         return name in self.tables
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, joined as a balanced tree, so that the plan of no part is analysed more than a few times."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
@@ -393,7 +399,7 @@ def reconcile_units(e: Evidence, config: Config = Config()) -> DataFrame:
     parts = [f(e, config, own) for f, own in ((claim_rules, single), (unit_rules, whole)) if own]
     parts += [REGISTRY[r](e, config) for r in on if r not in CLAIM_RULES and r not in UNIT_RULES]
     none = e.claims.sparkSession.createDataFrame([], "rule string, severity string, category string, scope string, document_id long, run_id string, subject string, claim_number string, field string, condition string, page int, expected string, actual string")
-    return reduce(DataFrame.unionByName, parts or [none])
+    return union_all(parts or [none])
 
 
 # --- packets ---------------------------------------------------------------------
@@ -489,7 +495,7 @@ def reconcile(e: Evidence, config: Config = Config()) -> DataFrame:
         more += [duplicates_across_runs(p.evidence), claims_in_no_run(p.lost)]
     if "R-15" not in config.disabled:
         more.append(borrowed_conventions(p.evidence.table("runs")))
-    return reduce(DataFrame.unionByName, [once, *more])
+    return union_all([once, *more])
 
 
 def ordered(findings: DataFrame, runs: DataFrame) -> DataFrame:

@@ -616,10 +616,10 @@ def _(spark, d):
 
 
 @query("attachments", """WITH p AS (SELECT user_id AS s, event_id AS pos, event_id % 97 AS sha, CASE WHEN event_type = 'click' THEN 'txt' ELSE 'pdf' END AS kind FROM events), f AS (SELECT *, min(pos) OVER (PARTITION BY s, sha) AS first FROM p), n AS (SELECT *, sum(CASE WHEN first = pos AND kind = 'pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM f)
-    SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN kind <> 'pdf' THEN 'rejected' WHEN first < pos THEN 'duplicate' WHEN c > 10 THEN 'over_limit' ELSE 'accepted' END AS outcome FROM n) GROUP BY 1""", entities=False)
+    SELECT s AS submission, pos AS position, CASE WHEN first < pos THEN first END AS repeats, CASE WHEN kind <> 'pdf' THEN 'rejected' WHEN first < pos THEN 'duplicate' WHEN c > 10 THEN 'over_limit' ELSE 'accepted' END AS outcome FROM n""", entities=False)
 def _(spark, d):
     e = tables(spark, d, "events")[0].select(F.col("user_id").alias("submission"), F.col("event_id").alias("position"), (F.col("event_id") % 97).cast("string").alias("sha"), F.lit(1).cast("long").alias("bytes"), F.when(F.col("event_type") == "click", "txt").otherwise("pdf").alias("kind"))
-    return submission.attachments(e, most=10).groupBy("outcome").agg(F.count("*").alias("n"))
+    return submission.attachments(e, most=10).select("submission", "position", "repeats", "outcome")
 
 
 @query("event_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, cast(sum(cast(round(value * 100) AS bigint)) AS bigint) AS cents FROM events GROUP BY 1, 2", entities=False)
