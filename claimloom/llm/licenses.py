@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import small_batches
+from claimloom.llm.common import small_batches, worker, written
 from claimloom.llm.kernel import ALNUM, LOWER, prefix_sums, rolled, slices, span_hashes, spans, word_hashes
 
 K = 3
@@ -104,15 +104,16 @@ def scan(docs: DataFrame, base=PHRASES, phrases=MORE_PHRASES, templates=TEMPLATE
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = rows.mapInArrow(lambda b: _words(b, False), f"doc_id {kind}, rid long, whole long, n_words long").drop("rid")
+    texts = rows.mapInArrow(worker(lambda b: _words(b, False)), f"doc_id {kind}, rid long, whole long, n_words long").drop("rid")
 
-    grams = rows.mapInArrow(lambda b: _words(b, True), f"doc_id {kind}, rid long, whole long, n_words long, grams array<long>")
+    grams = rows.mapInArrow(worker(lambda b: _words(b, True)), f"doc_id {kind}, rid long, whole long, n_words long, grams array<long>")
     each = grams.select("doc_id", "rid", "whole", F.posexplode("grams").alias("p", "gram"))
     hits = each.join(F.broadcast(template_positions(spark, base, phrases, templates)), "gram")
     facts = ["label", "words", "exact", "base"]
     votes = hits.groupBy("doc_id", "rid", "whole", "template", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         *[F.first(f).alias(f) for f in facts], F.count("*").alias("votes"), F.min("p").alias("first_word"), (F.max("p") + (K - 1)).alias("last_word"), F.collect_list("q").alias("at")
     )
+    votes = written(votes, "votes")  # phrases and templates both follow from them
     places = votes.where(F.col("exact") & (F.col("votes") == F.col("words") - (K - 1))).select("doc_id", "rid", "whole", "label", "base", "first_word", "last_word", F.lit(1.0).alias("coverage"))
 
     one = Window.partitionBy("rid", "doc_id", "whole", "template").orderBy("diagonal")
