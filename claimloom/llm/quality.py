@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import small_batches, written
+from claimloom.llm.common import discard, small_batches, worker, written
 from claimloom.llm.kernel import LEADS, PLAIN, mix, owners, prefix_sums, rolled, slices, span_hashes, spans, windows
 
 MIN_WORDS = 20
@@ -116,7 +116,7 @@ def measured(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
             table = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *parts])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(table[:, i]) for i in range(len(COUNTS)))], names=[*names, *COUNTS])
 
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in COUNTS)]))
+    return rows.mapInArrow(worker(run), ", ".join([*kinds, *(f"{c} long" for c in COUNTS)]))
 
 
 def bin_of(value: str) -> str:
@@ -202,6 +202,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, that the rules keep. Rates are measured again beside the rows, so texts are not shuffled."""
-    _, limits = limits_of(docs, text_col, lang_col, source_col, id_col)
+    rates, limits = limits_of(docs, text_col, lang_col, source_col, id_col)
+    discard(rates)
     rows = measured(docs, text_col, [F.struct("*"), F.col(lang_col).cast("string"), F.col(source_col).cast("string")])
     return verdict(with_rates(rows.withColumnsRenamed({"k1": "lang", "k2": "source"})), limits).where("kept").select("k0.*")
