@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import byte_bpe, exact_dedup, jaccard, language_id, language_model, licenses, mixing, quality, queries, substring_dedup, token_files
-from claimloom.llm.components import components, joined_by
+from claimloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -105,14 +106,65 @@ def classes(rows, k, percent):
     return sets, {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def links_of(sets, percent):
+    """For each document, the different sets that its set is linked with."""
+    distinct = {s for s in sets.values() if s}
+    linked = {s: sum(t != s and 100 * len(s & t) >= percent * len(s | t) for t in distinct) for s in distinct}
+    return {i: linked.get(s, 0) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50), (1, 60), (2, 70)])
 def test_ngram_jaccard(docs, rows, k, percent):
     sets, want = classes(rows, k, percent)
+    links = links_of(sets, percent)
     found, _ = jaccard.similar(docs, k, percent)
     got = found.collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]]), r
+        assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], links[r["doc_id"]]), r
+
+
+def test_ngram_jaccard_of_small_sets(spark, empty):
+    """Low similarities link sets of one and two tokens; percent 100 and 0 are refused; an empty table gives an empty result."""
+    texts = ["a b", "a", "c d e", "c d", "f", "g h i j", "g h i j k l m"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for percent, want in ((50, [0, 0, 2, 2, 4, 5, 5]), (60, [0, 1, 2, 2, 4, 5, 6])):
+        found, _ = jaccard.similar(df, 1, percent)
+        assert [r["component_id"] for r in found.orderBy("doc_id").collect()] == want
+    for percent in (0, 100):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard.similar(df, 1, percent)
+    assert jaccard.similar(empty)[0].count() == 0 and jaccard.one_of_each(empty).count() == 0
+
+
+def test_blocks_of_a_hub(spark, monkeypatch):
+    """A hub of many blocks: sets are dealt once, files hold the blocks, and links are those of all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"e{rng.randrange(60)}"
+        rows.append((i, " ".join(w), None, None, 0, 0, ""))
+    sets, want = classes(rows, 3, 80)
+    links = links_of(sets, 80)
+    found, _ = jaccard.similar(spark.createDataFrame(rows, SCHEMA), 3, 80)
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in found.collect()} == {i: (want[i], links[i]) for i in want}
+
+
+def test_flagged_by_bitmap_and_by_shuffle(spark):
+    """Both ways of meeting keys flag all of them; the shuffle flags no other row."""
+    from claimloom.llm.common import flagged
+
+    rows, keys = spark.range(500).withColumnRenamed("id", "bm_bit"), spark.range(0, 500, 7)
+    want = set(range(0, 500, 7))
+    for most, exact in ((1 << 26, False), (64, True)):
+        got = flagged(rows, F.xxhash64("bm_bit"), keys, F.xxhash64("id"), "met", most).where("met").collect()
+        met = {r["bm_bit"] for r in got}
+        assert met == want if exact else met >= want
 
 
 def test_ngram_jaccard_of_a_large_group(spark):
@@ -146,9 +198,6 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
-    more = spark.createDataFrame([(2, 4), (4, 9), (7, 8)], "a long, b long")
-    assert {r["node"]: r["component"] for r in joined_by(found, more).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 7: 7, 8: 7}
 
 
 def test_language_id(spark, docs, rows, empty):
@@ -163,8 +212,41 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, None, [docs["doc_id"]]).collect()} == {"und"}
     data = np.frombuffer(b"".join((r[1] or "").encode() for r in rows), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len((r[1] or "").encode()) for r in rows])])
-    reader = language_id.Reader(net)
-    assert np.allclose(reader.documents(data, offs), reader.documents(data, offs))  # remembered words give the same
+    probabilities = language_id.documents(net, data, offs)
+    for i in [3, 5, 7, 9, 10, 14, 20]:
+        assert np.allclose(probabilities[i], naive_probabilities(net, (rows[i][1] or "").encode()), atol=1e-4)
+    rare = docs.where("lang is not null").limit(20).union(docs.sparkSession.createDataFrame([(999, "zzz zz zzzz", "zz", None, 0, 1, "r")], SCHEMA))
+    assert "zz" in language_id.train(rare, train_docs=4).languages
+
+
+def naive_probabilities(net, raw):
+    """The network over one text, a byte and a gate at a time."""
+    core, context, outside = language_id.CORE, language_id.CONTEXT, language_id.OUTSIDE
+    low = [c + 32 if 65 <= c <= 90 else c for c in raw]
+
+    def states(layer, symbols):
+        p, n, out = layer.params, layer.h, []
+        h = [0.0] * n
+        for c in symbols:
+            a = [p["c"][j] + sum(h[i] * p["u"][i][j] for i in range(n)) for j in range(3 * n)]
+            x = p["x"][c]
+            z = [1 / (1 + math.exp(-(x[j] + a[j]))) for j in range(n)]
+            r = [1 / (1 + math.exp(-(x[n + j] + a[n + j]))) for j in range(n)]
+            new = [math.tanh(x[2 * n + j] + r[j] * a[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(low), core):
+        symbols = [low[i] if 0 <= i < len(low) else outside for i in range(at - context, at + core + context)]
+        there = states(net.there, symbols[: context + core])[context:]
+        back = states(net.back, symbols[: context - 1 : -1])[context:][::-1]
+        for c, f, b in zip(symbols[context:], there, back, strict=False):
+            if c != outside:
+                e = np.exp(np.array([*f, *b]) @ net.out["w"] + net.out["b"])
+                total += e / e.sum()
+    return total / max(total.sum(), 1e-9)
 
 
 def test_network_gradients():
@@ -305,6 +387,43 @@ def test_sketch_quantiles(spark):
     assert all(r["s"] <= r["id"] <= r["s"] * (1 + 1 / quality.STEPS) + 1 for r in df)
 
 
+def test_sketches_of_parts_add_up(spark):
+    """The bins of two halves, added, are those of the whole, and quantiles follow."""
+    df = spark.range(3000).selectExpr(f"{quality.bin_of('id * 7 % 911')} as bin", "id % 2 as half")
+    of = lambda rows: {r["bin"]: r["n"] for r in rows.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    a, b = (collections.Counter(of(df.where(f"half = {h}"))) for h in (0, 1))
+    assert a + b == collections.Counter(of(df))
+
+
+def test_null_ids_and_empty_tables(spark, empty):
+    """Every operator gives a row for each row with a null or repeated id, ignores further columns, and an empty result for an empty table."""
+    texts = [None, "", "x", "some words of a text " * 30, "some words of a text " * 30, "other words " * 40]
+    rows = [(None, t, None, None, None, None, None) for t in texts] + [(1, t, "en", "s", 0, 1, "r") for t in texts]
+    df = spark.createDataFrame(rows, SCHEMA)
+    net = language_id.train(df)
+    runs = {
+        "op1": lambda d: jaccard.similar(d)[0], "op2": lambda d: language_id.predict(d, net, [d["doc_id"]]), "op3": lambda d: byte_bpe.digests(d, BPE, public_tokenizers.PATTERN), "op4": lambda d: language_model.score(d, language_model.train(d), [d["doc_id"]]),
+        "op5": quality.judge, "op6": substring_dedup.remove_repeats, "op7": lambda d: licenses.summary(*licenses.scan(d)), "op8": lambda d: token_files.round_trip(d, public_tokenizers.path("word_bpe_49k.json"), 2), "op9": lambda d: mixing.mix(d, [1.0], 1.5, 2.0), "op10": exact_dedup.exact_duplicates,
+    }
+    for name, run in runs.items():
+        got = run(df).collect()
+        assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == len(texts), name
+        assert run(empty).count() == 0, name
+    for stage in (quality.filtered, exact_dedup.one_of_each, jaccard.one_of_each, lambda d: mixing.sharded(d, [1.0], 1.5, 2.0)):
+        assert stage(df).columns == df.columns and stage(empty).count() == 0
+
+
+def test_long_text(spark):
+    """A text of a megabyte, beside its copy with one change."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(180_000))
+    df = spark.createDataFrame([(1, long), (2, long[:500_000] + "!" + long[500_001:])], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))
+    assert {r["component_id"] for r in jaccard.similar(df)[0].collect()} == {1}
+    got = by_id(byte_bpe.digests(df, BPE, public_tokenizers.PATTERN))
+    assert got[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(df).orderBy("doc_id").collect()] == [len(long) - 1] * 2
+
+
 def test_substring_dedup(docs, rows):
     span = substring_dedup.SPAN
     raw = [(r[1] or "").encode() for r in rows]
@@ -369,11 +488,36 @@ def test_elias_fano_and_segments(tmp_path):
     for n in (1, 2, 65, 700):
         v = np.sort(np.random.default_rng(n).integers(0, 10**5, n))
         ef, _ = token_files.EliasFano.from_buffer(token_files.EliasFano.of(v).to_bytes(), 0)
-        assert ef.all().tolist() == v.tolist() == [ef.select(i) for i in range(n)]
-    body = token_files.Segment.pack([5, None, 7], [b"\x01\x00\x02\x00", b"", b"\x03\x00"], 2)
-    token_files.segment_to_file(body, str(tmp_path / "s.bin"))
-    s = token_files.Segment(np.memmap(tmp_path / "s.bin", mode="r"))
-    assert [s.document(i).tolist() for i in range(3)] == [[1, 2], [], [3]]
+        assert v.tolist() == [ef.select(i) for i in range(n)]
+    for names in ([None, 5, 7], [None, None, None], [-(2**63), 0, 2**63 - 1]):
+        with open(tmp_path / "s.bin", "wb") as f:
+            f.writelines(token_files.Segment.pack(names, [b"\x01\x00\x02\x00", b"", b"\x03\x00"], 2))
+        s = token_files.Segment(np.memmap(tmp_path / "s.bin", mode="r"))
+        assert [s.document(i).tolist() for i in range(3)] == [[1, 2], [], [3]]
+        assert [s.doc_id(i) for i in range(3)] == names
+
+
+def test_select_from_the_shared_folder(spark, docs, rows):
+    """One document, found by select in a mapped segment of the shared folder; null and repeated ids."""
+    from tokenizers import Tokenizer
+
+    from claimloom.llm.common import fresh_path
+    from claimloom.llm.shared_files import map_bytes
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = fresh_path(spark, "tokens")
+    more = spark.createDataFrame([(None, "no name", None, None, 0, 1, "r"), (None, None, None, None, 0, 1, "r"), (3, "again", None, None, 0, 1, "r")], SCHEMA)
+    token_files.write_token_files(docs.union(more), path, tokenizer, 2)
+    found = {}
+    for r in spark.read.parquet(f"{path}/index").collect():
+        s = token_files.Segment(map_bytes(r["segment"]))
+        assert (len(s), len(s.ids)) == (r["n_docs"], r["n_ids"])
+        for i in range(len(s)):
+            found.setdefault(s.doc_id(i), []).append(s.document(i).tolist())
+    lib = Tokenizer.from_file(tokenizer)
+    ids = lambda t: [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+    assert sorted(found[None]) == sorted([ids("no name"), ids("")]) and found[20] == [ids(rows[20][1])]
+    assert sorted(found[3]) == sorted([ids(rows[3][1]), ids("again")])
 
 
 def test_mixing(spark, docs, rows, empty):
@@ -393,6 +537,33 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty, [1.0], 1.5, 2.0).count() == 0 and mixing.sharded(docs, [1.0], 1.5, 2.0).columns == docs.columns
 
 
+def test_mixing_follows_the_tree(spark, docs, monkeypatch):
+    """Copies of one block share a shard, shards hold the tree's numbers of blocks, and partitions are the shards in order of place."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 200)
+    weights, share, most = [5.0, 2.0, 1.0], 1.5, 2.0
+    sized = mixing.sizes(docs).cache()
+    found = mixing.plan(sized, weights, share, most)
+    assert found.shards > mixing.LEAST_SHARDS and found.blocks >= mixing.SHARD_BLOCKS * found.shards
+    tree = mixing.splitting_tree([int((found.draws["source_number"] == k).sum()) for k in range(len(found.sources))], found.shards, mixing.SEED)
+    for (k, shard), n in found.draws.groupby(["source_number", "shard"]).size().items():
+        assert tree[shard, k] == n
+    assert tree.sum() == len(found.draws)
+    digits = [mixing._digit(j, found.blocks).alias(f"b{j}") for j in range(mixing.LEVELS)]
+    number = {(None if r.source is None or r.source != r.source else r.source): r.source_number for r in found.sources.itertuples()}
+    drawn = {(r.source_number, r.path, r.block): [] for r in found.draws.itertuples()}
+    for r in found.draws.itertuples():
+        drawn[r.source_number, r.path, r.block].append((r.epoch, r.shard))
+    got = mixing.mix(docs, weights, share, most).select("*", *digits).collect()
+    copies = collections.Counter()
+    for r in got:
+        path = [str(r[f"b{j}"]) for j in range(mixing.LEVELS)]
+        want = [x for j in range(mixing.LEVELS) for x in drawn.get((number[r["source"]], "/".join(path[:j]), r[f"b{j}"]), [])] if r["size"] else []
+        assert sorted((d["copy"], d["shard"]) for d in r["draws"]) == sorted(want)
+        copies.update((d["shard"], r["doc_id"]) for d in r["draws"])
+    parts = mixing.sharded(docs, weights, share, most).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    assert collections.Counter((r["p"] // found.splits, r["doc_id"]) for r in parts) == copies
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline
 
@@ -447,13 +618,50 @@ def test_bwt_merge(monkeypatch):
         often = collections.Counter(data[i : i + 20].tobytes() for i in np.flatnonzero(counted))
         got = bwt_merge.repeated(spans, len(data), start, end, counted, step, size)
         assert got.tolist() == [bool(counted[i]) and often[data[i : i + 20].tobytes()] > 1 for i in range(len(data))]
-        symbol = bwt_merge.symbols(spans(np.arange(len(data)), np.minimum(np.arange(len(data)) + step, end)))
-        half = int(offs[12])
-        orders = [bwt_merge.shard_order(symbol[:half], end[:half], step, size), bwt_merge.shard_order(symbol[half:], end[half:] - half, step, size) + half]
-        order, common = bwt_merge.merged(orders, symbol, start, end, step, size)
-        key = lambda p: tuple(int(symbol[q]) for q in range(p, int(end[p]), step))[:size]  # noqa: B023, E731
-        keys = [key(p) for p in order.tolist()]
-        assert keys == sorted(keys)
-        for a, b, n in zip(keys, keys[1:], common[1:].tolist(), strict=False):
-            if len(a) == len(b) == size:
-                assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), size)
+
+
+def test_interleave_refinement(monkeypatch):
+    """The merged interleave sorts the suffixes of all shards, its common prefixes are those of neighbours, and a wrong shard order gives wrong results."""
+    from claimloom.llm import bwt_merge
+
+    rng = np.random.default_rng(2)
+    step, size = 2, 4
+    strings = [rng.integers(1, 4, rng.integers(5, 30)) for _ in range(12)]
+    shards = []
+    for part in (strings[:5], strings[5:8], strings[8:]):
+        symbol = np.concatenate([np.append(x, [0] * step) for x in part])
+        ends = np.cumsum([len(x) + step for x in part])
+        starts = np.concatenate([[0], ends[:-1]])
+        length = ends - starts
+        start, end = np.repeat(starts, length), np.repeat(ends, length)
+        order = bwt_merge.shard_order(symbol, end, step, size)
+        shards.append((symbol, start, end, order))
+
+    def key(shard, p):
+        symbol, _, end, _ = shard
+        return tuple(int(symbol[q]) for q in range(p, int(end[p]), step))[:size]
+
+    def keys_of(transforms):
+        of, common = bwt_merge.merged(transforms, size)
+        place = [0] * len(shards)
+        out = []
+        for k in of.tolist():
+            out.append(key(shards[k], int(shards[k][3][place[k]])))
+            place[k] += 1
+        return out, common
+
+    transforms = [bwt_merge.transform(symbol, start, order, step) for symbol, start, _, order in shards]
+    keys, common = keys_of(transforms)
+    assert keys == sorted(keys)
+    for a, b, n in zip(keys, keys[1:], common[1:].tolist(), strict=False):
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert n == (size if a == b else same) or not a[0]
+    keys, _ = keys_of([rng.permutation(t) for t in transforms])
+    assert keys != sorted(keys)
+
+
+def test_hot_anchors(docs, monkeypatch):
+    """Windows of hot anchors, dealt by classes of distances, give what anchors give."""
+    before = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == before
