@@ -184,8 +184,12 @@ class ByteBPE:
         found = [self.find(t) for t in texts]
         self.pieces.shed()
         long = self.learn_pieces(set(chain.from_iterable(found)).difference(self.pieces))
-        get = self.pieces.__getitem__ if not long else lambda s: self.pieces[s] if s in self.pieces else long[s]
-        return [b"".join(map(get, f)) for f in found]
+        self.pieces.update(long)  # for this call alone
+        get = self.pieces.__getitem__
+        out = [b"".join(map(get, f)) for f in found]
+        for s in long:
+            del self.pieces[s]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -205,9 +209,12 @@ class ByteBPE:
         ids = self.split([" " + w for w in new])
         long = {w: b for w, b in zip(new, ids, strict=True) if len(w) > LONGEST}
         self.words.learn((w, b) for w, b in zip(new, ids, strict=True) if len(w) <= LONGEST)
-        get = self.words.__getitem__ if not long else lambda w: self.words[w] if w in self.words else long[w]
+        self.words.update(long)  # for this call alone
+        get = self.words.__getitem__
         for i, a, more in zip(plain, self.split(firsts), rest, strict=True):
             out[i] = a + b"".join(map(get, more))
+        for w in long:
+            del self.words[w]
         return out
 
     def decode(self, ids: bytes) -> bytes:

@@ -206,11 +206,13 @@ class WordEncoder:
         new = set(chain.from_iterable(s for s in split if s)).difference(self.words)
         long = [w for w in new if len(w) > LONGEST]
         self.learn(list(new.difference(long)))
+        if long:  # for this call alone
+            self.words.update(zip(long, self._ids([w.decode() for w in long]), strict=True))
         get = self.words.__getitem__
-        if long:
-            once = dict(zip(long, self._ids([w.decode() for w in long]), strict=True))
-            get = lambda w: once[w] if w in once else self.words[w]
-        return [self._ids([t.decode()])[0] if s is None else b"".join(map(get, s)) for s, t in zip(split, texts, strict=True)]
+        out = [self._ids([t.decode()])[0] if s is None else b"".join(map(get, s)) for s, t in zip(split, texts, strict=True)]
+        for w in long:
+            del self.words[w]
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -277,10 +279,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, before, name in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s, rows = Segment(map_bytes(name)), []
-                start = s.bounds.select(0)
+                wide, start, shift = memoryview(s.ids.astype("<u4")), s.bounds.select(0), base[file] + before
                 for i in range(len(s)):
                     end = s.bounds.select(i + 1)
-                    rows.append((s.doc_id(i), start + base[file] + before, end - start, zlib.crc32(s.ids[start:end].astype("<u4"))))
+                    rows.append((s.doc_id(i), start + shift, end - start, zlib.crc32(wide[start:end])))
                     start = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
