@@ -36,6 +36,10 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_review_buckets_gives_no_column_beside_its_sql(spark):
+    assert registry.QUERIES["review_buckets"](spark, SF).columns == ["document_id", "bucket", "findings", "errors"]
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
