@@ -177,3 +177,25 @@ def test_review_and_votes(spark):
     assert {r["k"]: r["locale"] for r in inference.infer_locale(votes, "k", "t").collect()} == {1: "us", 2: None, 3: None}
     parts = spark.createDataFrame([("s", i, str(i % 3), 1, "pdf") for i in range(5)], "submission string, position int, sha string, bytes long, kind string")
     assert [r["outcome"] for r in submission.attachments(parts, most=2).orderBy("position").collect()] == ["accepted", "accepted", "over_limit", "duplicate", "duplicate"]
+
+
+@pytest.mark.parametrize("parts", [(3, 3, 4), (2, 3, 30), (6, 2, 1), (1, 9, 9)])
+def test_history_fold_of_many_letterheads_against_a_plain_version(parts):
+    rng = random.Random(sum(parts))
+    for n in (1, 7, 40, 150):
+        for empty in (0.0, 0.05, 0.4):
+            one = lambda n: None if rng.random() < empty else str(rng.randrange(n))  # noqa: E731, B023
+            rows = [dict(zip(("carrier", "policy", "term"), map(one, parts), strict=True)) for _ in range(n)]
+            assert account.fold_histories(rows) == naive_fold(rows)
+
+
+def test_history_fold_does_not_compare_every_pair(monkeypatch):
+    rng, calls, plain = random.Random(1), [0], account.same_claim
+
+    def counted(a, b):
+        calls[0] += 1
+        return plain(a, b)
+
+    monkeypatch.setattr(account, "same_claim", counted)
+    rows = [{"carrier": rng.choice([None, "a", "b"]), "policy": rng.choice([None, "P", "Q"]), "term": rng.choice([None, *map(str, range(50))])} for _ in range(3000)]
+    assert len(account.fold_histories(rows)) == 3000 and calls[0] < 10 * 3000
