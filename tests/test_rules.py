@@ -163,3 +163,11 @@ def test_disabled_rules_order_and_status(spark):
     assert [(r["severity"], r["rule"]) for r in findings] == [("ERROR", "R-07"), ("ERROR", "R-28"), ("WARN", "R-18"), ("WARN", "R-18"), ("INFO", "R-14")]
     assert [r["status"] for r in rules.document_status(e.docs, rules.reconcile(e)).collect()] == ["NEEDS_REVIEW"]
     assert [r["status"] for r in rules.document_status(e.docs, rules.reconcile(e, rules.Config(disabled=tuple(rules.REGISTRY)))).collect()] == ["CLEAN"]
+
+
+def test_all_rules_shuffle_each_table_once(spark):
+    from claimloom.plans.registry import QUERIES
+
+    plan = QUERIES["document_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "l_orderkey" in x]
+    assert scans and all("Bucketed: true" in x or "claimloom_" in x for x in scans)
