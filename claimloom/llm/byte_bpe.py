@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm.common import Remembered, kept, small_batches, worker
+from claimloom.llm.common import FEW_ROWS, Remembered, kept, small_batches, worker
 from claimloom.llm.kernel import slices
 
 #: Bytes that the remembered pieces, and words, of a worker may take.
@@ -227,13 +227,13 @@ def codec(path: str, pattern: str) -> ByteBPE:
 
 
 def _texts(col: pa.Array) -> Iterator[list[str]]:
-    for a, b, _, _ in slices(col, 4 << 20):
+    for a, b, _, _ in slices(col):
         yield ["" if t is None else t for t in col.slice(a, b - a).to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with an array of token ids in place of any column ids_col."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     keep = [c for c in docs.columns if c != ids_col]
 
     def run(batches):
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """encoded with the decoded bytes in place of any column bytes_col; null ids decode to nothing."""
-    small_batches(encoded.sparkSession)
+    small_batches(encoded.sparkSession, FEW_ROWS)
     keep = [c for c in encoded.columns if c != bytes_col]
 
     def run(batches):
@@ -266,7 +266,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, and the hashes of each text's ids and of what they decode to, in one pass; with keep_ids also ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, exact_dedup, jaccard, language_id, language_model, licenses, mixing, quality, queries, substring_dedup, token_files
+from claimloom.llm import byte_bpe, common, exact_dedup, jaccard, language_id, language_model, licenses, mixing, quality, queries, substring_dedup, token_files
 from claimloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -665,3 +666,16 @@ def test_hot_anchors(docs, monkeypatch):
     before = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
     monkeypatch.setattr(substring_dedup, "HOT", 1)
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == before
+
+
+def test_few_rows_and_one_copy_of_a_text_cross_to_a_worker_at_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(600)], "doc_id long, text string")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    for plan in (lambda: jaccard.one_of_each(docs), lambda: byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)):
+        common.small_batches(spark)
+        plan().count()
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= common.FEW_ROWS
+    rows = docs.selectExpr("struct(*) as row", "doc_id as i")
+    noded = jaccard._with_node(rows, 5, "text")
+    assert noded.columns == ["row", "i", "node"]
+    assert noded.where("node is null").count() == 0
