@@ -199,3 +199,11 @@ def test_history_fold_does_not_compare_every_pair(monkeypatch):
     monkeypatch.setattr(account, "same_claim", counted)
     rows = [{"carrier": rng.choice([None, "a", "b"]), "policy": rng.choice([None, "P", "Q"]), "term": rng.choice([None, *map(str, range(50))])} for _ in range(3000)]
     assert len(account.fold_histories(rows)) == 3000 and calls[0] < 10 * 3000
+
+
+def test_swept_terms_are_those_of_the_label(spark):
+    terms = spark.sql("select concat('A', id % 3) as account, date_add(date'2020-01-01', cast(id * 37 % 300 as int)) as term_start, date_add(date'2020-01-01', cast(id * 37 % 300 + id % 9 * 10 - 5 as int)) as term_end from range(40)")
+    rows = spark.sql("select concat('A', id % 4) as account, id as row_id, case when id % 50 > 1 then date_add(date'2019-12-20', cast(id as int)) end as date_of_loss from range(400)")
+    want = rows.join(summary.declared_terms(terms, "account"), "account", "left").withColumn("term", summary.term_label(F.col("terms"), F.col("date_of_loss"))).select("row_id", "term")
+    got = summary.with_term(rows, terms, "account").select("row_id", "term")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.where(f"term = '{summary.SEVERAL}'").count() and got.where("term like '% to %'").count()

@@ -171,3 +171,10 @@ def test_all_rules_shuffle_each_table_once(spark):
     plan = QUERIES["document_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "l_orderkey" in x]
     assert scans and all("Bucketed: true" in x or "claimloom_" in x for x in scans)
+
+
+def test_triage_folds_histories_once(spark):
+    from claimloom.plans.registry import QUERIES
+
+    plan = QUERIES["triage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "claimloom_" in plan
