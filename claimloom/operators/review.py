@@ -99,11 +99,10 @@ def canonical_status(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def canonical_run_status(runs: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
     """document_id, run_id, review_status: findings without a run count for every run. runs: document_id, run_id of packets; docs: document_id, reconciled, needs_mapping."""
-    block = findings.where(blocks_trust())
-    own = block.where("run_id <> ''").select("document_id", "run_id").distinct().withColumn("own", F.lit(True))
-    shared = block.where("run_id = ''").select("document_id").distinct().withColumn("shared", F.lit(True))
-    both = runs.select("document_id", "run_id").join(own, ["document_id", "run_id"], "left").join(shared, "document_id", "left").join(docs.select("document_id", "reconciled", "needs_mapping"), "document_id", "left")
-    clean = F.coalesce("reconciled", F.lit(False)) & ~F.coalesce("needs_mapping", F.lit(True)) & F.col("own").isNull() & F.col("shared").isNull()
+    blocked = findings.where(blocks_trust()).groupBy("document_id").agg(F.collect_set("run_id").alias("blocked"))
+    both = runs.select("document_id", "run_id").join(blocked, "document_id", "left").join(docs.select("document_id", "reconciled", "needs_mapping"), "document_id", "left")
+    held = F.coalesce(F.arrays_overlap("blocked", F.array(F.lit(""), F.col("run_id"))), F.lit(False))
+    clean = F.coalesce("reconciled", F.lit(False)) & ~F.coalesce("needs_mapping", F.lit(True)) & ~held
     return both.select("document_id", "run_id", F.when(clean, "CLEAN").otherwise("NEEDS_REVIEW").alias("review_status"))
 
 

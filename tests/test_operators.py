@@ -207,3 +207,12 @@ def test_swept_terms_are_those_of_the_label(spark):
     want = rows.join(summary.declared_terms(terms, "account"), "account", "left").withColumn("term", summary.term_label(F.col("terms"), F.col("date_of_loss"))).select("row_id", "term")
     got = summary.with_term(rows, terms, "account").select("row_id", "term")
     assert sorted(got.collect()) == sorted(want.collect()) and got.where(f"term = '{summary.SEVERAL}'").count() and got.where("term like '% to %'").count()
+
+
+def test_run_status_reads_the_findings_once(spark):
+    runs = spark.createDataFrame([(1, "r1"), (1, "r2"), (2, "r1"), (3, "r1"), (4, "r1")], "document_id long, run_id string")
+    docs = spark.createDataFrame([(1, True, False), (2, True, False), (3, True, False)], "document_id long, reconciled boolean, needs_mapping boolean")
+    findings = spark.createDataFrame([(1, "r2", "R-01", "ERROR", "financial"), (2, "", "R-01", "ERROR", "financial")], "document_id long, run_id string, rule string, severity string, category string").withColumn("_read", F.uuid())
+    got = review.canonical_run_status(runs, findings, docs)
+    assert {(r["document_id"], r["run_id"]): r["review_status"] for r in got.collect()} == {(1, "r1"): "CLEAN", (1, "r2"): "NEEDS_REVIEW", (2, "r1"): "NEEDS_REVIEW", (3, "r1"): "CLEAN", (4, "r1"): "NEEDS_REVIEW"}
+    assert got._jdf.queryExecution().analyzed().toString().count("uuid(") == 1
