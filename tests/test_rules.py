@@ -178,3 +178,22 @@ def test_triage_folds_histories_once(spark):
 
     plan = QUERIES["triage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "claimloom_" in plan
+
+
+def test_tally_numbers_what_reconcile_finds(spark):
+    kind = ["document_id", "rule", "severity", "category", "scope"]
+    odd = [claim(row_id=i, page=p, claim_number=c, currency=x, paid_total=a) for i, (p, c, x, a) in enumerate([(1, "A", "USD", D(-1)), (1, "A", "EUR", None), (3, "A", None, D(900)), (9, None, "USD", D(1)), (3, "B", "", D(1)), (3, "C", "USD", D(1))])]
+    for doubt in (None, "page 3 prints no number"):
+        e = packet(spark, ambiguity=doubt, claims=odd)
+        want = {tuple(r) for r in rules.reconcile(e).groupBy(*kind).count().collect()}
+        got = [tuple(r) for r in rules.tally(e).select(*kind, "n").collect()]
+        assert want and len(got) == len(set(got)) and set(got) == want
+    assert rules.tally(e, rules.Config(disabled=tuple(rules.REGISTRY))).count() == 0
+
+
+def test_counting_queries_make_no_texts_of_claim_findings(spark):
+    from claimloom.plans.registry import QUERIES
+
+    for name in ("reconcile_counts",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "reported-before-loss" not in plan and "R-10" in plan
