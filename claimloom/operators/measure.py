@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.rules import number
+
 
 def latest(events: DataFrame, key: str, order: list) -> DataFrame:
     """The last row of each key."""
@@ -18,10 +20,10 @@ def rates(events: DataFrame, group: str, tests: dict) -> DataFrame:
 
 
 def counters(findings: DataFrame) -> DataFrame:
-    """Findings counted by rule, and by rule with severity, category and scope, in one pass over grouping sets."""
+    """Findings counted by rule, and by rule with severity, category and scope, in one pass over grouping sets. findings: or their tally."""
     sets = [["rule"], ["rule", "severity"], ["rule", "category"], ["rule", "scope"]]
     cols = ["rule", "severity", "category", "scope"]
-    return findings.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(F.count("*").alias("n"))
+    return findings.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(number(findings).alias("n"))
 
 
 def null_counts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
