@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.rules import number
+
 #: Rules that say a claim or page may not be accounted for at all.
 UNACCOUNTED = ["R-19", "R-20", "R-22", "R-23", "R-28", "R-29"]
 BUCKETS = ["financial", "extraction", "underwriting"]
@@ -65,10 +67,10 @@ def review_bucket() -> Column:
 
 
 def finding_facts(findings: DataFrame) -> DataFrame:
-    """document_id and the numbers of its findings: by the question that they answer, in total, still open, blocking trust, and about what may be missing. findings: with decision, or all open."""
+    """document_id and the numbers of its findings: by the question that they answer, in total, still open, blocking trust, and about what may be missing. findings: or their tally, with decision, or all open."""
     open_ = F.col("decision").isNull() if "decision" in findings.columns else F.lit(True)
     return findings.groupBy("document_id").agg(
-        *[F.count_if(review_bucket() == b).alias(b) for b in BUCKETS], F.count("*").alias("total"), F.count_if(open_).alias("outstanding"), F.count_if(blocks_trust()).alias("blocking"), F.count_if(F.col("rule").isin(UNACCOUNTED)).alias("missing"),
+        *[number(findings, review_bucket() == b).alias(b) for b in BUCKETS], number(findings).alias("total"), number(findings, open_).alias("outstanding"), number(findings, blocks_trust()).alias("blocking"), number(findings, F.col("rule").isin(UNACCOUNTED)).alias("missing"),
     )
 
 
