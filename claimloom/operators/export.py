@@ -29,7 +29,7 @@ def safe_text(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def worst_severity(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """ERROR where any finding of the key is one, else WARN, else INFO."""
+    """ERROR where any finding of the key is one, else WARN, else INFO. findings: or their tally."""
     rank = F.min(F.array_position(F.array(F.lit("ERROR"), F.lit("WARN"), F.lit("INFO")), F.col("severity")))
     return findings.groupBy(*keys).agg(F.element_at(F.array(F.lit("ERROR"), F.lit("WARN"), F.lit("INFO")), rank.cast("int")).alias("severity"))
 

@@ -194,6 +194,6 @@ def test_tally_numbers_what_reconcile_finds(spark):
 def test_counting_queries_make_no_texts_of_claim_findings(spark):
     from claimloom.plans.registry import QUERIES
 
-    for name in ("review_status", "finding_counters", "reconcile_counts"):
+    for name in ("review_status", "worst_severity", "finding_counters", "reconcile_counts"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "reported-before-loss" not in plan and "R-10" in plan
