@@ -79,3 +79,11 @@ def parse_money(c: Column, locale: Column | str | None = None, dash_is_zero: boo
         return F.struct(amount.alias("value"), reason.alias("reason"), kind.alias("currency"))
 
     return let(clean_text(c), marked)
+
+
+def parse_amount(c: Column, locale: Column | str | None = None) -> Column:
+    """parse_money, with the steps left out for texts that are read in one way: digits with two decimals behind a point, and dashes."""
+    none = F.lit(None).cast("string")
+    plain = F.struct(c.try_cast(MONEY).alias("value"), none.alias("reason"), none.alias("currency"))
+    dash = F.struct(F.lit(None).cast(MONEY).alias("value"), F.lit("DASH_PLACEHOLDER").alias("reason"), none.alias("currency"))
+    return F.when(c.rlike(r"^[0-9]{1,12}\.[0-9]{2}$"), plain).when(c.rlike(r"^-+$") & ~c.isin(NOT_APPLICABLE), dash).otherwise(parse_money(c, locale))

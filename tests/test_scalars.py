@@ -59,3 +59,20 @@ def test_shapes_and_pages(spark):
     ).first()
     assert (got["s"], got["near"], [tuple(p) for p in got["p"]]) == ("AA-9999", True, [(2, 9)])
     assert (got["ok"], got["money"], got["date"], got["formula"], got["n"]) == (True, False, False, True, 1204)
+
+
+def test_parse_amount_reads_as_parse_money(spark):
+    texts = ["12.50", "0.00", "123456789012.34", "1234567890123456789.00", "1.234", "12.5", "-12.50", "($3.20)", "--", "-", "\u2013", "n/a", "", " 7.00", "7.00\n", "1,234.50", "USD 4.00", "abc", "\u0661.25", None]
+    rows = spark.createDataFrame([(t, w) for t in texts for w in ("us", "eu", None)], "t string, w string")
+    got = rows.select("t", "w", money.parse_amount(F.col("t"), F.col("w")).alias("a"), money.parse_money(F.col("t"), F.col("w")).alias("b"))
+    assert [r for r in got.collect() if r["a"] != r["b"]] == []
+
+
+def test_headers_are_guessed_once_each(spark):
+    from claimloom.operators import mapping
+
+    headers = spark.createDataFrame([(1, 0, "Paid"), (2, 0, "Paid"), (2, 1, None), (3, 4, "Claim #")], "document_id long, column int, header string")
+    got = {(r["document_id"], r["column"]): (r["field"], r["state"]) for r in mapping.build_mapping(headers).collect()}
+    assert got == {(1, 0): ("paid_total", "MAPPED"), (2, 0): ("paid_total", "MAPPED"), (2, 1): (None, "UNMAPPED"), (3, 4): ("claim_number", "MAPPED")}
+    plan = mapping.build_mapping(headers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [header" in plan or "Aggregate [_h" in plan
