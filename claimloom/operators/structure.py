@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 CELL_GAP, COLUMN_GAP = 1.8, 1.2
 
 
-def split_cells(words: DataFrame, key: list[str], gap: float = CELL_GAP) -> DataFrame:
-    """Words of a line joined into cells: a new one where the gap is wider than gap characters. words: key, text, x0, x1, width (of a character)."""
-    line = Window.partitionBy(*key).orderBy("x0", "x1", "text")
+def split_cells(words: DataFrame, key: list[str], gap: float = CELL_GAP, then: str = "text") -> DataFrame:
+    """Words of a line joined into cells: a new one where the gap is wider than gap characters. words: key, text, x0, x1, width (of a character); then: what orders words of one place."""
+    order = ["x0", "x1", then]
+    line = Window.partitionBy(*key).orderBy(*[F.asc_nulls_last(c) for c in order])
     new = F.coalesce(F.col("x0") - F.lag("x1").over(line) > F.col("width") * gap, F.lit(True))
     numbered = words.withColumn("_new", new.cast("int")).withColumn("cell", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*key, "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.expr("listagg(text, ' ') within group (order by x0, x1, text)").alias("text"))
+    joined = f"listagg(text, ' ') within group (order by {', '.join(f'`{c}` nulls last' for c in order)})"
+    return numbered.groupBy(*key, "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.expr(joined).alias("text"))
 
 
 def column_bounds(words: DataFrame, key: list[str], gap: float = COLUMN_GAP) -> DataFrame:
