@@ -20,8 +20,8 @@ def split_cells(words: DataFrame, key: list[str], gap: float = CELL_GAP, then: s
 
 
 def column_bounds(words: DataFrame, key: list[str], gap: float = COLUMN_GAP) -> DataFrame:
-    """Unions of word intervals that lie closer than gap characters: one row a column."""
-    order = Window.partitionBy(*key).orderBy("x0", "x1")
+    """Unions of word intervals that lie closer than gap characters: one row a column. Words without a place come last."""
+    order = Window.partitionBy(*key).orderBy(F.asc_nulls_last("x0"), F.asc_nulls_last("x1"))
     reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("x0") - reach > F.col("width") * gap, F.lit(True)).cast("int")
     numbered = words.withColumn("_new", new).withColumn("column", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -40,7 +40,7 @@ def test_review_buckets_gives_no_column_beside_its_sql(spark):
     assert registry.QUERIES["review_buckets"](spark, SF).columns == ["document_id", "bucket", "findings", "errors"]
 
 
-@pytest.mark.parametrize("name", ["split_cells"])
+@pytest.mark.parametrize("name", ["split_cells", "column_bounds"])
 def test_lines_of_two_digits_and_words_without_a_place(spark, tmp_path, name):
     """No two words of a line are equal, so the SQL leaves no tie open."""
     odd = [(1, 5, 3, 2), (1, 5, 3, 10), (1, 5, 3, 9), (1, 95, 3, 11), (2, None, 3, 1), (2, 8, None, 2), (2, 8, 1, 3), (2, 40, 2, 4), (3, 7, 1, 12), (3, 7, 1, None), (None, 7, 1, 1)]
