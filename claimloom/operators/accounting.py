@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators.review import blocks_trust
-from claimloom.operators.rules import KEY, Packets
+from claimloom.operators.rules import KEY, Packets, number
 
 
 def tie(present: Column, failed: Column, words: tuple[str, str, str] = ("not printed", "does not tie", "ties")) -> Column:
@@ -14,11 +14,8 @@ def tie(present: Column, failed: Column, words: tuple[str, str, str] = ("not pri
     return F.when(~F.coalesce(present, F.lit(False)), words[0]).when(F.coalesce(failed, F.lit(False)), words[1]).otherwise(words[2])
 
 
-def claim_accounting(units: Packets, findings: DataFrame, status: DataFrame, run_status: DataFrame) -> DataFrame:
-    """One row for each run of a packet, and for each other document: what it printed, claims read, rows refused and unplaced with their pages, whether figures tie, and what blocks trust.
-
-    findings: those of the documents; one without a run counts for every run. status: document_id, review_status; run_status: document_id, run_id, review_status.
-    """
+def printed_facts(units: Packets) -> DataFrame:
+    """One row for each run of a packet, and for each other document: what it printed, claims read, rows refused and unplaced with their pages; packet: null, or true for a run."""
     e = units.evidence
     packet = units.kinds.where("kind = 'run'").select("document_id").distinct().withColumn("packet", F.lit(True))
     kept = units.kinds.where("kind <> 'whole'").select(*KEY, "settled")
@@ -31,18 +28,29 @@ def claim_accounting(units: Packets, findings: DataFrame, status: DataFrame, run
     both = kept.join(packet, "document_id", "left").join(facts, KEY)
     for t in (n, refused, unplaced, printed):
         both = both.join(t, KEY, "left")
+    pages = lambda c: F.coalesce(c, F.array().cast("array<int>")).alias(c)
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(
+        *KEY, "packet", "carrier", "policy_number", "period_start", "period_end", F.when(F.col("packet"), F.col("settled")).otherwise(True).alias("boundary_settled"), "printed_count", none("claims_read"),
+        none("refused_rows"), pages("refused_pages"), none("unplaced_rows"), pages("unplaced_pages"), F.coalesce("totals_present", F.lit(False)).alias("printed_totals_present"),
+    )
+
+
+def claim_accounting(units: Packets, findings: DataFrame, status: DataFrame, run_status: DataFrame) -> DataFrame:
+    """printed_facts, whether figures tie, and what blocks trust.
+
+    findings: those of the documents, or their tally by unit; one without a run counts for every run. status: document_id, review_status; run_status: document_id, run_id, review_status.
+    """
+    printed = printed_facts(units)
     said = [F.bool_or(F.col("rule") == r).alias(f"r{r[2:]}") for r in ("R-04", "R-05")] + [F.sort_array(F.collect_set(F.when(blocks_trust(), F.col("rule")))).alias("blocking")]
     own = findings.where("run_id <> ''").groupBy(*KEY).agg(*said)
     whole = findings.where("run_id = ''").groupBy("document_id").agg(*said)
-    both = both.join(own.withColumnsRenamed({c: f"o_{c}" for c in ("r04", "r05", "blocking")}), KEY, "left").join(whole, "document_id", "left")
+    both = printed.join(own.withColumnsRenamed({c: f"o_{c}" for c in ("r04", "r05", "blocking")}), KEY, "left").join(whole, "document_id", "left")
     both = both.join(status.select("document_id", "review_status"), "document_id", "left").join(run_status.withColumnRenamed("review_status", "own_status"), KEY, "left")
     either = lambda c: F.coalesce(F.col(c), F.lit(False)) | F.coalesce(F.col(f"o_{c}"), F.lit(False))
     none = F.array().cast("array<string>")
-    pages = lambda c: F.coalesce(c, F.array().cast("array<int>"))
     return both.select(
-        *KEY, "carrier", "policy_number", "period_start", "period_end", F.when(F.col("packet"), F.col("settled")).otherwise(True).alias("boundary_settled"), "printed_count", F.coalesce("claims_read", F.lit(0)).alias("claims_read"),
-        F.coalesce("refused_rows", F.lit(0)).alias("refused_rows"), pages("refused_pages").alias("refused_pages"), F.coalesce("unplaced_rows", F.lit(0)).alias("unplaced_rows"), pages("unplaced_pages").alias("unplaced_pages"),
-        F.coalesce("totals_present", F.lit(False)).alias("printed_totals_present"), tie(F.col("totals_present"), either("r04")).alias("totals"), tie(F.col("printed_count").isNotNull(), either("r05")).alias("claim_count"),
+        *[c for c in printed.columns if c != "packet"], tie(F.col("printed_totals_present"), either("r04")).alias("totals"), tie(F.col("printed_count").isNotNull(), either("r05")).alias("claim_count"),
         F.when(F.col("packet"), F.col("own_status")).otherwise(F.col("review_status")).alias("status"), F.array_sort(F.array_union(F.coalesce("blocking", none), F.coalesce("o_blocking", none))).alias("reasons"),
     )
 
@@ -53,9 +61,9 @@ def document_class(method: Column, packet: Column) -> Column:
 
 
 def document_facts(docs: DataFrame, findings: DataFrame, accounts: DataFrame, status: DataFrame) -> DataFrame:
-    """The measured facts of processed documents: counts and tokens alone, no value of a claim. docs: document_id, extraction_method, page_count; accounts: claim_accounting; status: document_id, review_status, trust."""
+    """The measured facts of processed documents: counts and tokens alone, no value of a claim. docs: document_id, extraction_method, page_count; findings: or their tally; accounts: printed_facts; status: document_id, review_status, trust."""
     counter = lambda keys, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct(keys, "n")))).alias(name)
-    by = findings.groupBy("document_id", "rule", "severity", "category").agg(F.count("*").alias("n"))
+    by = findings.groupBy("document_id", "rule", "severity", "category").agg(number(findings).alias("n"))
     rule = by.groupBy("document_id", "rule").agg(F.sum("n").alias("n")).groupBy("document_id").agg(counter(F.col("rule"), "by_rule"), F.sum("n").alias("total"))
     parts = {c: by.withColumn("key", F.concat_ws("/", "rule", F.lower(c))).groupBy("document_id", "key").agg(F.sum("n").alias("n")).groupBy("document_id").agg(counter(F.col("key"), f"by_rule_{c}")) for c in ("severity", "category")}
     run = accounts.groupBy("document_id").agg(

@@ -4,8 +4,9 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from claimloom.operators import rules
+from claimloom.operators import accounting, review, rules
 
 D = Decimal
 MONEY = "decimal(18,2)"
@@ -197,3 +198,11 @@ def test_counting_queries_make_no_texts_of_claim_findings(spark):
     for name in ("review_status", "worst_severity", "finding_counters", "reconcile_counts"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "reported-before-loss" not in plan and "R-10" in plan
+
+
+def test_document_facts_of_a_tally_are_those_of_the_findings(spark):
+    e = packet(spark, claims=[claim(row_id=i, page=p, claim_number="A", paid_total=D(a)) for i, (p, a) in enumerate([(1, -1), (1, 5), (3, 900), (9, 1)])])
+    judged = e.docs.select("document_id", F.lit(True).alias("reconciled"), F.lit(False).alias("needs_mapping"))
+    papers = e.docs.withColumns({"extraction_method": F.lit("digital"), "page_count": F.lit(4)})
+    of = lambda f: sorted(map(str, accounting.document_facts(papers, f, accounting.printed_facts(rules.run_view(e)), review.canonical_status(judged, f)).collect()))
+    assert of(rules.tally(e)) == of(rules.reconcile(e)) != []
