@@ -200,6 +200,21 @@ def test_counting_queries_make_no_texts_of_claim_findings(spark):
         assert "reported-before-loss" not in plan and "R-10" in plan
 
 
+def test_tally_by_unit_gives_the_accounting_of_the_findings(spark):
+    kind = ["document_id", "run_id", "rule", "severity", "category", "scope"]
+    odd = [claim(row_id=i, page=p, claim_number=c, paid_total=a) for i, (p, c, a) in enumerate([(1, "A", D(-1)), (1, "A", None), (3, "A", D(900)), (9, None, D(1))])]
+    e = packet(spark, claims=odd)
+    findings = rules.reconcile(e)
+    blocking = findings.where(~F.col("rule").isin(list(review.HARMLESS)))
+    counts = rules.tally(e, rules.Config(disabled=review.HARMLESS), rules.KEY)
+    want = {tuple(r) for r in blocking.groupBy(*kind).count().collect()}
+    assert want and {tuple(r) for r in counts.select(*kind, "n").collect()} == want
+    assert findings.where(review.blocks_trust() & F.col("rule").isin(list(review.HARMLESS))).count() == 0
+    judged = e.docs.select("document_id", F.lit(True).alias("reconciled"), F.lit(False).alias("needs_mapping"))
+    of = lambda f: sorted(map(str, accounting.claim_accounting(rules.run_view(e), f, review.canonical_status(judged, f), review.canonical_run_status(e.table("runs"), f, judged)).collect()))
+    assert of(counts) == of(findings)
+
+
 def test_document_facts_of_a_tally_are_those_of_the_findings(spark):
     e = packet(spark, claims=[claim(row_id=i, page=p, claim_number="A", paid_total=D(a)) for i, (p, a) in enumerate([(1, -1), (1, 5), (3, 900), (9, 1)])])
     judged = e.docs.select("document_id", F.lit(True).alias("reconciled"), F.lit(False).alias("needs_mapping"))
