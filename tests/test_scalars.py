@@ -76,3 +76,33 @@ def test_headers_are_guessed_once_each(spark):
     assert got == {(1, 0): ("paid_total", "MAPPED"), (2, 0): ("paid_total", "MAPPED"), (2, 1): (None, "UNMAPPED"), (3, 4): ("claim_number", "MAPPED")}
     plan = mapping.build_mapping(headers)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [header" in plan or "Aggregate [_h" in plan
+
+
+def test_parse_day_reads_as_parse_date(spark):
+    texts = ["2024-03-04", "2024-02-30", "1850-01-01", "2101-01-01", "Mar 4, 2024", "Feb 30, 2024", "Mar 04, 1899", "Abc 1, 2024", "MAR 4, 2024", "March 4, 2024", "03/04/2024", "2024-03-04\n", "2024-03-04 10:00", "N/A", "", "--", "x", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dates.parse_day(F.col("t")).alias("a"), dates.parse_date(F.col("t")).alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == []
+
+
+def test_claims_of_rows_are_those_of_their_cells(spark):
+    from claimloom.operators import mapping
+
+    heads = {1: ["Claim #", "Status", "Paid", "Total Paid", "DOL", "Weather"], 2: ["Total Incurred", "Claim Number", "Date Reported"], 3: ["Weather"], 4: ["Total Incurred", "Claim Number", "Date Reported"]}
+    table = [
+        (1, 1, 1, ["CL-1", "open", "$1.00", "($2.50)", "Mar 4, 2024", "sun"]), (1, 1, 2, ["CL-2", None, "x", None, "03/04/2024"]), (1, 2, 1, ["12.00", "open", "1.00", "2.00", ""]), (1, 2, 2, ["CL-3"]),
+        (2, 1, 5, ["EUR 3.00", " CL-4 ", "N/A"]), (2, 1, 4, ["1.234", "CL-5", "2024-03-04"]), (3, 1, 1, ["sun"]), (4, 1, 1, ["--", "CL-6", "Feb 30, 2024"]), (5, 1, 1, ["CL-7"]),
+    ]
+    cells = spark.createDataFrame([(d, p, r, i, t) for d, p, r, ts in table for i, t in enumerate(ts)], "document_id long, page int, row int, column int, text string")
+    headers = spark.createDataFrame([(d, i, h) for d, hs in heads.items() for i, h in enumerate(hs)], "document_id long, column int, header string")
+    want, _ = mapping.claims_of(cells, headers)
+    got = mapping.build_claims_of_rows(spark.createDataFrame(table, "document_id long, page int, row int, cells array<string>"), spark.createDataFrame(list(heads.items()), "document_id long, headers array<string>"))
+    assert got.columns == want.columns and want.count() == 6
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_cells_to_claims_shuffles_the_lines_once(spark):
+    from claimloom.plans.registry import QUERIES
+
+    plan = QUERIES["cells_to_claims"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("FileScan")[0]  # down to the lines
+    assert top.count("Exchange hashpartitioning") == 1 and "Generate" not in top
